@@ -5,10 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantora.llm import leakage, mixing, quality, unify
+from quantora.llm import leakage, matching, mixing, quality, unify
 from quantora.sources.tables import table
 
 
+def _bills(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Lines with the project of their period, and the subcontractors' rows."""
+    period = table(spark, d, "settlement_periods").select(F.col("id").alias("period_id"), F.col("project_id").alias("_project")).dropDuplicates(["period_id"])
+    lines = table(spark, d, "line_items").select("id", "period_id", "code", "name", "feature", "unit", "unit_price").join(period, "period_id")
+    rows = table(spark, d, "subcontract_items").select("id", F.col("project_id").alias("_project"), "code", "name", "feature", "unit", "unit_price")
+    return lines, rows
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a line and a subcontractor's row that mean the same work item of a project."""
+    pairs = matching.match_lines(*_bills(spark, d))
+    return pairs.select("line_item_id", F.col("row_id").alias("subcontract_item_id")).distinct()
+
+
+def p1_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Every subcontractor's row with the confidence of its match and the lines it covers (none if unmatched)."""
+    lines, rows = _bills(spark, d)
+    matches, billed = matching.match_items(lines, rows)
+    counted = billed.groupBy("project", "item").agg(F.count("*").alias("n_lines"))
+    found = matches.join(counted, ["project", "item"]).select(F.col("row_id").alias("subcontract_item_id"), F.round("confidence", 6).alias("confidence"), "n_lines")
+    every = rows.select(F.col("id").alias("subcontract_item_id"))
+    return every.join(found, "subcontract_item_id", "left").select("subcontract_item_id", "confidence", F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Names and units with at least one character that is not ordinary."""
     rows = unify.unify_text(table(spark, d, "line_items"), "id", ["name", "unit"])
@@ -84,6 +108,8 @@ FROM c
 """
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_matches": p1_matches,
     "p4_found": p4_found,
     "p4_canonical": p4_canonical,
     "p7_found": p7_found,
