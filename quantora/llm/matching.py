@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quantora.functions.lookalikes import skeleton
 from quantora.functions.numbers import to_decimal
 from quantora.functions.units import read_unit
-from quantora.session import cut_lineage
+from quantora.session import cut_lineage, default_parallelism, shuffle_partitions
 
 #: Digits of a code that name a section, and a group of items within it; shorter codes are none.
 SECTION, GROUP = 4, 9
@@ -271,6 +271,9 @@ def compare_texts(items: DataFrame, texts: DataFrame) -> DataFrame:
         links.join(vocabulary, "u").select("section", F.lit("link").alias("kind"), F.lit(0).cast("bigint").alias("item"), none("string").alias("code"), none("array<string>").alias("tokens"), "t", "u", "link")
     )
     right = model.join(parts, "section").select(F.concat("section").alias("section"), spread, "kind", "item", "code", "tokens", "t", "u", "link")
+    # A fixed number of partitions: the groups are small in bytes but not in work, so AQE must not merge them.
+    n = max(shuffle_partitions(items.sparkSession), default_parallelism(items.sparkSession))
+    left, right = left.repartition(n, "section", "part"), right.repartition(n, "section", "part")
     scored = left.groupBy("section", "part").cogroup(right.groupBy("section", "part")).applyInPandas(_score, _SCORED)
     of_text = Window.partitionBy("text").orderBy(F.desc("total"), "item")
     ranked = scored.withColumn("_rank", F.row_number().over(of_text)).withColumn("_next", F.lead("total").over(of_text)).withColumn("_top", F.first("total").over(of_text))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantora.llm import leakage, matching, mixing, quality, unify
+from quantora.llm import leakage, matching, mixing, quality, scans, unify
 from quantora.sources.tables import table
 
 
@@ -33,6 +33,16 @@ def p1_matches(spark: SparkSession, d: str) -> DataFrame:
     return every.join(found, "subcontract_item_id", "left").select("subcontract_item_id", "confidence", F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that are furniture, are cut within a word, or hold a misread character."""
+    return scans.scan_noise(table(spark, d, "pdf_pages")).distinct()
+
+
+def p2_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """The repaired paragraphs of every file."""
+    return scans.paragraphs(table(spark, d, "pdf_pages"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Names and units with at least one character that is not ordinary."""
     rows = unify.unify_text(table(spark, d, "line_items"), "id", ["name", "unit"])
@@ -110,6 +120,8 @@ FROM c
 QUERIES = {
     "p1_found": p1_found,
     "p1_matches": p1_matches,
+    "p2_found": p2_found,
+    "p2_paragraphs": p2_paragraphs,
     "p4_found": p4_found,
     "p4_canonical": p4_canonical,
     "p7_found": p7_found,
