@@ -44,15 +44,20 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Event time as an instant, which watermarks need."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Count and sum per window and type; windows close once the watermark has passed them."""
-    g = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type")
+    g = _timed(events).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type")
     return g.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Sessions of each user: events not further apart than the gap."""
-    g = events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap))
+    g = _timed(events).withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap))
     return g.agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
