@@ -26,8 +26,8 @@ ENTRY_CHARS = 90
 MOST_COMMON_WORDS = 5_000
 
 # Patterns of Java regular expressions.
-HAN = "\\p{IsHan}"
-WORD_RUN = "[\\p{L}\\p{N}]+"
+HAN = "[㐀-䶿一-鿿豈-﫿]"
+WORD_RUN = "[\\p{L}\\p{N}&&[^㐀-䶿一-鿿豈-﫿]]+"
 LETTER = "[\\p{L}\\p{N}]"
 SYMBOL = "[^\\p{L}\\p{N}\\s.,;:!?'\"()/%&，。；：！？、“”‘’（）《》【】·—-]"
 ENDING = "[.!?;:…。！？；：”’\"')）】]\\s*$"
@@ -35,9 +35,11 @@ BLANKS = "[_＿□☐]"
 RULE_LINE = "^[\\s=+*~.#_|:—─…·-]+$"
 BULLET = "^\\s*(?:[•◆●■▪◦·*○☐✓>+–—-]\\s*|[(（\\[【]?(?:[0-9]{1,3}|[a-zA-Z]|[一二三四五六七八九十]{1,3}|[ivx]{1,4})[)）.、\\]】]\\s*|[①-⑳]\\s*)(?=\\S)(?![0-9])"
 NUMBER_FIELD = "(?:^|[,，;；])\\s*-?[0-9][0-9.]*\\s*(?=[,，;；]|$)"
-SHORT_FIELDS = "^[^,，;；。]{1,9}(?:[,，;；][^,，;；。]{0,9}){4,}$"
-DELIMITED = "\\t[^\\t]*\\t|\\|[^|]*\\||\\S {2,}\\S.*\\S {2,}\\S"
-FIELD = "^\\s*[^\\s:：=，。,.;；]{1,12}(?: ?[^\\s:：=，。,.;；]{1,12})?\\s*(?:[:：=]|\\t)\\s*\\S[^。]{0,60}$"
+SHORT_FIELDS = "^[^,，;；。]{1,9}+(?:[,，;；][^,，;；。]{0,9}+){4,}+$"
+DELIMITED = "\\t[^\\t]*\\t|\\|[^|]*\\||\\S {2,}\\S(?:[^ ]| (?! ))* {2,}\\S"
+FIELD = "^\\s*+[^\\s:：=，。,.;；][^:：=，。,.;；\\t]{0,24}+[:：=\\t]\\s*+\\S[^。]{0,60}$"
+FIELD_CHARS = 100
+REPEATED = "^.{0,8}?(.{1,8}?)\\1{11,}"
 SENTENCE_BREAK = "[。！？!?]|[.;；，] .*[.;，] "
 
 STATISTICS = ("n_chars", "n_words", "mean_word_length", "symbol_ratio", "punctuated_line_share", "common_word_share")
@@ -55,44 +57,58 @@ def common_word_pattern(common_words: DataFrame) -> str:
     words = sorted({r.word.strip().lower() for r in rows if r.word.strip()}, key=lambda w: (-len(w), w))
     han = [w for w in words if re.search("[㐀-鿿]", w)]
     latin = [w for w in words if w not in han]
-    parts = [f"(?:{'|'.join(map(re.escape, han))})"] if han else []
-    parts += [f"\\b(?:{'|'.join(map(re.escape, latin))})\\b"] if latin else []
+    # Each alternation is entered only at a character that one of its words begins with.
+    starts = lambda many: "[" + "".join(sorted({re.escape(w[0]) for w in many})) + "]"
+    long, single = [w for w in han if len(w) > 1], [w for w in han if len(w) == 1]
+    parts = [f"(?={starts(long)})(?:{'|'.join(map(re.escape, long))})"] if long else []
+    parts += [starts(single)] if single else []
+    parts += [f"\\b(?={starts(latin)})(?:{'|'.join(map(re.escape, latin))})\\b"] if latin else []
     return "|".join(parts) or "$^"
 
 
-def statistics(text: Column, common: str) -> dict[str, Column]:
-    """The statistics of a text; an ideogram counts as a word, as does a run of other letters and digits."""
-    han = F.regexp_count(text, F.lit(HAN))
-    runs = F.regexp_count(F.regexp_replace(text, HAN, " "), F.lit(WORD_RUN))
-    words = (han + runs).cast("bigint")
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("\\S"))
+def counts(text: Column, common: str) -> dict[str, Column]:
+    """Raw counts of a text; an ideogram counts as a word, as does a run of other letters and digits."""
     return {
         "n_chars": F.length(text).cast("bigint"),
+        "_han": F.regexp_count(text, F.lit(HAN)),
+        "_runs": F.regexp_count(text, F.lit(WORD_RUN)),
+        "_letters": F.regexp_count(text, F.lit(LETTER)),
+        "_symbols": F.regexp_count(text, F.lit(SYMBOL)),
+        "_common": F.regexp_count(F.lower(text), F.lit(common)),
+    }
+
+
+def statistics() -> dict[str, Column]:
+    """The statistics, from the counts and the line shares."""
+    words = (F.col("_han") + F.col("_runs")).cast("bigint")
+    ratio = lambda part, whole: _share(part.cast("double"), whole.cast("double"))
+    return {
+        "n_chars": F.col("n_chars"),
         "n_words": words,
-        "mean_word_length": _share(F.regexp_count(text, F.lit(LETTER)).cast("double"), words.cast("double")),
-        "symbol_ratio": _share(F.regexp_count(text, F.lit(SYMBOL)).cast("double"), F.length(text).cast("double")),
-        "punctuated_line_share": _share(F.size(F.filter(lines, lambda x: x.rlike(ENDING))).cast("double"), F.size(lines).cast("double")),
-        "common_word_share": _share(F.regexp_count(F.lower(text), F.lit(common)).cast("double"), words.cast("double")),
+        "mean_word_length": ratio(F.col("_letters"), words),
+        "symbol_ratio": ratio(F.col("_symbols"), F.col("n_chars")),
+        "punctuated_line_share": ratio(F.col("_n.ended"), F.col("_n.lines")),
+        "common_word_share": ratio(F.col("_common"), words),
     }
 
 
-def _line_class(x: Column) -> Column:
-    """What a line looks like: form, rule, filler, table, field, entry or text."""
-    tokens = F.split(F.trim(x), "[\\s,|]+")
-    distinct = F.size(F.array_distinct(tokens))
-    size = F.size(tokens)
-    filler = (size >= 10) & ((distinct <= 8) & (distinct * 3 <= size) | (distinct * 12 <= size)) | x.rlike("(.{1,8}?)\\1{11,}")
-    delimiters = F.regexp_count(x, F.lit("[,，;；]"))
-    numbers = F.regexp_count(x, F.lit(NUMBER_FIELD))
-    table = x.rlike(DELIMITED) | x.rlike(SHORT_FIELDS) | ((delimiters >= 3) & (numbers >= 2) & ~x.rlike("。"))
+def _line_class(y: Column) -> Column:
+    """What a line looks like: form, rule, filler, table, field, entry or text.
+
+    ``y`` holds the line and its numbers of tokens and distinct tokens, each computed once.
+    The cheap tests come first, and the costly ones run on the lines that are left.
+    """
+    x, size, distinct = y["x"], y["size"], y["distinct"]
+    filler = (size >= 10) & ((distinct <= 8) & (distinct * 3 <= size) | (distinct * 12 <= size)) | x.rlike(REPEATED)
+    fields = (F.regexp_count(x, F.lit("[,，;；]")) >= 3) & ~F.contains(x, F.lit("。")) & (F.regexp_count(x, F.lit(NUMBER_FIELD)) >= 2)
     form = x.rlike(BLANKS) & (F.length(F.regexp_replace(x, "[^\\p{L}\\p{N}]", "")) <= 3 * F.regexp_count(x, F.lit(BLANKS)) + 2)
     return (
         F.when(x.rlike(RULE_LINE), "rule")
         .when(form, "form")
         .when(filler, "filler")
-        .when(table, "table")
-        .when(x.rlike(BULLET) & (F.length(x) <= ENTRY_CHARS) & ~F.regexp_replace(F.trim(x), "[。.;；]+$", "").rlike(SENTENCE_BREAK), "entry")
-        .when(x.rlike(FIELD), "field")
+        .when(x.rlike(DELIMITED) | x.rlike(SHORT_FIELDS) | fields, "table")
+        .when((F.length(x) <= ENTRY_CHARS) & x.rlike(BULLET) & ~F.regexp_replace(F.trim(x), "[。.;；]+$", "").rlike(SENTENCE_BREAK), "entry")
+        .when((F.length(x) <= FIELD_CHARS) & x.rlike(FIELD), "field")
         .otherwise("text")
     )
 
@@ -101,12 +117,18 @@ LINE_CLASSES = ("rule", "form", "filler", "table", "field", "entry", "text")
 
 
 def line_shares(text: Column) -> Column:
-    """A struct with the characters in lines of each class, and ``lines``, the number of non-blank lines."""
+    """A struct with the characters in non-blank lines of each class, their number, and how many end in punctuation."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("\\S"))
-    marked = F.transform(lines, lambda x: F.struct(_line_class(x).alias("c"), F.length(F.trim(x)).alias("n")))
-    zero = F.struct(*[F.lit(0).alias(c) for c in LINE_CLASSES])
-    add = lambda acc, x: F.struct(*[(acc[c] + F.when(x["c"] == c, x["n"]).otherwise(0)).alias(c) for c in LINE_CLASSES])
-    return F.aggregate(marked, zero, add)
+    split = F.transform(lines, lambda x: F.struct(x.alias("x"), F.split(F.trim(x), "[\\s,|]+").alias("t")))
+    counted = F.transform(split, lambda y: F.struct(y["x"].alias("x"), F.size(y["t"]).alias("size"), F.when(F.size(y["t"]) >= 10, F.size(F.array_distinct(y["t"]))).otherwise(F.size(y["t"])).alias("distinct")))
+    marked = F.transform(counted, lambda y: F.struct(_line_class(y).alias("c"), F.length(F.trim(y["x"])).alias("n"), y["x"].rlike(ENDING).cast("int").alias("e")))
+    return F.aggregate(
+        marked,
+        F.struct(*[F.lit(0).alias(c) for c in (*LINE_CLASSES, "lines", "ended")]),
+        lambda acc, x: F.struct(
+            *[(acc[c] + F.when(x["c"] == c, x["n"]).otherwise(0)).alias(c) for c in LINE_CLASSES], (acc["lines"] + 1).alias("lines"), (acc["ended"] + x["e"]).alias("ended")
+        ),
+    )
 
 
 def quality(documents: DataFrame, common_words: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -124,14 +146,10 @@ def quality(documents: DataFrame, common_words: DataFrame, doc_id: str = "doc_id
     pattern = common_word_pattern(common_words)
     body = F.coalesce(F.col(text), F.lit(""))
     own = F.col("_text")
-    measured = F.struct(
-        line_shares(own).alias("_n"),
-        F.regexp_count(own, F.lit(HAN)).alias("_han"),
-        F.regexp_count(own, F.lit(LETTER)).alias("_letters"),
-        *[c.alias(k) for k, c in statistics(own, pattern).items()],
-    )
+    measured = F.struct(line_shares(own).alias("_n"), *[c.alias(k) for k, c in counts(own, pattern).items()])
     # The generator keeps the optimizer from copying the measures into each rule and filter above it.
     rows = documents.select(F.col(doc_id).alias("doc_id"), body.alias("_text")).select("doc_id", F.inline_outer(F.array(measured)))
+    rows = rows.withColumns({k: c for k, c in statistics().items() if k != "n_chars"})
     rows = rows.withColumn("_total", sum((F.col(f"_n.{c}") for c in LINE_CLASSES), F.lit(0)))
     share = lambda *cs: _share(sum((F.col(f"_n.{c}") for c in cs), F.lit(0)).cast("double"), F.col("_total").cast("double"))
     latin = F.col("_han") * 4 < F.col("n_words")

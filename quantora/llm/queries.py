@@ -102,8 +102,8 @@ _COUNT = "length(regexp_extract_all({t}, '{p}'))"
 _P9_STATISTICS = """
 WITH w AS (SELECT string_agg(DISTINCT word, '|' ORDER BY length(word) DESC, word) FILTER (WHERE lang = 'zh') AS zh,
                   string_agg(DISTINCT word, '|' ORDER BY length(word) DESC, word) FILTER (WHERE lang <> 'zh') AS en FROM common_words),
- c AS (SELECT doc_id, text AS t, len(regexp_extract_all(text, '\\p{Han}')) AS han,
-         len(regexp_extract_all(regexp_replace(text, '\\p{Han}', ' ', 'g'), '[\\p{L}\\p{N}]+')) AS runs,
+ c AS (SELECT doc_id, text AS t, len(regexp_extract_all(text, '[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}]')) AS han,
+         len(regexp_extract_all(regexp_replace(text, '[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}]', ' ', 'g'), '[\\p{L}\\p{N}]+')) AS runs,
          len(regexp_extract_all(text, '[\\p{L}\\p{N}]')) AS letters,
          length(regexp_replace(text, '[\\p{L}\\p{N}\\s.,;:!?''"()/%&，。；：！？、“”‘’（）《》【】·—-]', '', 'g')) AS symbols,
          list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S')) AS lines,
