@@ -63,20 +63,25 @@ def check_lattice(check: Column) -> Column:
     return F.when(F.bool_or(check == "diff"), "diff").when(F.bool_or(check == "match"), "match").otherwise("not_available")
 
 
+def several(c: Column) -> Column:
+    """Aggregate: whether a column has more than one value. Smallest and largest tell, without counting distinct ones."""
+    return F.coalesce(F.min(c) != F.max(c), F.lit(False))
+
+
 def normalised_quantity(items: DataFrame, keys: list[str]) -> DataFrame:
     """quantity, base unit and status per key: incomparable beyond one measure or feature, incomplete if any is missing."""
     basis = unit_basis(F.col("unit"))
     rows = items.withColumn("_base", basis["base"]).withColumn("_std", (F.col("quantity") * basis["factor"]).cast(PRODUCT))
     feature = F.regexp_replace(F.lower(F.coalesce("feature", F.lit(""))), "(?U)\\s", "")
     grouped = rows.groupBy(*keys).agg(
-        F.count_distinct("_base").alias("_bases"),
-        F.count_distinct(feature).alias("_features"),
+        several(F.col("_base")).alias("_mixed_bases"),
+        several(feature).alias("_mixed_features"),
         F.count_if(F.col("_std").isNull()).alias("_missing"),
         F.sum(F.col("_std").cast(TOTAL)).alias("_sum"),
         F.min("_base").alias("_base"),
     )
-    status = F.when((F.col("_bases") > 1) | (F.col("_features") > 1), "incomparable").when(F.col("_missing") > 0, "incomplete").otherwise("ok")
-    return grouped.select(*keys, F.when(status == "ok", F.col("_sum")).alias("quantity"), F.when(F.col("_bases") == 1, F.col("_base")).alias("base_unit"), status.alias("status"))
+    status = F.when(F.col("_mixed_bases") | F.col("_mixed_features"), "incomparable").when(F.col("_missing") > 0, "incomplete").otherwise("ok")
+    return grouped.select(*keys, F.when(status == "ok", F.col("_sum")).alias("quantity"), F.when(~F.col("_mixed_bases"), F.col("_base")).alias("base_unit"), status.alias("status"))
 
 
 def cumulate(items: DataFrame, keys: list[str]) -> DataFrame:

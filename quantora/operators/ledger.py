@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantora.functions.numbers import PRODUCT, TOTAL
-from quantora.operators.aggregate import unit_basis
+from quantora.operators.aggregate import several, unit_basis
 
 # Statuses by severity, worst last.
 SEVERITY = ("PASS", "PENDING", "INCOMPARABLE", "CONTROL_CONFLICT", "FAIL")
@@ -21,8 +21,8 @@ def identity() -> Column:
 
 def scope_modes(items: DataFrame, scope: list[str]) -> DataFrame:
     """Scopes with their counting mode; a scope whose rows disagree is in conflict and has none."""
-    g = items.groupBy(*scope).agg(F.count_distinct("mode").alias("_n"), F.min("mode").alias("mode"), F.max("period_no").alias("_last"))
-    return g.select(*scope, F.when(F.col("_n") == 1, F.col("mode")).alias("mode"), (F.col("_n") > 1).alias("conflict"), "_last")
+    g = items.groupBy(*scope).agg(several(F.col("mode")).alias("_several"), F.min("mode").alias("mode"), F.max("period_no").alias("_last"))
+    return g.select(*scope, F.when(~F.col("_several"), F.col("mode")).alias("mode"), F.col("_several").alias("conflict"), "_last")
 
 
 def rollup(items: DataFrame, scope: list[str]) -> DataFrame:
@@ -35,8 +35,8 @@ def rollup(items: DataFrame, scope: list[str]) -> DataFrame:
     rows = items.drop("mode").join(modes, scope).filter(~F.col("conflict"))
     counted = rows.filter((F.col("mode") == "incremental") | (F.col("period_no") == F.col("_last")))
     std = counted.withColumn("item", identity()).withColumn("_q", (F.col("quantity") * basis["factor"]).cast(PRODUCT)).withColumn("_b", basis["base"])
-    g = std.groupBy(*scope, "item").agg(F.count("*").alias("n_rows"), F.sum(F.col("_q").cast(TOTAL)).alias("_sum"), F.count_if(F.col("_q").isNull()).alias("_missing"), F.count_distinct("_b").alias("_bases"))
-    status = F.when(F.col("_bases") > 1, "INCOMPARABLE").when(F.col("_missing") > 0, "PENDING").otherwise("PASS")
+    g = std.groupBy(*scope, "item").agg(F.count("*").alias("n_rows"), F.sum(F.col("_q").cast(TOTAL)).alias("_sum"), F.count_if(F.col("_q").isNull()).alias("_missing"), several(F.col("_b")).alias("_mixed"))
+    status = F.when(F.col("_mixed"), "INCOMPARABLE").when(F.col("_missing") > 0, "PENDING").otherwise("PASS")
     return g.select(*scope, "item", "n_rows", F.when(status == "PASS", F.col("_sum")).alias("quantity"), status.alias("status"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quantora.functions.numbers import TOTAL, to_decimal
 from quantora.operators import grid
+from quantora.session import cut_lineage
 
 TOLERANCE = "0.02"
 
@@ -18,13 +19,20 @@ def path_items(items: DataFrame, key: str) -> DataFrame:
 
 def path_grid(cells: DataFrame, key: str = "sheet_id") -> DataFrame:
     """B: the same total read again from the raw cells, with its own classification of rows."""
-    rows = grid.extract_rows(cells).filter("class = 'detail'")
-    return rows.groupBy(key).agg(F.sum(to_decimal(F.col("amount"), "decimal(24,6)").cast(TOTAL)).alias("b_total"), F.count("*").alias("b_rows"))
+    return _detail_totals(grid.extract_rows(cells), key)
+
+
+def _detail_totals(rows: DataFrame, key: str) -> DataFrame:
+    return rows.filter("class = 'detail'").groupBy(key).agg(F.sum(to_decimal(F.col("amount"), "decimal(24,6)").cast(TOTAL)).alias("b_total"), F.count("*").alias("b_rows"))
 
 
 def path_control(cells: DataFrame, key: str = "sheet_id") -> DataFrame:
     """C: the one grand total of the sheet, else the sum of its subtotals, else unavailable; never a guess."""
-    rows = grid.extract_rows(cells).filter(F.col("class").isin("grand_total", "subtotal")).withColumn("_v", to_decimal(F.col("amount"), "decimal(24,6)").cast(TOTAL))
+    return _stated_totals(grid.extract_rows(cells), key)
+
+
+def _stated_totals(rows: DataFrame, key: str) -> DataFrame:
+    rows = rows.filter(F.col("class").isin("grand_total", "subtotal")).withColumn("_v", to_decimal(F.col("amount"), "decimal(24,6)").cast(TOTAL))
     g = rows.groupBy(key).agg(
         F.count_if(F.col("class") == "grand_total").alias("_g"), F.max(F.when(F.col("class") == "grand_total", F.col("_v"))).alias("_gt"),
         F.sum(F.when(F.col("class") == "subtotal", F.col("_v"))).alias("_st"), F.count_if((F.col("class") == "subtotal") & F.col("_v").isNull()).alias("_bad"), F.count_if(F.col("class") == "subtotal").alias("_s"),
@@ -35,7 +43,8 @@ def path_control(cells: DataFrame, key: str = "sheet_id") -> DataFrame:
 
 def cross_check(items: DataFrame, cells: DataFrame, key: str = "sheet_id") -> DataFrame:
     """a, b and c totals per sheet, the status of a against b and of a against c, and the level of assurance."""
-    joined = path_items(items, key).join(path_grid(cells, key), key, "full").join(path_control(cells, key), key, "left")
+    rows = cut_lineage(grid.extract_rows(cells).select(key, "class", "amount"))
+    joined = path_items(items, key).join(_detail_totals(rows, key), key, "full").join(_stated_totals(rows, key), key, "left")
     near = lambda x, y: F.abs(F.col(x) - F.col(y)) <= F.lit(TOLERANCE).cast("decimal(4,2)")
     ab = F.when(F.col("a_total").isNull() | F.col("b_total").isNull(), "incomplete").when(near("a_total", "b_total") & (F.col("a_rows") == F.col("b_rows")), "match").otherwise("diff")
     c = F.when(F.col("c_total").isNull(), "not_available").when(near("a_total", "c_total"), "match").otherwise("diff")

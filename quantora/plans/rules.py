@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quantora.functions.numbers import PRODUCT
 from quantora.operators import sequences as seq
+from quantora.operators.aggregate import several
 from quantora.plans.domain import KEY, boq, boq_and, item_key
 from quantora.session import cut_lineage
 
@@ -42,26 +43,26 @@ def repeated_items(items: DataFrame) -> DataFrame:
 
 def one_code_names(items: DataFrame) -> DataFrame:
     """A code with several names."""
-    groups = items.filter("code <> ''").groupBy("direction", "code").agg(F.count_distinct(F.trim("name")).alias("n")).filter("n > 1")
+    groups = items.filter("code <> ''").groupBy("direction", "code").agg(several(F.trim("name")).alias("n")).filter("n")
     return _finding(groups.withColumn("s", F.concat_ws("/", "direction", "code")), "same_code_different_name", "medium", "s")
 
 
 def one_name_codes(items: DataFrame) -> DataFrame:
     """A name with several codes."""
-    groups = items.groupBy("direction", "name").agg(F.count_distinct(F.nullif("code", F.lit(""))).alias("n")).filter("n > 1")
+    groups = items.groupBy("direction", "name").agg(several(F.nullif("code", F.lit(""))).alias("n")).filter("n")
     return _finding(groups.withColumn("s", F.concat_ws("/", "direction", "name")), "same_name_different_code", "low", "s")
 
 
 def unit_changes(items: DataFrame) -> DataFrame:
     """An item with several units across its periods."""
-    groups = items.withColumn("k", item_key()).groupBy("direction", "k").agg(F.count_distinct("unit").alias("n")).filter("n > 1")
+    groups = items.withColumn("k", item_key()).groupBy("direction", "k").agg(several(F.col("unit")).alias("n")).filter("n")
     return _finding(groups.withColumn("s", F.concat_ws("/", "direction", "k")), "unit_changed", "high", "s")
 
 
 def tax_changes(items: DataFrame) -> DataFrame:
     """An item whose first tax rate per period varies."""
     first = items.withColumn("k", item_key()).groupBy("direction", "k", "period_no").agg(F.min_by("tax_rate", "rid").alias("t"))
-    groups = first.groupBy("direction", "k").agg(F.count_distinct("t").alias("n")).filter("n > 1")
+    groups = first.groupBy("direction", "k").agg(several(F.col("t")).alias("n")).filter("n")
     return _finding(groups.withColumn("s", F.concat_ws("/", "direction", "k")), "tax_rate_changed", "medium", "s")
 
 
@@ -74,7 +75,7 @@ def quantity_jumps(items: DataFrame) -> DataFrame:
 
 def double_settlement(items: DataFrame) -> DataFrame:
     """The same item, quantity, price and amount in several periods."""
-    groups = items.withColumn("k", item_key()).groupBy("direction", "k", "quantity", "unit_price", "amount").agg(F.count_distinct("period_no").alias("n")).filter("n > 1")
+    groups = items.withColumn("k", item_key()).groupBy("direction", "k", "quantity", "unit_price", "amount").agg(several(F.col("period_no")).alias("n")).filter("n")
     return _finding(groups.withColumn("s", F.concat_ws("/", "direction", "k")), "suspected_double_settlement", "medium", "s")
 
 
