@@ -103,7 +103,8 @@ def cumulate(items: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def exact_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The median per key from the exact sum of the middle one or two values, with min, max and count."""
+    """The median per key from the (for decimals exact) sum of the middle one or two values, with min, max and count."""
+    exact = F.col(value).cast(TOTAL) if dict(rows.dtypes)[value].startswith("decimal") else F.col(value)
     order = Window.partitionBy(*keys).orderBy(value)
     all_of = Window.partitionBy(*keys)
     ranked = rows.filter(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(order)).withColumn("_n", F.count("*").over(all_of))
@@ -112,7 +113,7 @@ def exact_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
         F.count("*").alias("n"),
         F.min(value).alias("lowest"),
         F.max(value).alias("highest"),
-        (F.sum(F.when(middle, F.col(value).cast(TOTAL))).cast("double") / F.count_if(middle)).alias("median"),
+        (F.sum(F.when(middle, exact)).cast("double") / F.count_if(middle)).alias("median"),
     )
 
 

@@ -107,7 +107,7 @@ def price_hint(spark: SparkSession, d: str) -> DataFrame:
     """Each item's last price against the comparable earlier ones: sample, range, median, deviation and reasons."""
     rows = boq(spark, d).filter(F.col("code") != "")
     latest = rows.groupBy("direction", "code", "unit").agg(F.max("period_no").alias("last"), F.max("unit_price").alias("price"))
-    history = rows.select("direction", "code", "unit", "period_no", F.col("amount").isNotNull().alias("stated"), F.try_divide(F.col("amount"), F.col("quantity")).cast("decimal(18,6)").alias("paid"))
+    history = rows.select("direction", "code", "unit", "period_no", F.col("amount").isNotNull().alias("stated"), F.try_divide(F.col("amount").cast("double"), F.col("quantity").cast("double")).alias("paid"))
     known = history.join(latest, ["direction", "code", "unit"]).filter(F.col("period_no") < F.col("last"))
     usable = F.col("stated") & F.col("paid").isNotNull()
     stats = known.groupBy("direction", "code", "unit").agg(
@@ -227,7 +227,7 @@ ORACLES = {
     ),
     "price_hint": boq_and(
         """r AS (SELECT * FROM boq WHERE code <> ''), l AS (SELECT direction, code, unit, max(period_no) AS last, max(unit_price) AS price FROM r GROUP BY ALL),
-        k AS (SELECT r.direction, r.code, r.unit, l.price, r.amount IS NOT NULL AS stated, CAST(CAST(r.amount AS DOUBLE) / CAST(r.quantity AS DOUBLE) AS DECIMAL(18,6)) AS paid
+        k AS (SELECT r.direction, r.code, r.unit, l.price, r.amount IS NOT NULL AS stated, CAST(r.amount AS DOUBLE) / CAST(r.quantity AS DOUBLE) AS paid
               FROM r JOIN l USING (direction, code, unit) WHERE r.period_no < l.last),
         m AS (SELECT direction, code, unit, CAST(sum(paid) AS DOUBLE) / count(*) AS median FROM
           (SELECT *, row_number() OVER (PARTITION BY direction, code, unit ORDER BY paid) AS r, count(*) OVER (PARTITION BY direction, code, unit) AS n FROM k WHERE stated AND paid IS NOT NULL)
