@@ -47,6 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not shared:
         shared = os.path.join(tempfile.gettempdir(), f"quantora-checkpoints-{os.getpid()}")
     sc.setCheckpointDir(shared)
