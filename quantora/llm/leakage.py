@@ -1,12 +1,12 @@
 """Documents that contain held-out texts, wholly or in good part.
 
-Held-out items and documents are compared in letters and digits only. Windows of
-both, sized to the item, are embedded by CGK random walks, which turn edit distance
-into Hamming distance; repeated bit samples of the embeddings are the LSH keys. Item
-windows start at every offset and document windows at a stride such that every
-unbroken run of half an item holds a whole document window; equal windows collide
-in every table, edited ones with the probability that the number of repetitions is
-chosen for. Every collision is verified on the texts.
+Held-out items and documents are compared in letters and digits only. Unbroken runs
+are found by fingerprints of windows: item windows start at every offset and document
+windows at a stride such that every run of half an item holds a whole document window.
+Edited copies are found by counting grams: a copy within k edits of an item of m
+characters shares at least m - q + 1 - k * q of its q-grams, at shifts that differ by no
+more than k, so shifts of a document with fewer hold none. Both filters are complete, and what passes is verified on the
+texts.
 
 The item side is an index of bounded size that goes to each task; documents are
 read once per block of items and never shuffled.
@@ -28,15 +28,14 @@ from quantora.session import cut_lineage
 
 #: Share of an item that must stand in one run; edited copies are reported from this similarity on.
 RUN_SHARE, EDIT_SIMILARITY = 0.5, 0.8
-#: Independent walks, samples of each walk, and symbols of a sample.
-WALKS, SAMPLES, SYMBOLS = 2, 2, 14
-#: An edited copy is verified where at least this share of the item's windows collide.
-EDIT_WINDOWS = 0.5
 #: Characters of the items that one index may hold; more items are taken in further blocks.
 BLOCK_CHARS = 2_000_000
-#: Windows embedded, and characters of documents laid end to end, at once.
-CHUNK, FLAT_CHARS = 200_000, 1 << 24
-SEED = 20_240_901
+#: Windows hashed, characters of documents laid end to end, and gram counts held, at once.
+CHUNK, FLAT_CHARS, CELLS = 200_000, 1 << 22, 1 << 22
+#: Items whose lengths differ by no more than this factor are counted over cells of one size.
+CLASS_FACTOR = 1.3
+#: Cells that the shifts of a copy span in its length class; they touch one more.
+PARTS = 3
 
 _NOT_ALNUM = re.compile(r"[\W_]+")
 
@@ -52,57 +51,85 @@ def codes(text: str) -> np.ndarray:
 
 
 @dataclass(frozen=True)
-class Walk:
-    """One length class: window and stride of the documents, steps and samples of its walks."""
+class Windows:
+    """One length class of the run search: window and stride of the documents, and the items' windows by fingerprint."""
 
-    least_run: int
     window: int
     stride: int
-    steps: int
-    samples: tuple[tuple[int, ...], ...]
-    seed: int
-
-
-def walk_for(least_run: int, seed: int) -> list[Walk]:
-    """The walks of a length class whose items all have runs of at least ``least_run``."""
-    window = max(1, (least_run * 5) // 8)
-    rng = np.random.default_rng(seed + least_run)
-    steps = 2 * window
-    walks = []
-    for _ in range(WALKS):
-        samples = tuple(tuple(sorted(rng.choice(steps, min(SYMBOLS, steps), replace=False).tolist())) for _ in range(SAMPLES))
-        walks.append(Walk(least_run, window, least_run - window + 1, steps, samples, int(rng.integers(1, 2**31))))
-    return walks
+    keys: np.ndarray
+    item: np.ndarray
+    offset: np.ndarray
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def embed(text: np.ndarray, starts: np.ndarray, walk: Walk) -> tuple[list[np.ndarray], np.ndarray]:
-    """The LSH keys (one array per sample) and a fingerprint of the windows of ``text`` that begin at ``starts``.
-
-    Step j emits the symbol under the pointer and moves the pointer by a random bit of
-    (j, symbol); behind the window's end a blank is emitted. ``text`` must be followed
-    by a window of zeros. Equal windows have equal keys and equal fingerprints.
-    """
-    at = starts.astype(np.int64)
-    ends = at + walk.window
-    wanted = [set(s) for s in walk.samples]
-    keys = [np.zeros(len(at), np.uint64) for _ in walk.samples]
-    whole = np.zeros(len(at), np.uint64)
+def fingerprints(text: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """A hash of each window of ``text`` that begins at ``starts``; equal windows have equal ones."""
+    whole = np.zeros(len(starts), np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(walk.window):
+        for j in range(window):
             whole = (whole ^ text[starts + j]) * _MIX
             whole ^= whole >> np.uint64(31)
-        for j in range(walk.steps):
-            symbol = np.where(at < ends, text[at], np.uint64(0))
-            h = (symbol + np.uint64(1)) * np.uint64((walk.seed * (2 * j + 1)) | 1) * _MIX
-            for k, s in enumerate(wanted):
-                if j in s:
-                    keys[k] = (keys[k] ^ (symbol + np.uint64(j * 131 + k))) * _MIX
-                    keys[k] ^= keys[k] >> np.uint64(29)
-            at = np.where(at < ends, at + ((h >> np.uint64(37)) & np.uint64(1)).astype(np.int64), at)
-    return keys, whole
+    return whole
+
+
+def most_edits(size: int) -> int:
+    """Edits that a copy of an item of so many characters may have."""
+    return int((1 - EDIT_SIMILARITY) * size + 1e-9)
+
+
+def gram_size(size: int) -> tuple[int, int]:
+    """(q, q-grams of an item of so many characters that a copy keeps at least)."""
+    kept = [(q, size - q + 1 - most_edits(size) * q) for q in (3, 2)]
+    return next((x for x in kept if x[1] >= 2), kept[-1])
+
+
+def grams(text: np.ndarray, q: int) -> np.ndarray:
+    """The q-gram at each place of ``text``, q being 2 or 3, packed into one number."""
+    out = text[: max(0, len(text) - q + 1)].copy()
+    for j in range(1, q):
+        out = out << np.uint64(21) | text[j : len(text) - q + 1 + j]
+    return out
+
+
+@dataclass(frozen=True)
+class Grams:
+    """One length class of the edited copies: its items, and the items that have each gram (once per occurrence).
+
+    Shifts are counted in cells of ``cell``; ``longest`` is the longest item.
+    """
+
+    q: int
+    cell: int
+    longest: int
+    items: np.ndarray
+    least: np.ndarray
+    keys: np.ndarray
+    first: np.ndarray
+    owner: np.ndarray
+    offset: np.ndarray
+
+    def candidates(self, own: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(items, first and last shift) of the stretches of shifts with grams enough; ``own`` are grams at the ascending places ``place``."""
+        at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+        hit = self.keys[at] == own
+        at, place = at[hit], place[hit]
+        many, step = len(self.items), max(PARTS, CELLS // len(self.items))
+        for a in range(-self.longest // self.cell, int(place[-1]) // self.cell + 1 if len(place) else 0, step):
+            low, high = np.searchsorted(place, (a * self.cell, (a + step + PARTS) * self.cell + self.longest))
+            part = at[low:high]
+            size = self.first[part + 1] - self.first[part]
+            entry = np.repeat(self.first[part] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            cell = (np.repeat(place[low:high], size) - self.offset[entry]) // self.cell - a
+            inside = (cell >= 0) & (cell < step + PARTS)
+            key = self.owner[entry[inside]] * (step + PARTS) + cell[inside]
+            counts = np.bincount(key, minlength=(step + PARTS) * many).reshape(many, -1)
+            near = sum(counts[:, j : j + step] for j in range(PARTS + 1))
+            which, found = np.nonzero(near >= self.least[:, None])
+            begins = np.r_[True, (np.diff(found) != 1) | (np.diff(which) != 0)][: len(found)]
+            ends = np.r_[begins[1:], True][: len(found)]
+            yield which[begins], (found[begins] + a) * self.cell, (found[ends] + a + PARTS + 1) * self.cell - 1
 
 
 def padded(text: str, by: int) -> np.ndarray:
@@ -133,6 +160,32 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
+def nearest_distance(item: str, text: str) -> int:
+    """Least Levenshtein distance of an item to any stretch of a text (Myers)."""
+    peq: dict[str, int] = {}
+    for i, ch in enumerate(item):
+        peq[ch] = peq.get(ch, 0) | 1 << i
+    mask, last = (1 << len(item)) - 1, 1 << (len(item) - 1)
+    pv, mv = mask, 0
+    score = least = len(item)
+    for ch in text:
+        eq = peq.get(ch, 0)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph = mv | ~(xh | pv) & mask
+        mh = pv & xh
+        if ph & last:
+            score += 1
+        elif mh & last:
+            score -= 1
+            least = min(least, score)
+        ph = ph << 1 & mask
+        mh = mh << 1 & mask
+        pv = mh | ~(xv | ph) & mask
+        mv = ph & xv
+    return least
+
+
 def run_around(doc: str, item: str, p: int, o: int, size: int) -> int:
     """Length of the common run that holds the equal windows ``doc[p:p+size]`` and ``item[o:o+size]``."""
     left = 0
@@ -144,67 +197,62 @@ def run_around(doc: str, item: str, p: int, o: int, size: int) -> int:
     return left + j - o
 
 
-@dataclass(frozen=True)
-class Table:
-    """One LSH table: sorted keys, and of each the item, the offset and the window's fingerprint."""
-
-    keys: np.ndarray
-    item: np.ndarray
-    offset: np.ndarray
-    whole: np.ndarray
-
-
 class ItemIndex:
-    """The LSH index of a block of items, by length class."""
+    """The windows and grams of a block of items, by length class."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [(i, t) for i, t in items if t]
-        self.longest_window = 0
         by_class: dict[int, list[int]] = {}
         for n, (_, text) in enumerate(self.items):
             need = max(1, -(-len(text) // 2))
             by_class.setdefault(1 << (need.bit_length() - 1), []).append(n)
-        self.tables: list[tuple[Walk, list[Table]]] = []
-        for least in sorted(by_class):
-            runs = [-(-len(self.items[n][1]) // 2) for n in by_class[least]]
-            for walk in walk_for(min(runs), SEED):
-                self.longest_window = max(self.longest_window, walk.window)
-                keys: list[list[np.ndarray]] = [[] for _ in walk.samples]
-                owner, offset, wholes = [], [], []
-                for n in by_class[least]:
-                    text = self.items[n][1]
-                    starts = np.arange(len(text) - walk.window + 1)
-                    parts, whole = embed(padded(text, walk.window), starts, walk)
-                    for k, part in enumerate(parts):
-                        keys[k].append(part)
-                    owner.append(np.full(len(starts), n, np.int64))
-                    offset.append(starts.astype(np.int64))
-                    wholes.append(whole)
-                who, where, whole = np.concatenate(owner), np.concatenate(offset), np.concatenate(wholes)
-                tables = []
-                for part in keys:
-                    flat = np.concatenate(part)
-                    order = np.argsort(flat, kind="stable")
-                    tables.append(Table(flat[order], who[order], where[order], whole[order]))
-                self.tables.append((walk, tables))
-
-    def collisions(self, text: np.ndarray, starts_of) -> Iterator[tuple[Walk, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(walk, document positions, items, offsets, whether the whole windows agree) of all collisions, by chunk."""
-        for walk, tables in self.tables:
-            starts = starts_of(walk)
+        self.windows = [self._windows(by_class[least]) for least in sorted(by_class)]
+        self.longest_window = max((w.window for w in self.windows), default=0)
+        by_size = sorted((n for n, (_, t) in enumerate(self.items) if most_edits(len(t))), key=lambda n: len(self.items[n][1]))
+        self.grams: list[Grams] = []
+        a = 0
+        for b in range(1, len(by_size) + 1):
+            size = len(self.items[by_size[a]][1])
+            if b == len(by_size) or len(self.items[by_size[b]][1]) > size * CLASS_FACTOR or gram_size(len(self.items[by_size[b]][1]))[0] != gram_size(size)[0]:
+                self.grams.append(self._grams(by_size[a:b]))
+                a = b
+
+    def _windows(self, members: list[int]) -> Windows:
+        least_run = min(-(-len(self.items[n][1]) // 2) for n in members)
+        window = max(1, (least_run * 5) // 8)
+        starts = [np.arange(len(self.items[n][1]) - window + 1) for n in members]
+        keys = np.concatenate([fingerprints(padded(self.items[n][1], window), at, window) for n, at in zip(members, starts, strict=True)])
+        order = np.argsort(keys, kind="stable")
+        owner = np.repeat(np.array(members), [len(at) for at in starts])
+        return Windows(window, least_run - window + 1, keys[order], owner[order], np.concatenate(starts)[order])
+
+    def _grams(self, members: list[int]) -> Grams:
+        sizes = [len(self.items[n][1]) for n in members]
+        q = gram_size(sizes[0])[0]
+        own = [grams(codes(self.items[n][1]).astype(np.uint64), q) for n in members]
+        flat, owner = np.concatenate(own), np.repeat(np.arange(len(members)), [len(g) for g in own])
+        order = np.argsort(flat, kind="stable")
+        keys, first = np.unique(flat[order], return_index=True)
+        least = np.array([gram_size(n)[1] for n in sizes])
+        offset = np.concatenate([np.arange(len(g)) for g in own])
+        return Grams(q, -(-most_edits(max(sizes)) // PARTS), max(sizes), np.array(members), least, keys, np.append(first, len(flat)), owner[order], offset[order])
+
+    def collisions(self, text: np.ndarray, starts_of) -> Iterator[tuple[Windows, np.ndarray, np.ndarray, np.ndarray]]:
+        """(length class, document positions, items, offsets) of all windows with equal fingerprints, by chunk."""
+        for w in self.windows:
+            starts = starts_of(w)
             for a in range(0, len(starts), CHUNK):
                 part = starts[a : a + CHUNK]
-                keys, whole = embed(text, part, walk)
-                for table, own in zip(tables, keys, strict=True):
-                    low = np.searchsorted(table.keys, own, "left")
-                    found = np.flatnonzero(low < len(table.keys))
-                    found = found[table.keys[low[found]] == own[found]]
-                    if not len(found):
-                        continue
-                    counts = np.searchsorted(table.keys, own[found], "right") - low[found]
-                    rows = np.repeat(found, counts)
-                    entry = np.repeat(low[found] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
-                    yield walk, part[rows], table.item[entry], table.offset[entry], table.whole[entry] == whole[rows]
+                own = fingerprints(text, part, w.window)
+                low = np.searchsorted(w.keys, own, "left")
+                found = np.flatnonzero(low < len(w.keys))
+                found = found[w.keys[low[found]] == own[found]]
+                if not len(found):
+                    continue
+                counts = np.searchsorted(w.keys, own[found], "right") - low[found]
+                rows = np.repeat(found, counts)
+                entry = np.repeat(low[found] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
+                yield w, part[rows], w.item[entry], w.offset[entry]
 
 
 def _distinct_rows(rows: np.ndarray, columns: int) -> np.ndarray:
@@ -214,15 +262,8 @@ def _distinct_rows(rows: np.ndarray, columns: int) -> np.ndarray:
     return rows[new]
 
 
-def _groups(rows: np.ndarray, columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Combinations of the leading columns of sorted rows, where each begins, and how many rows it has."""
-    new = np.r_[True, (rows[1:, :columns] != rows[:-1, :columns]).any(axis=1)] if len(rows) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    return rows[at, :columns], at, np.diff(np.r_[at, len(rows)])
-
-
 def scan_batch(index: ItemIndex, texts: list[str]) -> dict[tuple[int, int], tuple[int, int]]:
-    """(text number, item number) -> (longest run, best alignment's edit distance) of the verified pairs of a batch."""
+    """(text number, item number) -> (longest run, least edit distance found) of the verified pairs of a batch."""
     best: dict[tuple[int, int], tuple[int, int]] = {}
     first, size = 0, 0
     flat: list[str] = []
@@ -236,28 +277,22 @@ def scan_batch(index: ItemIndex, texts: list[str]) -> dict[tuple[int, int], tupl
 
 
 def _scan_flat(index: ItemIndex, flat: list[str]) -> dict[tuple[int, int], tuple[int, int]]:
-    """As :func:`scan_batch`, of texts of letters and digits, which are laid end to end and embedded together."""
+    """As :func:`scan_batch`, of texts of letters and digits, which are laid end to end and hashed together."""
     lengths = np.array([len(t) for t in flat], np.int64)
     ends = np.cumsum(lengths)
     bases = ends - lengths
-    whole = padded("".join(flat), index.longest_window)
+    whole = padded("".join(flat), max(2, index.longest_window))
 
-    def starts_of(walk: Walk) -> np.ndarray:
-        counts = np.maximum(0, (lengths - walk.window) // walk.stride + 1)
-        counts[lengths < walk.window] = 0
+    def starts_of(w: Windows) -> np.ndarray:
+        counts = np.maximum(0, (lengths - w.window) // w.stride + 1)
+        counts[lengths < w.window] = 0
         within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        return np.repeat(bases, counts) + within * walk.stride
+        return np.repeat(bases, counts) + within * w.stride
 
     exact: list[np.ndarray] = []
-    near: list[np.ndarray] = []
-    for walk, at, item, offset, same in index.collisions(whole, starts_of):
+    for w, at, item, offset in index.collisions(whole, starts_of):
         doc = np.searchsorted(ends, at, "right")
-        place = at - bases[doc]
-        size = np.full(int(same.sum()), walk.window)
-        exact.append(np.stack([doc[same], item[same], place[same], offset[same], size], axis=1))
-        far = ~same
-        shift = (place - offset)[far]
-        near.append(np.stack([doc[far], item[far], shift // walk.window, place[far] // walk.stride, shift], axis=1))
+        exact.append(np.stack([doc, item, at - bases[doc], offset, np.full(len(at), w.window)], axis=1))
 
     best: dict[tuple[int, int], tuple[int, int]] = {}
     seen: set[tuple[int, int, int]] = set()
@@ -277,16 +312,21 @@ def _scan_flat(index: ItemIndex, flat: list[str]) -> dict[tuple[int, int], tuple
             continue
         seen.add((d, n, p - o))
         note(d, n, run, p - o)
-    strides = {walk.least_run: walk for walk, _ in index.tables}
-    if near:
-        # One row per colliding window and rough alignment, with the smallest shift seen there.
-        rows = _distinct_rows(np.concatenate(near), 4)
-        groups, at, counts = _groups(rows, 3)
-        for (d, n, _), i, count in zip(groups.tolist(), at.tolist(), counts.tolist(), strict=True):
-            text = index.items[n][1]
-            walk = next(w for least, w in sorted(strides.items(), reverse=True) if least <= -(-len(text) // 2))
-            if (d, n) not in best and count * walk.stride >= EDIT_WINDOWS * len(text):
-                note(d, n, 0, int(rows[i, 4]))
+    owner = np.repeat(np.arange(len(flat)), lengths)
+    packed = {g.q: grams(whole, g.q)[: len(owner)] for g in index.grams}
+    for g in index.grams:
+        # Documents lie so far apart that no shift belongs to two.
+        room = 2 * g.longest + (PARTS + 1) * g.cell
+        firsts = bases + np.arange(len(flat)) * room
+        for which, low, high in g.candidates(packed[g.q], np.arange(len(owner)) + owner * room):
+            doc = np.maximum(0, np.searchsorted(firsts, high + g.longest, "right") - 1)
+            for d, n, a, b in zip(doc.tolist(), g.items[which].tolist(), (low - firsts[doc]).tolist(), (high - firsts[doc]).tolist(), strict=True):
+                text = index.items[n][1]
+                old, k = best.get((d, n), (0, len(text))), most_edits(len(text))
+                if old[1]:
+                    distance = nearest_distance(text, flat[d][max(0, a - k) : max(0, b + len(text) + 2 * k)])
+                    if (d, n) in best or distance <= k:
+                        best[d, n] = (old[0], min(old[1], distance))
     return best
 
 
@@ -323,7 +363,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, run_share: float = RUN_SH
 
     Columns: doc_id, item_id, run_chars (longest common unbroken run found),
     item_chars (both in letters and digits), run_share, edit_similarity (of the item
-    and the place it was found at) and ``form``: ``whole``, ``part`` (a run of at
+    and the nearest place found; from EDIT_SIMILARITY on the nearest of all) and ``form``: ``whole``, ``part`` (a run of at
     least ``run_share`` of the item) or ``edited`` (no such run, but an edit
     similarity of EDIT_SIMILARITY or more).
 

@@ -59,6 +59,41 @@ def test_edited_copies_and_distance():
     assert run < len(flat) / 2 and 1 - distance / len(flat) >= leakage.EDIT_SIMILARITY
 
 
+def _nearest(item, text):
+    row = [0] * (len(text) + 1)
+    for i, ch in enumerate(item, 1):
+        old, row = row, [i]
+        for j, other in enumerate(text, 1):
+            row.append(min(old[j - 1] + (ch != other), old[j] + 1, row[-1] + 1))
+    return min(row)
+
+
+def test_edited_copies_against_brute_force():
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrst承包人计量"
+    item = lambda size: "".join(rng.choice(letters) for _ in range(size))
+    items = [(i, item(size)) for i, size in enumerate([4, 6, 9, 12, 25, 40, 80, 81, 110, 160])] + [(10, "ab" * 30)]
+    docs = []
+    for n, text in items * 2:
+        for rate in (0.05, 0.1, 0.15, 0.2, 0.25):
+            copy = list(text)
+            for p in rng.sample(range(len(text)), int(rate * len(text))):
+                copy[p] = rng.choice([rng.choice(letters), "", copy[p] + rng.choice(letters)])
+            docs.append(item(rng.randrange(60)) + "".join(copy) + item(rng.randrange(60)))
+    docs += ["", None, items[7][1]]
+    index = leakage.ItemIndex(items)
+    found = leakage.scan_batch(index, docs)
+    edited = 0
+    for d, doc in enumerate(docs):
+        for n, (_, text) in enumerate(index.items):
+            distance = _nearest(text, doc or "")
+            assert leakage.nearest_distance(text, doc or "") == distance
+            if 1 - distance / len(text) >= leakage.EDIT_SIMILARITY:
+                assert found[d, n][1] == distance, (d, n)
+                edited += distance > 0 and found[d, n][0] * 2 < len(text)
+    assert edited >= 20
+
+
 def _documents(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice(["a", "A ", "b", "c", None, "other"]), " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.randrange(0, 60)))) for i in range(600)]
