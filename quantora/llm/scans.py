@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -28,6 +28,7 @@ from quantora.llm.leakage import edit_distance
 from quantora.session import cut_lineage
 
 #: Vectors are learned for at most so many words over so many contexts; other words get theirs from their contexts.
+#: Links are searched to so many frequent words at once.
 WORDS, CONTEXTS, DIMENSIONS, SHIFT = 8_000, 2_000, 48, 1.0
 #: A word is frequent if trusted pages have it so often.
 FREQUENT = 2
@@ -337,13 +338,25 @@ def learn_vectors(frequent: dict[str, int], pairs: pd.DataFrame) -> Lexicon:
     size = np.linalg.norm(word_vectors, axis=1, keepdims=True)
     word_vectors = np.where(size > 0, word_vectors / np.maximum(size, 1e-9), 0).astype(np.float32)
     lexicon = Lexicon(words, contexts, context_vectors, word_vectors, np.maximum(columns.ravel(), 1.0), total)
+    lexicon.by_first, lexicon.by_second = by_ideogram(words)
+    return lexicon
+
+
+def by_ideogram(words: dict[str, int]) -> tuple[dict[str, list[str]], dict[str, list[str]]]:
+    """The pairs with ideograms by their first and by their second character."""
     first, second = defaultdict(list), defaultdict(list)
     for w in words:
         if len(w) == 2 and (_IDEOGRAM.match(w[0]) or _IDEOGRAM.match(w[1])):
             first[w[0]].append(w)
             second[w[1]].append(w)
-    lexicon.by_first, lexicon.by_second = dict(first), dict(second)
-    return lexicon
+    return dict(first), dict(second)
+
+
+def other_words(lexicon: Lexicon, counts: dict[str, int], vectors: list) -> Lexicon:
+    """The lexicon with other frequent words, whose vectors come from their contexts."""
+    words = {w: i for i, w in enumerate(counts)}
+    first, second = by_ideogram(words)
+    return replace(lexicon, words=words, word_vectors=np.array(vectors, np.float32), counts=counts, by_first=first, by_second=second)
 
 
 def glyph_edits(word: str) -> set[str]:
@@ -378,14 +391,40 @@ def _link(lexicon: Lexicon):
                 for w, place, glyph, meant in found:
                     if lexicon.counts[w] < n * (COMMONER if place >= 0 else COMMONER_LATIN):
                         continue
-                    cosine = float(v @ lexicon.word_vectors[lexicon.words[w]])
-                    if cosine >= NEAR or place < 0:
+                    meant_v = lexicon.word_vectors[lexicon.words[w]]
+                    # Without a known context on either side only the glyphs can tell.
+                    cosine = float(v @ meant_v) if v.any() and meant_v.any() else None
+                    if cosine is None or cosine >= NEAR or place < 0:
                         rows.append((word, w, place, glyph, meant, cosine, n))
-            yield pd.DataFrame(rows, columns=["word", "frequent", "place", "glyph", "meant", "cosine", "n"])
+            yield pd.DataFrame(rows, columns=["word", "frequent", "place", "glyph", "meant", "cosine", "n"]).astype({"cosine": "Float64"})
+
+    return run
+
+
+def _vectors(lexicon: Lexicon):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            vectors = [lexicon.vector([c["context"] for c in contexts], [c["n"] for c in contexts]).tolist() for contexts in pdf["contexts"]]
+            yield pd.DataFrame({"word": pdf["word"], "n": pdf["n"], "vector": vectors})
 
     return run
 
 
+def _blocks(lexicon: Lexicon, others: DataFrame) -> Iterator[Lexicon]:
+    """The lexicon, then the ``others`` (word, n, contexts) in blocks of WORDS words."""
+    yield lexicon
+    counts: dict[str, int] = {}
+    vectors: list = []
+    for r in cut_lineage(others.mapInPandas(_vectors(lexicon), "word string, n bigint, vector array<float>")).toLocalIterator():
+        counts[r["word"]] = r["n"]
+        vectors.append(r["vector"])
+        if len(counts) == WORDS:
+            yield other_words(lexicon, counts, vectors)
+            counts, vectors = {}, []
+    if counts:
+        yield other_words(lexicon, counts, vectors)
+
+
 @dataclass
 class Corrections:
     """Links by rare word, the frequent words, and the hyphenated compounds."""
@@ -586,9 +625,20 @@ def learn_corrections(pages: DataFrame) -> Corrections:
     lexicon.counts = {r["word"]: r["n"] for r in words.join(own, "word").select("word", (F.col("trusted") + F.col("recognised")).alias("n")).collect()}  # at most WORDS rows
     rare = words.join(trusted.select("word"), "word", "left_anti").filter(F.col("recognised") > 0).select("word", F.col("recognised").alias("n"))
     seen = pairs.groupBy("word").agg(F.collect_list(F.struct("context", (F.col("trusted") + F.col("recognised")).alias("n"))).alias("contexts"))
-    linked = cut_lineage(rare.join(seen, "word", "left").withColumn("contexts", F.coalesce("contexts", F.array().cast("array<struct<context:string,n:bigint>>"))).mapInPandas(_link(lexicon), _LINKED))
+    in_context = lambda some: some.join(seen, "word", "left").withColumn("contexts", F.coalesce("contexts", F.array().cast("array<struct<context:string,n:bigint>>")))
+    suspects = in_context(rare)
+    if trusted.count() > len(frequent):
+        suspects = cut_lineage(suspects)
+        others = words.join(trusted.select("word"), "word", "left_semi").join(own, "word", "left_anti").select("word", (F.col("trusted") + F.col("recognised")).alias("n"))
+        blocks = _blocks(lexicon, in_context(others))
+    else:
+        blocks = iter([lexicon])
+    linked = None
+    for block in blocks:
+        part = cut_lineage(suspects.mapInPandas(_link(block), _LINKED))
+        linked = part if linked is None else linked.unionByName(part)
     ideograms = linked.filter(F.col("place") >= 0)
-    support = ideograms.groupBy("glyph", "meant").agg(F.count_distinct("word").alias("_links"))
+    support = ideograms.filter(F.col("cosine").isNotNull()).groupBy("glyph", "meant").agg(F.count_distinct("word").alias("_links"))
     of_glyph = support.groupBy("glyph").agg(F.max("_links").alias("_all"))
     of_known = trusted.select(F.explode(F.array_distinct(F.split("word", ""))).alias("glyph")).groupBy("glyph").agg(F.count("*").alias("_known"))
     digit_like = F.col("glyph").isin(*DIGIT_LIKE) & (F.col("meant") == "0")

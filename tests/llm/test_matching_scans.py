@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from quantora.llm import matching, scans
 
@@ -99,3 +100,18 @@ def test_glyph_edits_and_vectors():
     near = lex.vector(["剪", "力"], [2, 2])
     assert near @ lex.word_vectors[lex.words["墙体"]] > near @ lex.word_vectors[lex.words["柱子"]]
     assert scans.chinese_number("十二") == 12 and scans.chinese_number("x") is None
+
+
+def test_links_reach_all_frequent_words(spark, monkeypatch):
+    placed = scans._usable(_pages(spark)).withColumns({"titles": F.lit(None).cast("array<string>"), "offset": F.lit(None).cast("int")})
+    monkeypatch.setattr(scans, "WORDS", 4)
+    assert scans.learn_corrections(placed).latin["measurecl"] == "measured"
+
+
+def test_links_of_words_without_known_context():
+    pairs = pd.DataFrame([("墙体", "剪", 9), ("墙体", "力", 9)], columns=["word", "context", "n"])
+    lex = scans.learn_vectors({"墙体": 18}, pairs)
+    lex.counts = {"墙体": 18}
+    rare = pd.DataFrame({"word": ["墙休"], "n": [1], "contexts": [[]]})
+    (got,) = scans._link(lex)(iter([rare]))
+    assert got["frequent"].tolist() == ["墙体"] and got["cosine"].isna().all()
