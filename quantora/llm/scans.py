@@ -53,6 +53,7 @@ _TOKEN = re.compile(r"[A-Za-zÀ-ɏ0-9]+|[㐀-鿿぀-ヿ]|[^\sA-Za-zÀ-ɏ0-9㐀-
 _COMPOUND = re.compile(r"[A-Za-z]+(?:-[A-Za-z]+)+")
 _IDEOGRAM = re.compile(r"[㐀-鿿぀-ヿ]")
 _DIGITS = re.compile(r"[0-9]+")
+_FIGURE_BEFORE, _FIGURE_BEHIND = re.compile(r"[0-9][.,]?$"), re.compile(r"[.,]?[0-9]")
 _NUMERIC = re.compile(r"^(?=.*[0-9])[0-9OolIiSsBbZz]+$")
 _BEHIND_TITLE = re.compile(r"(?:\s*\|\s*|\s{2,}|　+)([0-9OolISBbZ]{1,5})\s*$")
 _HEADING = re.compile(r"^(?:[一二三四五六七八九十]+、|\d{1,2}\. [A-Z])")
@@ -394,7 +395,7 @@ def _link(lexicon: Lexicon):
                     meant_v = lexicon.word_vectors[lexicon.words[w]]
                     # Without a known context on either side only the glyphs can tell.
                     cosine = float(v @ meant_v) if v.any() and meant_v.any() else None
-                    if cosine is None or cosine >= NEAR or place < 0:
+                    if cosine is None or cosine >= NEAR:
                         rows.append((word, w, place, glyph, meant, cosine, n))
             yield pd.DataFrame(rows, columns=["word", "frequent", "place", "glyph", "meant", "cosine", "n"]).astype({"cosine": "Float64"})
 
@@ -436,6 +437,18 @@ class Corrections:
     #: The likeliest meaning of each glyph that bears links, and the characters of the frequent words.
     glyphs: dict[str, str] = field(default_factory=dict)
     characters: set[str] = field(default_factory=set)
+    #: What gives the places of linked Latin words vectors, and the vectors of the frequent words they are linked to.
+    lexicon: Lexicon | None = None
+    vectors: dict[str, np.ndarray] = field(default_factory=dict)
+
+    def agrees(self, word: str, around: list[str]) -> bool:
+        """Whether a place with the tokens ``around`` may hold a frequent Latin word; without known ones it may."""
+        meant = self.vectors.get(word)
+        if self.lexicon is None or meant is None:
+            return True
+        n = Counter(around)
+        v = self.lexicon.vector(list(n), list(n.values()))
+        return not v.any() or not meant.any() or float(v @ meant) >= NEAR
 
 
 def misread_places(body: Body, c: Corrections) -> dict[int, tuple[str, int]]:
@@ -446,6 +459,7 @@ def misread_places(body: Body, c: Corrections) -> dict[int, tuple[str, int]]:
         start, offset = start + 1 + len(block), start + 1
         found = tokens_of(block)
         toks = ["", *(t for t, _ in found), ""]
+        around = ["^", *toks[1:-1], "$"]
         for i, (t, p) in enumerate(found, 1):
             left, right = toks[i - 1], toks[i + 1]
             p += offset
@@ -454,7 +468,13 @@ def misread_places(body: Body, c: Corrections) -> dict[int, tuple[str, int]]:
                 if t == "0" or not t[0].isalnum():
                     continue
                 low = t.lower()
-                if low in c.latin:
+                at = p - offset
+                in_figure = _FIGURE_BEFORE.search(block[max(0, at - 2) : at]) or _FIGURE_BEHIND.match(block, at + len(t))
+                if in_figure and low not in c.known and digits_of(t).isdigit():
+                    out[p] = (digits_of(t), len(t))
+                    continue
+                around = ["^", *toks[1:-1], "$"]
+                if low in c.latin and c.agrees(c.latin[low], [around[min(max(i + step, 0), len(around) - 1)].lower() for step in (-2, -1, 1, 2)]):
                     out[p] = (c.latin[low], len(t))
                 elif low not in c.known:
                     if _NUMERIC.match(t):
@@ -634,9 +654,12 @@ def learn_corrections(pages: DataFrame) -> Corrections:
     else:
         blocks = iter([lexicon])
     linked = None
+    vectors: dict[str, np.ndarray] = {}
     for block in blocks:
         part = cut_lineage(suspects.mapInPandas(_link(block), _LINKED))
         linked = part if linked is None else linked.unionByName(part)
+        targets = part.filter(F.col("place") < 0).select("frequent").distinct()
+        vectors |= {r["frequent"]: block.word_vectors[block.words[r["frequent"]]] for r in targets.collect()}  # at most WORDS rows
     ideograms = linked.filter(F.col("place") >= 0)
     support = ideograms.filter(F.col("cosine").isNotNull()).groupBy("glyph", "meant").agg(F.count_distinct("word").alias("_links"))
     of_glyph = support.groupBy("glyph").agg(F.max("_links").alias("_all"))
@@ -668,7 +691,9 @@ def learn_corrections(pages: DataFrame) -> Corrections:
         raise ValueError(f"{n} frequent words exceed MOST_LINKS; raise it to the memory of the tasks")
     known = {r["word"] for r in needed.select("word").collect()}
     characters = {ch for w in known for ch in w}
-    return Corrections(dict(links), {r["word"]: r["frequent"] for r in latin.collect()}, known, compounds, glyphs, characters)
+    fixed = {r["word"]: r["frequent"] for r in latin.collect()}
+    contexts_only = replace(lexicon, words={}, word_vectors=lexicon.word_vectors[:0], counts={}, by_first={}, by_second={})
+    return Corrections(dict(links), fixed, known, compounds, glyphs, characters, contexts_only, {w: vectors[w] for w in set(fixed.values())})
 
 
 _FINDINGS = "page_id bigint, line_no int, kind string"

@@ -115,3 +115,16 @@ def test_links_of_words_without_known_context():
     rare = pd.DataFrame({"word": ["墙休"], "n": [1], "contexts": [[]]})
     (got,) = scans._link(lex)(iter([rare]))
     assert got["frequent"].tolist() == ["墙体"] and got["cosine"].isna().all()
+
+
+def test_latin_links_need_context():
+    pairs = pd.DataFrame([("modern", "house", 9), ("modern", "city", 9), ("cable", "wire", 9), ("cable", "dial", 9)], columns=["word", "context", "n"])
+    lex = scans.learn_vectors({"modern": 18, "cable": 18}, pairs)
+    lex.counts = {"modern": 18, "cable": 18}
+    row = lambda *names: pd.DataFrame({"word": ["modem"], "n": [1], "contexts": [[{"context": x, "n": 1} for x in names]]})
+    (far,), (near,) = scans._link(lex)(iter([row("wire", "dial")])), scans._link(lex)(iter([row("house", "city")]))
+    assert not len(far) and near["frequent"].tolist() == ["modern"]
+    c = scans.Corrections({}, {"modem": "modern", "o": "a"}, {"modern", "a"}, {}, lexicon=lex, vectors={"modern": lex.word_vectors[0]})
+    read = lambda text: {p: meant for p, (meant, _) in scans.misread_places(scans.body_of(text, set()), c).items()}
+    assert read("house modem city") == {6: "modern"} and read("wire modem dial") == {} and read("x modem y") == {2: "modern"}
+    assert read("rate 2.O% of") == {7: "0"} and read("378.O labour days") == {4: "0"} and read("such o house") == {5: "a"}
