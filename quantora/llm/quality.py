@@ -39,7 +39,7 @@ SHORT_FIELDS = "^[^,，;；。]{1,9}+(?:[,，;；][^,，;；。]{0,9}+){4,}+$"
 DELIMITED = "\\t[^\\t]*\\t|\\|[^|]*\\||\\S {2,}\\S(?:[^ ]| (?! ))* {2,}\\S"
 FIELD = "^\\s*+[^\\s:：=，。,.;；][^:：=，。,.;；\\t]{0,24}+[:：=\\t]\\s*+\\S[^。]{0,60}$"
 FIELD_CHARS = 100
-REPEATED = "^.{0,8}?(.{1,8}?)\\1{11,}"
+REPEATED = "(.{1,8}?)\\1{11,}"
 SENTENCE_BREAK = "[。！？!?]|[.;；，] .*[.;，] "
 
 STATISTICS = ("n_chars", "n_words", "mean_word_length", "symbol_ratio", "punctuated_line_share", "common_word_share")

@@ -59,3 +59,10 @@ def test_kinds_and_reasons(spark):
     assert quality.quality(docs, words.limit(0)).filter("doc_id = 12").first().kind == "prose"  # no stop words, no such rule
     long = spark.range(1).select(F.lit(1).alias("doc_id"), F.repeat(F.lit("双方同意按测量结果计量，"), 20000).alias("text"))
     assert quality.quality(long, words).first().n_chars == 240000
+
+
+def test_repetition_anywhere_in_a_line(spark):
+    words = spark.createDataFrame([("the", "en")], "word string, lang string")
+    docs = spark.createDataFrame([(1, "a long label stands here: " + "x-" * 60), (2, "a long label stands here and goes on")], "doc_id bigint, text string")
+    got = {r.doc_id: r.reasons for r in quality.quality(docs, words).collect()}
+    assert "repeated filler" in got[1] and "repeated filler" not in got[2]
