@@ -17,9 +17,9 @@ from quantora.functions.numbers import INVISIBLE, plain_figures
 from quantora.functions.units import read_unit
 from quantora.session import cut_lineage
 
-# A readable figure, anything short before it, and what follows it.
-_FIGURE = "^[^0-9见附第#]{0,6}?((?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\\.[0-9]+)?)(?![0-9.,])"
-_TAIL = _FIGURE + "\\s*\\)?\\s*[\\[(【]?\\s*(.*?)\\s*[\\])】]?$"
+# A readable figure, anything before it, and what follows it.
+_FIGURE = "^[^0-9见附第#]*?((?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\\.[0-9]+)?)(?![0-9]|[.,][0-9])"
+_TAIL = _FIGURE + "[.,]?\\s*\\)?\\s*[\\[(【]?\\s*(.*?)\\s*[\\])】]?$"
 # The ways in which a description states the unit of its quantity.
 _STATEMENTS = (
     "(?i)(?:计量单位|单位|unit)\\s*[:：]\\s*([^;；,，()（）【】]+)",

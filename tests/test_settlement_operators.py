@@ -135,3 +135,11 @@ def test_previous_row_across_blocks(spark):
     rows = spark.createDataFrame([(k, n) for k in "ab" for n in (1, 5, 1023, 1024, 5000)], "k string, n int")
     got = {(r.k, r.n): r.prev_n for r in previous_row(rows, "k", "n", ["n"]).collect()}
     assert got["a", 1] is None and got["a", 1024] == 1023 and got["b", 5000] == 1024 and got["b", 5] == 1
+
+
+def test_figures_with_text_around_them(spark):
+    texts = ["quantity: 12.5 m2", "12.5，m2", "12.5.", "12.5.3", "1,234,5"]
+    rows = to_base_units(spark.createDataFrame([(i, t, "m2", None) for i, t in enumerate(texts)], "id int, quantity string, unit string, feature string"))
+    assert {r.record_id: r.base_quantity and float(r.base_quantity) for r in rows.collect()} == {0: 12.5, 1: 12.5, 2: 12.5, 3: None, 4: None}
+    bare = to_base_units(spark.createDataFrame([(0, "12.5，m2", None, None)], "id int, quantity string, unit string, feature string")).first()
+    assert bare.spelling == "m2" and bare.status == "converted"
