@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 from quantora.session import cut_lineage
 
 _REFERENCE = re.compile(r"(?:'([^']+)'|([A-Za-z_一-鿿][\w一-鿿]*))?(!)?\$?([A-Z]{1,3})\$?([1-9]\d*)(?::\$?([A-Z]{1,3})\$?([1-9]\d*))?")
-#: Cells a range may span, edges may be followed, and cells an impact may reach before it is called incomplete.
-MOST_CELLS, MOST_DEPTH, MOST_NODES = 10_000, 32, 1_000_000
+#: Cells a range may span before its formula is called incomplete.
+MOST_CELLS = 10_000
 # Functions whose references are not known before they run.
 OPAQUE = ("INDIRECT", "OFFSET", "INDEX", "CHOOSE")
 
@@ -76,16 +77,16 @@ def formula_edges(formulas: DataFrame) -> DataFrame:
     return formulas.select("sheet", "row", "col", "formula").mapInPandas(run, "source_sheet string, source_row int, source_col int, sheet string, row int, col int")
 
 
-def impact(edges: DataFrame, seeds: DataFrame, source: str = "source", target: str = "target", max_depth: int = MOST_DEPTH) -> DataFrame:
+def impact(edges: DataFrame, seeds: DataFrame, source: str = "source", target: str = "target", max_depth: int | None = None) -> DataFrame:
     """node and depth of everything that a seed node reaches, breadth first; ``seeds`` has ``node``.
 
     Each level is one join of the newly reached nodes with the edges; nodes reached
-    before are left out, so cycles end.
+    before are left out, so cycles end. Without ``max_depth`` nothing is left out.
     """
     links = cut_lineage(edges.select(F.col(source).alias("node"), F.col(target).alias("_next")).distinct())
     reached = cut_lineage(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     front = reached
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         new = front.join(links, "node").select(F.col("_next").alias("node")).distinct().join(reached, "node", "left_anti").withColumn("depth", F.lit(depth))
         front = cut_lineage(new)
         if front.isEmpty():

@@ -90,3 +90,8 @@ def test_formula_impact(spark):
     e = formulas.formula_edges(f).select(F.concat_ws("!", "source_sheet", "source_row", "source_col").alias("source"), F.concat_ws("!", "sheet", "row", "col").alias("target"))
     reached = {r.node: r.depth for r in formulas.impact(e, spark.createDataFrame([("s!1!1",)], "node string")).collect()}
     assert reached == {"s!1!1": 0, "s!2!1": 1, "s!3!1": 2}
+
+
+def test_formula_impact_of_long_chains(spark):
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(36)], "source string, target string")
+    assert formulas.impact(e, spark.createDataFrame([("n0",)], "node string")).count() == 37
