@@ -1,13 +1,15 @@
 """What changed between consecutive full snapshots, by invertible Bloom lookup tables.
 
-Each snapshot is reduced to one lookup table per hash bucket, built beside its own
-rows (one shuffle of the rows, none of the tables). The tables of two consecutive
-snapshots are subtracted; what is left holds only the difference, and peeling lists
-its (key, value) hash pairs. Only lookup-table cells cross the network between
-snapshots, so the exchange follows the size of the tables, not of the snapshots.
-
-Buckets that do not peel are built again, enlarged, from their rows; buckets that
-still fail after the last enlargement are compared row by row, so no change is lost.
+The source is read once (and once more for its rows a version): a row delivered twice must count once, so the rows are
+shuffled once by version and hash bucket and kept in a checkpoint. Each snapshot is
+reduced to one lookup table per bucket, built beside its own rows. The tables of two
+consecutive snapshots are subtracted; what is left holds only the difference, and
+peeling lists its (key, value) hashes. Between snapshots only table cells cross the
+network, about half a cell a row.
+
+A key is known by 128 bits of hash, so that keys of one version do not meet. Buckets
+that do not peel are built again, enlarged, from the kept rows; buckets that still
+fail after the last enlargement are compared row by row, so no change is lost.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ BUCKET_ROWS, CELLS_PER_ROW, LEAST_THIRD = 256, 0.5, 8
 #: Each enlargement multiplies the cells by this; after so many a bucket is compared directly.
 ENLARGE, ROUNDS = 4, 3
 HASHES = 3
+_SUMS = ("_k", "_k2", "_v", "_c")
 _MASK = (1 << 64) - 1
 
 
@@ -64,13 +67,14 @@ def _value_hash(fields: list[str]) -> Column:
 
 
 def _keyed_items(items: DataFrame, fields: list[str]) -> DataFrame:
-    """version_id, key hash, value hash and the key itself of each usable snapshot row."""
+    """version_id, the two key hashes, value hash and the key itself of each usable snapshot row."""
     return items.select(
         F.col("version_id").cast("bigint").alias("version_id"),
         F.col("id").cast("bigint").alias("_row"),
         F.col("identity_key").cast("string").alias("identity_key"),
         F.col("occurrence").cast("int").alias("occurrence"),
         F.xxhash64("identity_key", "occurrence").alias("_k"),
+        F.xxhash64(F.lit(1), "identity_key", "occurrence").alias("_k2"),
         _value_hash(fields).alias("_v"),
     ).filter(F.col("version_id").isNotNull() & F.col("identity_key").isNotNull() & F.col("occurrence").isNotNull())
 
@@ -78,80 +82,83 @@ def _keyed_items(items: DataFrame, fields: list[str]) -> DataFrame:
 def _cells(entries: DataFrame, level: int) -> DataFrame:
     """The lookup-table cells of each (version, bucket): count and XOR sums, beside the rows.
 
-    Positions come from the hash of the (key, value) pair, one per third of the
+    Positions come from the hash of key and value, one per third of the
     table; cell -1 holds the digest of the whole bucket.
     """
-    h = F.xxhash64("_k", "_v", F.lit(level))
+    h = F.xxhash64("_k", "_k2", "_v", F.lit(level))
     position = lambda i: F.pmod(F.shiftrightunsigned(h, 21 * i).bitwiseAND(F.lit(0x1FFFFF)), F.col("_third").cast("bigint")) + F.col("_third") * i
     spread = entries.select(
         "version_id",
         "_bucket",
         "_third",
         "_k",
+        "_k2",
         "_v",
-        F.xxhash64("_v", "_k").alias("_c"),
+        F.xxhash64("_v", "_k", "_k2").alias("_c"),
         F.explode(F.array(F.lit(-1).cast("bigint"), *[position(i).cast("bigint") for i in range(HASHES)])).alias("_cell"),
     )
-    return spread.groupBy("version_id", "_bucket", "_third", "_cell").agg(
-        F.count("*").alias("_n"), F.bit_xor("_k").alias("_k"), F.bit_xor("_v").alias("_v"), F.bit_xor("_c").alias("_c")
-    )
+    return spread.groupBy("version_id", "_bucket", "_third", "_cell").agg(F.count("*").alias("_n"), *_xor_sums())
+
+
+def _xor_sums() -> list[Column]:
+    return [F.bit_xor(c).alias(c) for c in _SUMS]
 
 
 def _subtract(cells: DataFrame, sides: DataFrame) -> DataFrame:
     """Cells of the later snapshot minus cells of the earlier; one row per (pair, bucket) with what is left."""
     signed = cells.join(sides, "version_id").select(
-        "pair_id", "_bucket", "_third", "_cell", (F.col("_n") * F.col("sign")).alias("_n"), "_k", "_v", "_c"
+        "pair_id", "_bucket", "_third", "_cell", (F.col("_n") * F.col("sign")).alias("_n"), *_SUMS
     )
     left = (
         signed.groupBy("pair_id", "_bucket", "_third", "_cell")
-        .agg(F.sum("_n").alias("_n"), F.bit_xor("_k").alias("_k"), F.bit_xor("_v").alias("_v"), F.bit_xor("_c").alias("_c"))
-        .filter((F.col("_n") != 0) | (F.col("_k") != 0) | (F.col("_v") != 0) | (F.col("_c") != 0))
+        .agg(F.sum("_n").alias("_n"), *_xor_sums())
+        .filter((F.col("_n") != 0) | (F.col("_k") != 0) | (F.col("_k2") != 0) | (F.col("_v") != 0) | (F.col("_c") != 0))
     )
-    return left.groupBy("pair_id", "_bucket", "_third").agg(F.collect_list(F.struct("_cell", "_n", "_k", "_v", "_c")).alias("cells"))
+    return left.groupBy("pair_id", "_bucket", "_third").agg(F.collect_list(F.struct("_cell", "_n", *_SUMS)).alias("cells"))
 
 
-def _hash_pair(a: int, b: int, *more: int) -> int:
+def _hash_longs(*longs: int) -> int:
     """Spark's xxhash64 of longs: XXH64 of each value's eight bytes, seeded by the hash before."""
     seed = 42
-    for x in (a, b, *more):
+    for x in longs:
         seed = xxhash.xxh64_intdigest(struct.pack("<q", x), seed=seed)
     return seed
 
 
-def _hash_level(a: int, b: int, level: int) -> int:
-    """As :func:`_hash_pair` with a trailing 32-bit level, as the cells hash it."""
-    return xxhash.xxh64_intdigest(struct.pack("<i", level), seed=_hash_pair(a, b))
+def _hash_level(level: int, *longs: int) -> int:
+    """As :func:`_hash_longs` with a trailing 32-bit level, as the cells hash it."""
+    return xxhash.xxh64_intdigest(struct.pack("<i", level), seed=_hash_longs(*longs))
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def peel(third: int, cells: list[tuple[int, int, int, int, int]], level: int) -> list[tuple[int, int, int]] | None:
-    """The (key hash, value hash, sign) pairs of a subtracted table, or None if it does not peel.
+def peel(third: int, cells: list[tuple[int, ...]], level: int) -> list[tuple[int, int, int, int]] | None:
+    """The (key hashes, value hash, sign) of a subtracted table, or None if it does not peel.
 
-    ``cells``: (cell, count, key XOR, value XOR, check XOR). A list is returned only
-    if every cell came out empty and the bucket's digest (cell -1) is explained.
+    ``cells``: (cell, count, XOR of the first and second key hash, of the value and of
+    the check). A list is returned only if every cell came out empty and the bucket's
+    digest (cell -1) is explained.
     """
-    table = {c: [n, k, v, x] for c, n, k, v, x in cells if c >= 0}
-    digest = next(([n, k, v, x] for c, n, k, v, x in cells if c < 0), [0, 0, 0, 0])
+    table = {c: list(sums) for c, *sums in cells if c >= 0}
+    digest = next((list(sums) for c, *sums in cells if c < 0), [0] * 5)
     out, queue = [], list(table)
     while queue:
         cell = table.get(queue.pop())
-        if cell is None or cell[0] not in (1, -1) or _signed(_hash_pair(cell[2], cell[1])) != cell[3]:
+        if cell is None or cell[0] not in (1, -1):
             continue
-        sign, k, v, check = cell
-        h = _hash_level(k, v, level)
-        for i in range(HASHES):
-            at = ((h >> (21 * i)) & 0x1FFFFF) % third + third * i
-            c = table.setdefault(at, [0, 0, 0, 0])
+        sign, k, k2, v, check = cell
+        if _signed(_hash_longs(v, k, k2)) != check:
+            continue
+        h = _hash_level(level, k, k2, v)
+        places = [((h >> (21 * i)) & 0x1FFFFF) % third + third * i for i in range(HASHES)]
+        for c in (*(table.setdefault(at, [0] * 5) for at in places), digest):
             c[0] -= sign
-            c[1] ^= k
-            c[2] ^= v
-            c[3] ^= check
-            queue.append(at)
-        digest = [digest[0] - sign, digest[1] ^ k, digest[2] ^ v, digest[3] ^ check]
-        out.append((k, v, sign))
+            for j, x in enumerate((k, k2, v, check), 1):
+                c[j] ^= x
+        queue += places
+        out.append((k, k2, v, sign))
         if len(out) > 4 * len(table) + 4:
             return None
     clean = not any(x for c in table.values() for x in c) and not any(digest)
@@ -159,23 +166,23 @@ def peel(third: int, cells: list[tuple[int, int, int, int, int]], level: int) ->
 
 
 def _peel_batches(level: int):
-    """An Arrow mapper from subtracted tables to recovered pairs; a null key marks a bucket that failed."""
+    """An Arrow mapper from subtracted tables to recovered keys; a null key marks a bucket that failed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for pair, bucket, third, cells in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                got = peel(third, [(c["_cell"], c["_n"], c["_k"], c["_v"], c["_c"]) for c in cells], level)
-                rows += [(pair, bucket, None, None)] if got is None else [(pair, bucket, k, s) for k, _, s in got]
-            cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+                got = peel(third, [tuple(c.values()) for c in cells], level)
+                rows += [(pair, bucket, None, None, None)] if got is None else [(pair, bucket, k, k2, s) for k, k2, _, s in got]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), pa.int64()) for c in cols], names=["pair_id", "_bucket", "_k", "sign"]
+                [pa.array(list(c), pa.int64()) for c in cols], names=["pair_id", "_bucket", "_k", "_k2", "sign"]
             )
 
     return run
 
 
-_PEELED = "pair_id bigint, _bucket bigint, _k bigint, sign bigint"
+_PEELED = "pair_id bigint, _bucket bigint, _k bigint, _k2 bigint, sign bigint"
 
 
 def snapshot_changes(versions: DataFrame, items: DataFrame, fields: tuple[str, ...] = ("unit_price", "amount"), bucket_rows: int = BUCKET_ROWS, cells_per_row: float = CELLS_PER_ROW, rounds: int = ROUNDS) -> DataFrame:
@@ -222,12 +229,12 @@ def snapshot_changes(versions: DataFrame, items: DataFrame, fields: tuple[str, .
             F.greatest(F.lit(LEAST_THIRD), F.ceil(F.col("_rows") / F.col("_buckets") * F.lit(cells_per_row) / F.lit(HASHES))).cast("bigint"),
         )
     )
-    # One shuffle of the rows; the deduplication and the tables below reuse its partitioning.
-    single = (
+    # The one shuffle of the rows; tables, retries and names are made from what is kept here.
+    single = cut_lineage(
         entries.repartition("version_id", "_bucket")
-        .groupBy("version_id", "_bucket", "_third", "_k")
-        .agg(F.min(F.struct("_row", "_v")).alias("_first"))
-        .select("version_id", "_bucket", "_third", "_k", "_first._v")
+        .groupBy("version_id", "_bucket", "_third", "_k", "_k2")
+        .agg(F.min(F.struct("_row", "_v", "identity_key", "occurrence")).alias("_first"))
+        .select("version_id", "_bucket", "_third", "_k", "_k2", "_first._v", "_first.identity_key", "_first.occurrence")
     )
 
     recovered = cut_lineage(_subtract(_cells(single, 0), sides).mapInArrow(_peel_batches(0), _PEELED))
@@ -249,23 +256,25 @@ def snapshot_changes(versions: DataFrame, items: DataFrame, fields: tuple[str, .
     if failed is not None and not failed.isEmpty():
         done = done.unionByName(_compare_directly(single, failed, sides))
 
-    kind = done.groupBy("pair_id", "_k").agg(F.max(F.col("sign") > 0).alias("_in_next"), F.max(F.col("sign") < 0).alias("_in_prev"))
+    kind = done.groupBy("pair_id", "_bucket", "_k", "_k2").agg(F.max(F.col("sign") > 0).alias("_in_next"), F.max(F.col("sign") < 0).alias("_in_prev"))
     named = kind.join(pairs, "pair_id").select(
         "project_id",
         "version_no",
+        "_bucket",
         "_k",
+        "_k2",
         F.when(F.col("_in_next"), F.col("next_id")).otherwise(F.col("prev_id")).alias("version_id"),
         F.when(F.col("_in_next") & F.col("_in_prev"), F.lit("changed"))
         .when(F.col("_in_next"), F.lit("added"))
         .otherwise(F.lit("removed"))
         .alias("change_kind"),
     )
-    keys = _keyed_items(items, fields).select("version_id", "_k", "identity_key", "occurrence")
-    return named.join(keys, ["version_id", "_k"]).select("project_id", "version_no", "identity_key", "occurrence", "change_kind").distinct()
+    keys = single.select("version_id", "_bucket", "_k", "_k2", "identity_key", "occurrence")
+    return named.join(keys, ["version_id", "_bucket", "_k", "_k2"]).select("project_id", "version_no", "identity_key", "occurrence", "change_kind")
 
 
 def _compare_directly(single: DataFrame, failed: DataFrame, sides: DataFrame) -> DataFrame:
     """The exact way for buckets that no lookup table resolved: compare their rows."""
     rows = single.join(sides, "version_id").join(failed, ["pair_id", "_bucket"], "left_semi")
-    differing = rows.groupBy("pair_id", "_bucket", "_k", "_v").agg(F.sum("sign").alias("sign")).filter(F.col("sign") != 0)
-    return differing.select("pair_id", "_bucket", "_k", F.col("sign").cast("bigint").alias("sign"))
+    differing = rows.groupBy("pair_id", "_bucket", "_k", "_k2", "_v").agg(F.sum("sign").alias("sign")).filter(F.col("sign") != 0)
+    return differing.select("pair_id", "_bucket", "_k", "_k2", F.col("sign").cast("bigint").alias("sign"))

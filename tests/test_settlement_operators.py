@@ -127,7 +127,7 @@ def test_snapshot_notation_and_digests(spark):
 
 
 def test_peeling_fails_honestly():
-    assert snapshots.peel(8, [(0, 2, 1, 1, 1)], 0) is None
+    assert snapshots.peel(8, [(0, 2, 1, 1, 1, 1)], 0) is None
     assert snapshots.peel(8, [], 0) == []
 
 
