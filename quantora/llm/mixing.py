@@ -14,9 +14,11 @@ from __future__ import annotations
 import base64
 import math
 import os
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +28,10 @@ from quantora.session import cut_lineage
 TOKENIZER_FOLDER, VOCABULARY = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
 # The pattern that splits a text before byte pairs are merged.
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Texts are encoded in pieces of at most so many characters.
+# Texts are encoded in pieces of about so many characters, cut only where no token can reach across:
+# before white space, and where letters, digits and other signs meet (but for the apostrophe of 's, 't, ...).
 PIECE = 20_000
+_BORDER = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])")
 #: Newton stops at this relative error of a source's tokens, or after so many steps.
 TOLERANCE, STEPS = 1e-9, 60
 #: Documents of one length that are ranked in one task.
@@ -44,6 +48,18 @@ def encoding(folder: str, vocabulary: str):
     return tiktoken.Encoding(vocabulary, pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def pieces(text: str) -> Iterator[str]:
+    """The text in pieces whose tokens are those of the whole; a stretch without a border stays whole."""
+    start = 0
+    while len(text) - start > PIECE:
+        border = _BORDER.search(text, start + PIECE)
+        if border is None:
+            break
+        yield text[start : border.start()]
+        start = border.start()
+    yield text[start:]
+
+
 def count_tokens(folder: str = TOKENIZER_FOLDER, vocabulary: str = VOCABULARY):
     """A vectorised function of a text column: its number of tokens (0 for null)."""
 
@@ -54,7 +70,7 @@ def count_tokens(folder: str = TOKENIZER_FOLDER, vocabulary: str = VOCABULARY):
             if not isinstance(text, str):
                 return 0
             clean = text.encode("utf-8", "replace").decode("utf-8")
-            return sum(len(tokenizer.encode_ordinary(clean[i : i + PIECE])) for i in range(0, len(clean), PIECE))
+            return sum(len(tokenizer.encode_ordinary(piece)) for piece in pieces(clean))
 
         return texts.map(one).astype("int64")
 

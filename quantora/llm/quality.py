@@ -1,10 +1,10 @@
 """Per-document text statistics, and the kind of text by fixed-threshold rules.
 
-Everything is a column expression: each non-blank line becomes a small record by
-pattern tests, the records are summed by length, and thresholds on the shares decide.
-One narrow pass over the documents, no Python, no shuffle. The thresholds follow the
-published heuristics for filtering web text (symbol ratio, mean word length, share
-of lines ending in punctuation, bullet lines, stop words, repetition).
+The statistics are column expressions over the whole text and its non-blank lines.
+Published thresholds on them (of the MassiveText and FineWeb filters, see below) tell
+natural prose from the rest, with a reason per failure. What failed is named by what
+most of its lines look like: entries, rows of fields, or neither. One narrow pass
+over the documents, no Python, no shuffle; lines are only classed where a rule failed.
 """
 
 from __future__ import annotations
@@ -14,20 +14,21 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed thresholds. Shares are of the characters of all non-blank lines, unless named otherwise.
-MAJORITY = 0.5
-LEAST_CHARS = 4
-LEAST_WORDS = 10
-MOST_SYMBOLS = 0.3
-MOST_MEAN_WORD = 20.0
-LEAST_COMMON = {"han": 0.03, "latin": 0.06}
+# The MassiveText rules (Rae et al. 2021) on symbols, word length, bullets, stop words and
+# repeated lines and stretches, and the FineWeb rule (Penedo et al. 2024) on line endings.
+MOST_SYMBOLS, WORD_LENGTH, MOST_BULLETS, STOP_WORDS, MOST_REPEATED_LINES, MOST_REPEATED = 0.1, (3.0, 10.0), 0.9, 2, 0.3, 0.2
+LEAST_ENDED = 0.12
+#: Own thresholds: the share of common words that prose has at least, where most lines end in punctuation and where few do.
+LEAST_COMMON, LEAST_COMMON_OPEN = 0.05, 0.08
+#: Own thresholds: letters and digits of a text at least, words for the rules on common words, the share that is most of a text.
+LEAST_CHARS, LEAST_WORDS, MAJORITY = 4, 10, 0.5
 ENTRY_CHARS = 90
 #: The list of common words is built into the expressions; a longer table is refused.
 MOST_COMMON_WORDS = 5_000
 
 # Patterns of Java regular expressions.
-HAN = "[㐀-䶿一-鿿豈-﫿]"
-WORD_RUN = "[\\p{L}\\p{N}&&[^㐀-䶿一-鿿豈-﫿]]+"
+HAN = "[々〇〡-〩㐀-䶿一-鿿豈-﫿\\x{20000}-\\x{3FFFF}]"
+WORD_RUN = f"[\\p{{L}}\\p{{N}}&&[^{HAN[1:-1]}]]+"
 LETTER = "[\\p{L}\\p{N}]"
 SYMBOL = "[^\\p{L}\\p{N}\\s.,;:!?'\"()/%&，。；：！？、“”‘’（）《》【】·—-]"
 ENDING = "[.!?;:…。！？；：”’\"')）】]\\s*$"
@@ -79,35 +80,65 @@ def counts(text: Column, common: str) -> dict[str, Column]:
 
 
 def statistics() -> dict[str, Column]:
-    """The statistics, from the counts and the line shares."""
+    """The statistics, from the counts and the line counts."""
     words = (F.col("_han") + F.col("_runs")).cast("bigint")
-    ratio = lambda part, whole: _share(part.cast("double"), whole.cast("double"))
+    ratio = lambda part, whole: _share(F.col(part).cast("double"), F.col(whole).cast("double") if isinstance(whole, str) else whole.cast("double"))
     return {
-        "n_chars": F.col("n_chars"),
         "n_words": words,
-        "mean_word_length": ratio(F.col("_letters"), words),
-        "symbol_ratio": ratio(F.col("_symbols"), F.col("n_chars")),
-        "punctuated_line_share": ratio(F.col("_n.ended"), F.col("_n.lines")),
-        "common_word_share": ratio(F.col("_common"), words),
+        "mean_word_length": ratio("_letters", words),
+        "symbol_ratio": ratio("_symbols", "n_chars"),
+        "punctuated_line_share": ratio("_of.ended", "_lines"),
+        "common_word_share": ratio("_common", words),
     }
 
 
-def _line_class(y: Column) -> Column:
-    """What a line looks like: form, rule, filler, table, field, entry or text.
+def _is_entry(x: Column) -> Column:
+    """Whether a line is a short bulleted or numbered entry, not a numbered sentence or paragraph."""
+    return (F.length(x) <= ENTRY_CHARS) & x.rlike(BULLET) & ~F.regexp_replace(F.trim(x), "[。.;；]+$", "").rlike(SENTENCE_BREAK)
+
+
+def line_records(text: Column) -> Column:
+    """One record per non-blank line: x (the line), n (its characters), whether it is a bullet line, and whether it repeats itself.
 
-    ``y`` holds the line and its numbers of tokens and distinct tokens, each computed once.
-    The cheap tests come first, and the costly ones run on the lines that are left.
+    A bullet line is short; numbered paragraphs are none. A line repeats itself if it is
+    few tokens, or one short stretch, over and over.
     """
-    x, size, distinct = y["x"], y["size"], y["distinct"]
-    filler = (size >= 10) & ((distinct <= 8) & (distinct * 3 <= size) | (distinct * 12 <= size)) | x.rlike(REPEATED)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("\\S"))
+    split = F.transform(lines, lambda x: F.struct(x.alias("x"), F.trim(x).alias("bare"), F.split(F.trim(x), "[\\s,|]+").alias("t")))
+    sized = F.transform(split, lambda y: F.struct(y["x"].alias("x"), F.length(y["bare"]).alias("n"), F.size(y["t"]).alias("size"), F.when(F.size(y["t"]) >= 10, F.size(F.array_distinct(y["t"]))).alias("distinct")))
+    repeated = lambda y: F.when((y["distinct"] <= 8) & (y["distinct"] * 3 <= y["size"]) | (y["distinct"] * 12 <= y["size"]), True).otherwise(y["x"].rlike(REPEATED))
+    return F.transform(sized, lambda y: F.struct(y["x"].alias("x"), y["n"].alias("n"), ((y["n"] <= ENTRY_CHARS) & y["x"].rlike(BULLET)).alias("bullet"), repeated(y).alias("repeated")))
+
+
+def line_counts(lines: Column) -> dict[str, Column]:
+    """From the line records: lines, those below a heading, those that end in punctuation, are bullets, or equal another; characters, and those of lines that repeat themselves."""
+    first = F.get(lines, F.lit(0))
+    heading = F.when((F.size(lines) > 1) & (first["n"] <= ENTRY_CHARS) & ~first["bullet"], 1).otherwise(0)
+    sums = F.aggregate(
+        lines,
+        F.struct(*[F.lit(0).alias(k) for k in ("ended", "bullets", "chars", "repetitive")]),
+        lambda a, y: F.struct(
+            (a["ended"] + y["x"].rlike(ENDING).cast("int")).alias("ended"),
+            (a["bullets"] + y["bullet"].cast("int")).alias("bullets"),
+            (a["chars"] + y["n"]).alias("chars"),
+            (a["repetitive"] + F.when(y["repeated"], y["n"]).otherwise(0)).alias("repetitive"),
+        ),
+    )
+    equal = F.size(lines) - F.size(F.array_distinct(F.transform(lines, lambda y: y["x"])))
+    return {"_lines": F.size(lines), "_below_heading": F.size(lines) - heading, "_equal": equal, "_of": sums}
+
+
+def _line_class(y: Column) -> Column:
+    """What the line of a record looks like: form, rule, filler, table, field, entry or text. The cheap tests come first."""
+    x = y["x"]
     fields = (F.regexp_count(x, F.lit("[,，;；]")) >= 3) & ~F.contains(x, F.lit("。")) & (F.regexp_count(x, F.lit(NUMBER_FIELD)) >= 2)
     form = x.rlike(BLANKS) & (F.length(F.regexp_replace(x, "[^\\p{L}\\p{N}]", "")) <= 3 * F.regexp_count(x, F.lit(BLANKS)) + 2)
     return (
         F.when(x.rlike(RULE_LINE), "rule")
         .when(form, "form")
-        .when(filler, "filler")
+        .when(y["repeated"], "filler")
         .when(x.rlike(DELIMITED) | x.rlike(SHORT_FIELDS) | fields, "table")
-        .when((F.length(x) <= ENTRY_CHARS) & x.rlike(BULLET) & ~F.regexp_replace(F.trim(x), "[。.;；]+$", "").rlike(SENTENCE_BREAK), "entry")
+        .when(_is_entry(x), "entry")
         .when((F.length(x) <= FIELD_CHARS) & x.rlike(FIELD), "field")
         .otherwise("text")
     )
@@ -116,18 +147,45 @@ def _line_class(y: Column) -> Column:
 LINE_CLASSES = ("rule", "form", "filler", "table", "field", "entry", "text")
 
 
-def line_shares(text: Column) -> Column:
-    """A struct with the characters in non-blank lines of each class, their number, and how many end in punctuation."""
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("\\S"))
-    split = F.transform(lines, lambda x: F.struct(x.alias("x"), F.split(F.trim(x), "[\\s,|]+").alias("t")))
-    counted = F.transform(split, lambda y: F.struct(y["x"].alias("x"), F.size(y["t"]).alias("size"), F.when(F.size(y["t"]) >= 10, F.size(F.array_distinct(y["t"]))).otherwise(F.size(y["t"])).alias("distinct")))
-    marked = F.transform(counted, lambda y: F.struct(_line_class(y).alias("c"), F.length(F.trim(y["x"])).alias("n"), y["x"].rlike(ENDING).cast("int").alias("e")))
+def class_chars(lines: Column) -> Column:
+    """A struct with the characters in lines of each class."""
+    marked = F.transform(lines, lambda y: F.struct(_line_class(y).alias("c"), y["n"].alias("n")))
     return F.aggregate(
         marked,
-        F.struct(*[F.lit(0).alias(c) for c in (*LINE_CLASSES, "lines", "ended")]),
-        lambda acc, x: F.struct(
-            *[(acc[c] + F.when(x["c"] == c, x["n"]).otherwise(0)).alias(c) for c in LINE_CLASSES], (acc["lines"] + 1).alias("lines"), (acc["ended"] + x["e"]).alias("ended")
-        ),
+        F.struct(*[F.lit(0).alias(c) for c in LINE_CLASSES]),
+        lambda acc, x: F.struct(*[(acc[c] + F.when(x["c"] == c, x["n"]).otherwise(0)).alias(c) for c in LINE_CLASSES]),
+    )
+
+
+def failures(has_common: bool) -> list[tuple[str, Column]]:
+    """(reason, test) of every rule that natural prose keeps."""
+    latin = F.col("_han") * 4 < F.col("n_words")
+    worded = F.lit(has_common) & (F.col("n_words") >= LEAST_WORDS)
+    part = lambda a, b: _share(F.col(a).cast("double"), F.col(b).cast("double"))
+    open_ended = (F.col("punctuated_line_share") <= LEAST_ENDED) & (F.lit(not has_common) | (F.col("common_word_share") < LEAST_COMMON_OPEN))
+    return [
+        ("no text", F.col("_letters") < LEAST_CHARS),
+        ("too many symbols", F.col("symbol_ratio") > MOST_SYMBOLS),
+        ("overlong words", F.col("mean_word_length") > WORD_LENGTH[1]),
+        ("fragments of words", latin & (F.col("mean_word_length") < WORD_LENGTH[0])),
+        ("bullet lines", (F.col("_of.bullets") > 1) & (part("_of.bullets", "_below_heading") > MOST_BULLETS)),
+        ("repeated lines", part("_equal", "_lines") > MOST_REPEATED_LINES),
+        ("repeated filler", part("_of.repetitive", "_of.chars") > MOST_REPEATED),
+        ("fewer than two stop words", worded & (F.col("_common") < STOP_WORDS)),
+        ("hardly any common words", worded & (F.col("common_word_share") < LEAST_COMMON)),
+        ("few lines end in punctuation", open_ended & (F.col("_lines") > 1)),
+    ]
+
+
+def kind_of() -> Column:
+    """What most of a text is, by the characters of its line classes (``_c``)."""
+    total = sum((F.col(f"_c.{c}") for c in LINE_CLASSES), F.lit(0))
+    most = lambda *cs: _share(sum((F.col(f"_c.{c}") for c in cs), F.lit(0)).cast("double"), total.cast("double")) >= MAJORITY
+    return (
+        F.when((F.col("_letters") < LEAST_CHARS) | most("form", "rule", "filler"), "junk")
+        .when(most("table", "rule") | most("field", "table", "rule"), "table")
+        .when(most("entry") | most("entry", "field", "table"), "list")
+        .otherwise("junk")
     )
 
 
@@ -135,8 +193,8 @@ def quality(documents: DataFrame, common_words: DataFrame, doc_id: str = "doc_id
     """Statistics, kind and reasons of every document.
 
     Columns: doc_id, the STATISTICS, ``kind`` (prose, list, table or junk) and
-    ``reasons`` (the rules that the text failed to be prose by, in rule order; empty
-    for prose).
+    ``reasons`` (the rules of :func:`failures` that the text does not keep, in their
+    order; empty for prose).
 
     Defined cases: a null text counts as empty, and an empty text is junk (reason
     ``no text``); texts of any length are read whole; a repeated row gives a repeated
@@ -144,39 +202,13 @@ def quality(documents: DataFrame, common_words: DataFrame, doc_id: str = "doc_id
     gives no rows; without common words the stop-word rules are not applied.
     """
     pattern = common_word_pattern(common_words)
-    body = F.coalesce(F.col(text), F.lit(""))
-    own = F.col("_text")
-    measured = F.struct(line_shares(own).alias("_n"), *[c.alias(k) for k, c in counts(own, pattern).items()])
-    # The generator keeps the optimizer from copying the measures into each rule and filter above it.
-    rows = documents.select(F.col(doc_id).alias("doc_id"), body.alias("_text")).select("doc_id", F.inline_outer(F.array(measured)))
-    rows = rows.withColumns({k: c for k, c in statistics().items() if k != "n_chars"})
-    rows = rows.withColumn("_total", sum((F.col(f"_n.{c}") for c in LINE_CLASSES), F.lit(0)))
-    share = lambda *cs: _share(sum((F.col(f"_n.{c}") for c in cs), F.lit(0)).cast("double"), F.col("_total").cast("double"))
-    latin = F.col("_han") * 4 < F.col("n_words")
-    has_common = pattern != "$^"
-    least = F.when(latin, LEAST_COMMON["latin"]).otherwise(LEAST_COMMON["han"])
-    unreadable = F.lit(has_common) & (F.col("n_words") >= LEAST_WORDS) & (F.col("common_word_share") < least) & (share("text") >= MAJORITY)
-    reasons = [
-        ("no text", "junk", F.col("_letters") < LEAST_CHARS),
-        ("blank form fields", "junk", share("form") >= MAJORITY),
-        ("ruled lines", "junk", share("rule") >= MAJORITY),
-        ("repeated filler", "junk", share("form", "rule", "filler") >= MAJORITY),
-        ("rows of fields", "table", share("table", "rule") >= MAJORITY),
-        ("one field per line", "table", share("field", "table", "rule") >= MAJORITY),
-        ("short entries", "list", share("entry") >= MAJORITY),
-        ("mixed entries and fields", "list", share("entry", "field", "table") >= MAJORITY),
-        ("too many symbols", "junk", (F.col("symbol_ratio") > MOST_SYMBOLS) & (share("text") >= MAJORITY)),
-        ("overlong words", "junk", (F.col("mean_word_length") > MOST_MEAN_WORD) & (share("text") >= MAJORITY)),
-        ("hardly any common words", "junk", unreadable),
-    ]
-    judged = rows.select(
-        "doc_id",
-        *STATISTICS,
-        F.filter(F.array(*[F.when(test, F.struct(F.lit(why).alias("why"), F.lit(kind).alias("kind"))) for why, kind, test in reasons]), lambda r: r.isNotNull()).alias("_failed"),
-    )
-    return judged.select(
-        "doc_id",
-        *STATISTICS,
-        F.coalesce(F.get("_failed", F.lit(0))["kind"], F.lit("prose")).alias("kind"),
-        F.transform("_failed", lambda r: r["why"]).alias("reasons"),
-    )
+    # Each generator keeps the optimizer from copying what is below it into the rules and filters above.
+    rows = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = rows.select("doc_id", "_text", F.explode(F.array(line_records(F.col("_text")))).alias("_own"))
+    measures = counts(F.col("_text"), pattern) | line_counts(F.col("_own"))
+    rows = rows.select("doc_id", "_own", F.inline(F.array(F.struct(*[c.alias(k) for k, c in measures.items()]))))
+    rows = rows.withColumns(statistics())
+    failed = F.array_compact(F.array(*[F.when(test, why) for why, test in failures(pattern != "$^")]))
+    judged = rows.select("doc_id", *STATISTICS, "_own", "_letters", F.explode(F.array(failed)).alias("reasons"))
+    classed = judged.select("doc_id", *STATISTICS, "_letters", "reasons", F.explode(F.array(F.when(F.size("reasons") > 0, class_chars(F.col("_own"))))).alias("_c"))
+    return classed.select("doc_id", *STATISTICS, F.when(F.size("reasons") == 0, "prose").otherwise(kind_of()).alias("kind"), "reasons")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantora.functions import lookalikes
 from quantora.llm import leakage, matching, mixing, quality, scans, unify
 from quantora.sources.tables import table
 
@@ -44,9 +47,9 @@ def p2_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Names and units with at least one character that is not ordinary."""
+    """Names and units that are not in ordinary characters throughout: they differ from their tidy form, or have none."""
     rows = unify.unify_text(table(spark, d, "line_items"), "id", ["name", "unit"])
-    return rows.filter(F.size("odd") > 0).select(F.col("record_id").alias("line_item_id"), "field_name").distinct()
+    return rows.filter("irregular").select(F.col("record_id").alias("line_item_id"), "field_name").distinct()
 
 
 def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
@@ -54,8 +57,8 @@ def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "line_items")
     return rows.select(
         F.col("id").alias("line_item_id"),
-        unify.unified(F.col("name"))["canonical"].alias("name_canonical"),
-        unify.unified(F.col("unit"))["canonical"].alias("unit_canonical"),
+        unify.unified(F.col("name"), spark)["canonical"].alias("name_canonical"),
+        unify.unified(F.col("unit"), spark)["canonical"].alias("unit_canonical"),
     )
 
 
@@ -98,12 +101,28 @@ _P4_FOUND = " UNION ALL ".join(
     f"SELECT id AS line_item_id, '{f}' AS field_name FROM line_items WHERE regexp_matches({f}, '[^{_ORDINARY}{_ACCENTED}]')" for f in ("name", "unit")
 )
 
-_COUNT = "length(regexp_extract_all({t}, '{p}'))"
+# The canonical form in DuckDB's terms: one-to-one replacements, those of more characters, removals, spaces, case.
+_ONE_TO_ONE = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in (*range(0x2F00, 0x2FD6), 0xB2, 0xB3, 0xB9, 0x2011)}
+_ONE_TO_ONE |= dict(zip(lookalikes.CYRILLIC + lookalikes.GREEK, lookalikes.CYRILLIC_AS + lookalikes.GREEK_AS, strict=True)) | dict.fromkeys(lookalikes.DASHES, "-")
+_LONGER = {"㎡": "m2", "㎥": "m3", "Ⅰ": "I", "Ⅱ": "II", "Ⅲ": "III", "Ⅳ": "IV"}
+
+
+def _canonical_sql(c: str) -> str:
+    text = f"regexp_replace(nfc_normalize({c}), '[\\x{{AD}}\\x{{200B}}-\\x{{200F}}\\x{{2060}}-\\x{{206F}}\\x{{FEFF}}]', '', 'g')"
+    for a, b in _LONGER.items():
+        text = f"replace({text}, '{a}', '{b}')"
+    quoted = ["".join(x).replace("'", "''") for x in (_ONE_TO_ONE.keys(), _ONE_TO_ONE.values())]
+    spaced = f"regexp_replace(translate({text}, '{quoted[0]}', '{quoted[1]}'), '[\\s\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{3000}}]+', ' ', 'g')"
+    return f"lower(nfc_normalize(trim({spaced})))"
+
+
+_P4_CANONICAL = f"SELECT id AS line_item_id, {_canonical_sql('name')} AS name_canonical, {_canonical_sql('unit')} AS unit_canonical FROM line_items"
+
 _P9_STATISTICS = """
 WITH w AS (SELECT string_agg(DISTINCT word, '|' ORDER BY length(word) DESC, word) FILTER (WHERE lang = 'zh') AS zh,
                   string_agg(DISTINCT word, '|' ORDER BY length(word) DESC, word) FILTER (WHERE lang <> 'zh') AS en FROM common_words),
- c AS (SELECT doc_id, text AS t, len(regexp_extract_all(text, '[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}]')) AS han,
-         len(regexp_extract_all(regexp_replace(text, '[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}]', ' ', 'g'), '[\\p{L}\\p{N}]+')) AS runs,
+ c AS (SELECT doc_id, text AS t, len(regexp_extract_all(text, '[々〇〡-〩\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{3FFFF}]')) AS han,
+         len(regexp_extract_all(regexp_replace(text, '[々〇〡-〩\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{3FFFF}]', ' ', 'g'), '[\\p{L}\\p{N}]+')) AS runs,
          len(regexp_extract_all(text, '[\\p{L}\\p{N}]')) AS letters,
          length(regexp_replace(text, '[\\p{L}\\p{N}\\s.,;:!?''"()/%&，。；：！？、“”‘’（）《》【】·—-]', '', 'g')) AS symbols,
          list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S')) AS lines,
@@ -131,4 +150,4 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_statistics": p9_statistics,
 }
-ORACLES = {"p4_found": _P4_FOUND, "p9_statistics": _P9_STATISTICS}
+ORACLES = {"p4_found": _P4_FOUND, "p4_canonical": _P4_CANONICAL, "p9_statistics": _P9_STATISTICS}

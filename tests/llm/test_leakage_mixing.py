@@ -94,6 +94,19 @@ def test_edited_copies_against_brute_force():
     assert edited >= 20
 
 
+def test_pieces_keep_the_tokens(monkeypatch):
+    tokenizer = mixing.encoding(mixing.TOKENIZER_FOLDER, mixing.VOCABULARY)
+    rng = random.Random(3)
+    signs = "ab 'sté  \n\t12.,;-中文字，。（）  I'm we'll don't"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(800)]
+    for size in (1, 3, 7):
+        monkeypatch.setattr(mixing, "PIECE", size)
+        for text in texts:
+            parts = list(mixing.pieces(text))
+            assert "".join(parts) == text
+            assert sum(len(tokenizer.encode_ordinary(p)) for p in parts) == len(tokenizer.encode_ordinary(text))
+
+
 def _documents(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice(["a", "A ", "b", "c", None, "other"]), " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.randrange(0, 60)))) for i in range(600)]

@@ -66,3 +66,24 @@ def test_repetition_anywhere_in_a_line(spark):
     docs = spark.createDataFrame([(1, "a long label stands here: " + "x-" * 60), (2, "a long label stands here and goes on")], "doc_id bigint, text string")
     got = {r.doc_id: r.reasons for r in quality.quality(docs, words).collect()}
     assert "repeated filler" in got[1] and "repeated filler" not in got[2]
+
+
+def test_look_alikes_of_all_scripts(spark):
+    table = unify.confusables(spark)
+    assert len(table) > 300 and not any(map(unify.is_ordinary, map(chr, table)))
+    pairs = {"Ј5": "J5", "Ꭰ3": "D3", "օ": "o", "ІІ": "II", "ＨRВ": "HRB", "e\u0301": "é", "10\u2013x": "10-x", "㎡，Φ²": "㎡，Φ²"}
+    for odd, plain in pairs.items():
+        assert unify.tidy_form(odd, table) == plain
+        assert unify.canonical_form(odd, table) == unify.canonical_form(plain, table)
+    assert unify.unify_value("★", table)[2:] == (True, ["other"])
+
+
+def test_failed_rules_are_named(spark):
+    words = spark.createDataFrame([("the", "en"), ("of", "en")], "word string, lang string")
+    prose = "The survey of the roof was accepted by both sides of the contract, and the rest of the work goes on."
+    docs = {1: "Items:\n" + "\n".join(f"{i}. {prose[:40]}" for i in range(1, 9)), 2: "\n".join([prose] * 6), 3: "# @ ~ #@ \\ " * 3 + prose, 4: prose + "\n1. cable", 5: prose}
+    rows = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    got = {r.doc_id: (r.kind, r.reasons) for r in quality.quality(rows, words).collect()}
+    assert "bullet lines" in got[1][1] and got[1][0] == "list"
+    assert got[2] == ("junk", ["repeated lines"]) and got[3][1] == ["too many symbols"]
+    assert got[4] == got[5] == ("prose", [])
