@@ -1,14 +1,22 @@
 """Documents that contain held-out texts, wholly or in good part.
 
-Held-out items and documents are compared in letters and digits only. Unbroken runs
-are found by fingerprints of windows: item windows start at every offset and document
-windows at a stride such that every run of half an item holds a whole document window.
-Edited copies are found by counting grams: a copy within k edits of an item of m
-characters shares at least m - q + 1 - k * q of its q-grams, at shifts that differ by no
-more than k, so shifts of a document with fewer hold none. Both filters are complete, and what passes is verified on the
-texts.
-
-The item side is an index of bounded size that goes to each task; documents are
+Held-out items and documents are compared in letters and digits only. Windows of both
+are embedded by random walks (CGK: each step emits the symbol under the pointer and
+moves on if a random bit of step and symbol says so, which turns edits into few
+differing symbols), and sampled symbols of the walk are the bucket of a window. Equal
+windows share every walk, so one walk reaches all of them: item windows start at every
+offset and document windows at a stride such that every run of half an item holds a
+whole document window. Colliding windows are compared on the texts and grown to the
+whole run.
+
+For copies with edits all over, down to similarity 0.8, walks of item-sized windows
+would have to be repeated tens to hundreds of times (figures in the README), so they are
+found by counting grams: a copy within k edits of an item of m characters shares at
+least m - q + 1 - k * q of its q-grams, at shifts that differ by no more than k, so
+shifts of a document with fewer hold none. Both searches are complete, and what passes
+is verified by the exact edit distance.
+
+The item side is an index of bounded size, broadcast block by block; documents are
 read once per block of items and never shuffled.
 """
 
@@ -21,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +61,7 @@ def codes(text: str) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Windows:
-    """One length class of the run search: window and stride of the documents, and the items' windows by fingerprint."""
+    """One length class of the run search: window and stride of the documents, and the items' windows by bucket."""
 
     window: int
     stride: int
@@ -62,15 +71,31 @@ class Windows:
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Symbols of a walk that make up the bucket of a window, and the seed of the walks.
+SAMPLED, WALK = 16, 20_260
+_SHIFT, _TOP = np.uint64(31), np.uint64(63)
 
 
-def fingerprints(text: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
-    """A hash of each window of ``text`` that begins at ``starts``; equal windows have equal ones."""
-    whole = np.zeros(len(starts), np.uint64)
+def buckets(text: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """The bucket of each window of ``text`` that begins at ``starts``: sampled symbols of its CGK walk, hashed.
+
+    All windows take the same walk, so equal ones are in one bucket, and similar ones
+    are as often as their walks agree at the sampled steps.
+    """
+    steps = window + window // 2
+    rng = np.random.default_rng((WALK, window))
+    coins = rng.integers(1, 1 << 63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    sampled = np.zeros(steps, bool)
+    sampled[rng.choice(steps, min(SAMPLED, steps), replace=False)] = True
+    last = int(np.flatnonzero(sampled)[-1])
+    at, ends, whole = starts.copy(), starts + window, np.zeros(len(starts), np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(window):
-            whole = (whole ^ text[starts + j]) * _MIX
-            whole ^= whole >> np.uint64(31)
+        for step in range(last + 1):
+            symbol = np.where(at < ends, text[at], 0) if step >= window else text[at]
+            if sampled[step]:
+                whole = (whole ^ symbol) * _MIX
+                whole ^= whole >> _SHIFT
+            at += ((symbol * coins[step]) >> _TOP).view(np.int64)
     return whole
 
 
@@ -221,7 +246,7 @@ class ItemIndex:
         least_run = min(-(-len(self.items[n][1]) // 2) for n in members)
         window = max(1, (least_run * 5) // 8)
         starts = [np.arange(len(self.items[n][1]) - window + 1) for n in members]
-        keys = np.concatenate([fingerprints(padded(self.items[n][1], window), at, window) for n, at in zip(members, starts, strict=True)])
+        keys = np.concatenate([buckets(padded(self.items[n][1], window), at, window) for n, at in zip(members, starts, strict=True)])
         order = np.argsort(keys, kind="stable")
         owner = np.repeat(np.array(members), [len(at) for at in starts])
         return Windows(window, least_run - window + 1, keys[order], owner[order], np.concatenate(starts)[order])
@@ -238,12 +263,12 @@ class ItemIndex:
         return Grams(q, -(-most_edits(max(sizes)) // PARTS), max(sizes), np.array(members), least, keys, np.append(first, len(flat)), owner[order], offset[order])
 
     def collisions(self, text: np.ndarray, starts_of) -> Iterator[tuple[Windows, np.ndarray, np.ndarray, np.ndarray]]:
-        """(length class, document positions, items, offsets) of all windows with equal fingerprints, by chunk."""
+        """(length class, document positions, items, offsets) of all windows in one bucket, by chunk."""
         for w in self.windows:
             starts = starts_of(w)
             for a in range(0, len(starts), CHUNK):
                 part = starts[a : a + CHUNK]
-                own = fingerprints(text, part, w.window)
+                own = buckets(text, part, w.window)
                 low = np.searchsorted(w.keys, own, "left")
                 found = np.flatnonzero(low < len(w.keys))
                 found = found[w.keys[low[found]] == own[found]]
@@ -333,8 +358,9 @@ def _scan_flat(index: ItemIndex, flat: list[str]) -> dict[tuple[int, int], tuple
 _FOUND = "doc_id bigint, item_id bigint, run_chars int, item_chars int, edit_distance int"
 
 
-def _scan(index: ItemIndex):
+def _scan(held: Broadcast):
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = held.value
         for pdf in batches:
             best = scan_batch(index, pdf["text"].tolist())
             ids = pdf["doc_id"].tolist()
@@ -379,7 +405,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, run_share: float = RUN_SH
     held = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).dropna().distinct()
     found = None
     for block in _blocks(held):
-        part = docs.mapInPandas(_scan(ItemIndex(block)), _FOUND)
+        index = docs.sparkSession.sparkContext.broadcast(ItemIndex(block))  # at most BLOCK_CHARS characters
+        part = docs.mapInPandas(_scan(index), _FOUND)
         # One block is the usual case and stays lazy; of more, only one is held by the driver at a time.
         part = part if found is None else cut_lineage(part)
         found = part if found is None else cut_lineage(found).unionByName(part)

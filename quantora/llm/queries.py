@@ -136,6 +136,20 @@ SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, CAST(han + runs AS BIGINT)
 FROM c
 """
 
+
+def _letters_sql(c: str) -> str:
+    """Letters and digits of a text in DuckDB's terms."""
+    return f"regexp_replace(lower({_canonical_sql(c)}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+
+
+_P7_FOUND = f"""
+WITH d AS (SELECT doc_id, {_letters_sql('text')} AS t FROM documents),
+ i AS (SELECT item_id, {_letters_sql('text')} AS t FROM eval_items),
+ w AS (SELECT DISTINCT item_id, substr(t, o, (length(t) + 1) // 2) AS run
+       FROM (SELECT item_id, t, unnest(range(1, length(t) - (length(t) + 1) // 2 + 2)) AS o FROM i WHERE t <> ''))
+SELECT DISTINCT doc_id, item_id FROM d JOIN w ON contains(d.t, w.run)
+"""
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_matches": p1_matches,
@@ -150,4 +164,4 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_statistics": p9_statistics,
 }
-ORACLES = {"p4_found": _P4_FOUND, "p4_canonical": _P4_CANONICAL, "p9_statistics": _P9_STATISTICS}
+ORACLES = {"p4_found": _P4_FOUND, "p4_canonical": _P4_CANONICAL, "p7_found": _P7_FOUND, "p9_statistics": _P9_STATISTICS}

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from quantora.llm import leakage, mixing
 
 
@@ -94,6 +96,35 @@ def test_edited_copies_against_brute_force():
     assert edited >= 20
 
 
+def test_no_edited_copy_is_lost():
+    rng = random.Random(9)
+    letters = "etaoinshrdlucmfw合同计量"
+    items = [(size, "".join(rng.choice(letters) for _ in range(size))) for size in (60, 200, 600)]
+    docs, planted = [], []
+    for n, (size, text) in enumerate(items):
+        for rate in (0.03, 0.06, 0.1, 0.19):
+            for _ in range(15):
+                copy = list(text)
+                for p in rng.sample(range(size), int(rate * size)):
+                    copy[p] = rng.choice([rng.choice(letters), "", copy[p] + rng.choice(letters)])
+                docs.append("".join(rng.choice(letters) for _ in range(rng.randrange(300))) + "".join(copy))
+                planted.append((len(docs) - 1, n, int(rate * size)))
+    found = leakage.scan_batch(leakage.ItemIndex(items), docs)
+    assert all(found[d, n][1] <= edits for d, n, edits in planted)
+
+
+def test_equal_windows_share_a_bucket():
+    rng = random.Random(4)
+    for window in (1, 2, 5, 40):
+        text = leakage.padded("".join(rng.choice("abc") for _ in range(300)), window)
+        starts = np.arange(300 - window)
+        keys = leakage.buckets(text, starts, window)
+        of = {}
+        for p, key in zip(starts, keys, strict=True):
+            of.setdefault(tuple(text[p : p + window]), set()).add(key)
+        assert all(len(v) == 1 for v in of.values())
+
+
 def test_pieces_keep_the_tokens(monkeypatch):
     tokenizer = mixing.encoding(mixing.TOKENIZER_FOLDER, mixing.VOCABULARY)
     rng = random.Random(3)
