@@ -1,11 +1,13 @@
 """Entities matched across sources without a common key.
 
-Lines of one source are gathered into items (one code and description); rows of the
-other source are compared with items, each comparison a vector of similarities. A
-regularised Gaussian mixture separates matched from unmatched vectors without labels;
-since two items of the catalogue are different things, a row can match one of them at
-most, and every E-step gives posteriors under that constraint (transitivity), over
-all items whether the project has them or not. Posteriors are the confidence of a match.
+The items of the catalogue (one code and description each) are what records of both
+sources may mean. Lines of one source and rows of the other are each compared with
+items, each comparison a vector of similarities, and for each source a regularised
+Gaussian mixture separates matched from unmatched vectors without labels. Two items
+are different things, so a record can mean one of them at most, and every E-step gives
+posteriors under that constraint, over all items whether the project has them or not.
+Line, row and item thus fall into one class or none: matches are transitive, and the
+confidence that a line and a row mean the same is the product of their posteriors.
 
 The words of two sources differ, so similarities of texts use associations of tokens
 that are learned from the rows whose (noisy) code leads to a group of items. Texts
@@ -46,6 +48,9 @@ FLOOR, STEPS, SETTLED, MATCHED = 0.05, 25, 1e-5, 0.5
 #: Log price ratios beyond this come from a misread unit and have no say.
 PRICE_WINDOW = 1.0
 FEATURES = ("recall", "precision", "numbers", "code", "margin", "price")
+#: Of lines: equal code, description and name, and how much nearer the item's price in the project is than that of
+#: items which are equal so far (prices are near by e-fold steps of PRICE_STEP).
+LINE_FEATURES, PRICE_STEP = ("code", "feature", "name", "price"), 0.02
 
 # Statements of the unit within a description, item numbers before a text, remarks behind a name.
 _UNIT_STATEMENT = re.compile(r"[,;]?(?:按[^,;()按]{1,12}?计量|以[^,;()以]{1,12}?计|【[^】]{1,12}】计|\(?(?:计量单位|单位|unit):[^,;()]+\)?)$")
@@ -138,32 +143,61 @@ def catalogue(lines: DataFrame) -> DataFrame:
     )
 
 
-def lines_to_items(lines: DataFrame, items: DataFrame) -> DataFrame:
-    """row_id, project, item, price: the item that each line bills, where that can be told.
+def compare_lines(lines: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kinds, comparisons): the distinct lines of each project, and the items that each may bill.
 
-    By code and description; by code alone or name and description, where they lead to
-    one item; else by code or name to the one item of the same project, or the one
-    with the line's own unit price.
+    A line with code and description is compared with that item, and as one without
+    description with the items of its code in its project, and with the only item of
+    the code; one without code with the items of its name and description, and with
+    those of its name in its project. Comparisons have the LINE_FEATURES, ``here``
+    (complete lines of the project bill the item) and ``n`` (the lines of the kind).
     """
-    full = lines.filter((F.col("code") != "") & (F.col("feature") != "")).withColumn("item", F.xxhash64("code", "feature"))
-    by_code = items.groupBy("code").agg(F.count("*").alias("n"), F.min("item").alias("item")).filter("n = 1").select("code", F.col("item").alias("_by_code"))
-    by_text = full.groupBy("name", "feature").agg(F.min("item").alias("_by_text"), F.max("item").alias("_other")).filter("_by_text = _other").drop("_other")
-    part = lines.filter((F.col("code") == "") | (F.col("feature") == "")).filter(F.col("name") != "")
-    told = part.join(by_code, "code", "left").join(by_text, ["name", "feature"], "left").withColumn(
-        "item", F.when(F.col("code") != "", F.col("_by_code")).when(F.col("feature") != "", F.col("_by_text"))
+    by = ["project", "code", "name", "feature", "price"]
+    kinds = cut_lineage(lines.groupBy(*by).agg(F.count("*").alias("n")).withColumn("row_id", F.monotonically_increasing_id()))
+    full = kinds.filter((F.col("code") != "") & (F.col("feature") != "")).join(items.select("code", "feature", "item"), ["code", "feature"])
+    full = cut_lineage(full.select("row_id", "project", "code", "name", "feature", "price", "n", "item"))
+    local = cut_lineage(full.groupBy("project", "item", "code", "feature").agg(F.percentile_approx("price", 0.5).alias("_of")))
+    names = cut_lineage(full.select("project", "item", "name").distinct())
+    bare = kinds.filter("code <> ''").select("row_id", "project", "code", "feature")
+    single = items.groupBy("code").agg(F.count("*").alias("_n"), F.min("item").alias("item")).filter("_n = 1").select("code", "item")
+    uncoded = kinds.filter("code = '' and name <> ''").select("row_id", "project", "name", "feature")
+    told = full.select("name", "feature", "item").distinct()
+    candidates = (
+        full.select("row_id", "item")
+        .unionByName(bare.join(local.drop("feature"), ["project", "code"]).select("row_id", "item"))
+        .unionByName(bare.filter("feature = ''").join(single, "code").select("row_id", "item"))
+        .unionByName(uncoded.filter("feature <> ''").join(told, ["name", "feature"]).select("row_id", "item"))
+        .unionByName(uncoded.join(names, ["project", "name"]).select("row_id", "item"))
+        .distinct()
     )
-    known = full.select("row_id", "project", "name", "code", "price", "item").unionByName(told.filter("item is not null").select("row_id", "project", "name", "code", "price", "item"))
-    known = cut_lineage(known)
-    # What the project itself says about a name or a code: its items and their prices.
-    local = known.groupBy("project", "name", "code", "item").agg(F.percentile_approx("price", 0.5).alias("_of"))
-    open_ = told.filter("item is null").select("row_id", "project", "name", "code", "price")
-    by_own = local.select("project", "item", "_of", F.explode(F.array(F.concat(F.lit("c:"), "code"), F.concat(F.lit("n:"), "name"))).alias("_key")).filter(~F.col("_key").isin("c:", "n:")).distinct()
-    keyed = open_.withColumn("_key", F.when(F.col("code") != "", F.concat(F.lit("c:"), "code")).otherwise(F.concat(F.lit("n:"), "name")))
-    tried = keyed.join(by_own, ["project", "_key"]).groupBy("row_id", "project", "price").agg(
-        F.collect_set("item").alias("_all"), F.collect_set(F.when(F.abs(F.col("_of") - F.col("price")) < 0.004, F.col("item"))).alias("_same")
+    equal = lambda c: F.when(F.col(c) != "", (F.col(c) == F.col(f"_{c}")).cast("double"))
+    known = F.when(F.col("name") != "", F.coalesce(F.col("_named"), F.col("name") == F.col("_name")).cast("double"))
+    near = F.exp(-F.abs(F.col("price") - F.col("_of")) / F.lit(PRICE_STEP))
+    compared = (
+        candidates.join(kinds, "row_id")
+        .join(items.select("item", F.col("code").alias("_code"), F.col("feature").alias("_feature"), F.col("name").alias("_name")), "item")
+        .join(local.select("project", "item", "_of", F.lit(True).alias("here")), ["project", "item"], "left")
+        .join(names.withColumn("_named", F.lit(True)), ["project", "item", "name"], "left")
+        .select(
+            "row_id", "project", "item", "n", equal("code").alias("code"), equal("feature").alias("feature"), known.alias("name"), near.alias("_near"), F.coalesce("here", F.lit(False)).alias("here")
+        )
     )
-    found = tried.select("row_id", "project", "price", F.when(F.size("_all") == 1, F.col("_all")[0]).when(F.size("_same") == 1, F.col("_same")[0]).alias("item")).filter("item is not null")
-    return known.select("row_id", "project", "item", "price").unionByName(found.select("row_id", "project", "item", "price"))
+    rivals = Window.partitionBy("row_id", "code", "feature", "name", "here").orderBy(F.desc_nulls_last("_near"), "item")
+    best_other = F.when(F.row_number().over(rivals) == 1, F.lead("_near").over(rivals)).otherwise(F.first("_near").over(rivals))
+    margin = compared.withColumn("price", F.col("_near") - best_other).drop("_near")
+    return kinds, cut_lineage(margin.repartition("row_id").sortWithinPartitions("row_id", "item"))
+
+
+def lines_to_items(lines: DataFrame, items: DataFrame) -> DataFrame:
+    """row_id, project, item, price, confidence: the item that each line bills, by the posteriors of the lines' mixture."""
+    kinds, compared = compare_lines(lines, items)
+    if compared.isEmpty():
+        return lines.limit(0).select("row_id", "project", F.lit(0).cast("bigint").alias("item"), "price", F.lit(0.0).alias("confidence"))
+    mixture = fit_mixture(compared, LINE_FEATURES)
+    judged = compared.mapInPandas(_posteriors(mixture, local=False), _JUDGED).filter(F.col("confidence") > MATCHED)
+    billed = kinds.drop("n").join(judged.select("row_id", "item", "confidence"), "row_id").drop("row_id")
+    same = [lines[c] == billed[c] for c in ("project", "code", "name", "feature")] + [lines["price"].eqNullSafe(billed["price"])]
+    return lines.join(billed, same).select(lines["row_id"], lines["project"], "item", lines["price"], "confidence")
 
 
 def associations(items: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -284,11 +318,11 @@ def compare_texts(items: DataFrame, texts: DataFrame) -> DataFrame:
 class Mixture:
     """Two diagonal Gaussians over vectors with gaps, the share of each that is in the project, and the matched weight."""
 
-    def __init__(self, weight: float, mean: np.ndarray, sd: np.ndarray, present: np.ndarray):
-        self.weight, self.mean, self.sd, self.present = weight, mean, sd, present
+    def __init__(self, features: tuple[str, ...], weight: float, mean: np.ndarray, sd: np.ndarray, present: np.ndarray):
+        self.features, self.weight, self.mean, self.sd, self.present = features, weight, mean, sd, present
 
-    def log_odds(self, x: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, float]:
-        """Log odds of being matched, comparison by comparison, and the log likelihood; a missing feature has no say."""
+    def log_odds(self, x: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds of being matched and the log likelihood, comparison by comparison; a missing feature has no say."""
         there = ~np.isnan(x)
         filled = np.where(there, x, 0.0)
         logs = []
@@ -296,7 +330,7 @@ class Mixture:
             z = (filled - self.mean[k]) / self.sd[k]
             density = np.where(there, -0.5 * z * z - np.log(self.sd[k]) - 0.9189385, 0.0).sum(1)
             logs.append(math.log(w) + density + np.where(here, math.log(self.present[k]), math.log(1 - self.present[k])))
-        return logs[1] - logs[0], float(np.logaddexp(*logs).sum())
+        return logs[1] - logs[0], np.logaddexp(*logs)
 
 
 def one_item_each(log_odds: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -329,21 +363,30 @@ def _whole_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rest
 
 
-def _statistics(mixture: Mixture | None):
+def _first_odds(x: np.ndarray, features: tuple[str, ...]) -> np.ndarray:
+    """Odds to begin with: what the similarities say at face value."""
+    if features == FEATURES:
+        sure = ((x[:, 0] + x[:, 1] + x[:, 2]) / 3 >= 0.9) & (x[:, 4] > 0)
+    else:
+        sure = (np.nan_to_num(x[:, :3], nan=1.0).min(1) >= 1) & (np.nan_to_num(x[:, 3]) >= 0)
+    return np.where(sure, 3.0, -3.0)
+
+
+def _statistics(mixture: Mixture | None, features: tuple[str, ...]):
     """Sums for one M-step over a partition: per component the weight, those in the project, and by feature n, x, x squared."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, weights, likelihood = np.zeros((2, 3, len(FEATURES))), np.zeros((2, 2)), 0.0
+        sums, weights, likelihood = np.zeros((2, 3, len(features))), np.zeros((2, 2)), 0.0
         for pdf in _whole_rows(batches):
-            x, here = pdf[list(FEATURES)].to_numpy(np.float64), pdf["here"].to_numpy(bool)
+            x, here, n = pdf[list(features)].to_numpy(np.float64), pdf["here"].to_numpy(bool), pdf["n"].to_numpy(np.float64)
             if mixture is None:
-                odds = np.where(((x[:, 0] + x[:, 1] + x[:, 2]) / 3 >= 0.9) & (x[:, 4] > 0), 3.0, -3.0)
+                odds = _first_odds(x, features)
             else:
                 odds, part = mixture.log_odds(x, here)
-                likelihood += part
+                likelihood += float((part * n).sum())
             g = one_item_each(odds, pdf["row_id"].to_numpy())
             there, filled = ~np.isnan(x), np.nan_to_num(x)
-            for k, w in ((0, 1 - g), (1, g)):
+            for k, w in ((0, (1 - g) * n), (1, g * n)):
                 weights[k] += w.sum(), w[here].sum()
                 sums[k] += np.stack([(w[:, None] * there).sum(0), (w[:, None] * filled).sum(0), (w[:, None] * filled * filled).sum(0)])
         yield pd.DataFrame({"s": [np.r_[weights.ravel(), sums.ravel(), likelihood].tolist()]})
@@ -351,7 +394,7 @@ def _statistics(mixture: Mixture | None):
     return run
 
 
-def fit_mixture(pairs: DataFrame) -> Mixture:
+def fit_mixture(pairs: DataFrame, features: tuple[str, ...] = FEATURES) -> Mixture:
     """EM over all comparisons; each step is one pass that returns a few sums per partition.
 
     Each variance is drawn towards the squared distance of the two means (a share of
@@ -360,28 +403,33 @@ def fit_mixture(pairs: DataFrame) -> Mixture:
     """
     mixture, before = None, -math.inf
     for _ in range(STEPS):
-        parts = pairs.mapInPandas(_statistics(mixture), "s array<double>").collect()  # one row per partition
+        parts = pairs.mapInPandas(_statistics(mixture, features), "s array<double>").collect()  # one row per partition
         total = np.sum([p["s"] for p in parts], axis=0)
-        weights, sums, likelihood = total[:4].reshape(2, 2), total[4:-1].reshape(2, 3, len(FEATURES)), total[-1]
+        weights, sums, likelihood = total[:4].reshape(2, 2), total[4:-1].reshape(2, 3, len(features)), total[-1]
         n, x, xx = np.maximum(sums[:, 0], 1e-9), sums[:, 1], sums[:, 2]
         mean = x / n
         apart = (mean[1] - mean[0]) ** 2
         variance = np.maximum(xx / n - mean**2, 0) + 0.02 * apart + FLOOR**2
         share = np.clip(weights[1, 0] / max(weights[:, 0].sum(), 1e-9), 1e-6, 1 - 1e-6)
         present = np.clip((weights[:, 1] + 1) / (weights[:, 0] + 2), 1e-4, 1 - 1e-4)
-        mixture = Mixture(float(share), mean, np.sqrt(variance), present)
+        mixture = Mixture(features, float(share), mean, np.sqrt(variance), present)
         if abs(likelihood - before) <= SETTLED * abs(before):
             break
         before = likelihood if likelihood else -math.inf
     return mixture
 
 
-def _posteriors(mixture: Mixture):
+_JUDGED = "row_id bigint, project bigint, item bigint, confidence double"
+
+
+def _posteriors(mixture: Mixture, local: bool = True):
+    """Posteriors of all comparisons, or of those ``local`` to the project."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _whole_rows(batches):
-            odds, _ = mixture.log_odds(pdf[list(FEATURES)].to_numpy(np.float64), pdf["here"].to_numpy(bool))
+            odds, _ = mixture.log_odds(pdf[list(mixture.features)].to_numpy(np.float64), pdf["here"].to_numpy(bool))
             pdf = pdf.assign(confidence=one_item_each(odds, pdf["row_id"].to_numpy()))
-            yield pdf.loc[pdf["here"], ["row_id", "project", "item", "confidence"]]
+            yield pdf.loc[pdf["here"] | (not local), ["row_id", "project", "item", "confidence"]]
 
     return run
 
@@ -392,7 +440,7 @@ def match_items(lines: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame
     ``lines`` and ``rows`` have id, _project, code, name, feature, unit, unit_price.
     matches: row_id, project, item, confidence — comparisons whose posterior exceeds
     MATCHED; a row that two items explain equally well has none. The second table has
-    row_id (of the line), project and item.
+    row_id (of the line), project, item, price and confidence.
 
     Defined cases: rows and lines without project, name or id match nothing; missing
     codes, descriptions, units and prices have no say; repeated rows are matched each;
@@ -411,7 +459,7 @@ def match_items(lines: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame
         .join(scored, "text")
         .join(in_project.withColumn("here", F.lit(True)), ["project", "item"], "left")
         .select(
-            "row_id", "project", "item", "recall", "precision", "numbers", "code", "margin",
+            "row_id", "project", "item", F.lit(1).alias("n"), "recall", "precision", "numbers", "code", "margin",
             F.when(F.abs(F.col("price") - F.col("_of")) <= PRICE_WINDOW, F.col("price") - F.col("_of")).alias("price"),
             F.coalesce("here", F.lit(False)).alias("here"),
         )
@@ -420,11 +468,17 @@ def match_items(lines: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame
     if pairs.isEmpty():
         return pairs.select("row_id", "project", "item", F.lit(0.0).alias("confidence")), billed
     mixture = fit_mixture(pairs)
-    judged = pairs.mapInPandas(_posteriors(mixture), "row_id bigint, project bigint, item bigint, confidence double")
+    judged = pairs.mapInPandas(_posteriors(mixture), _JUDGED)
     return judged.filter(F.col("confidence") > MATCHED), billed
 
 
 def match_lines(lines: DataFrame, rows: DataFrame) -> DataFrame:
-    """line_item_id, row_id and confidence of every pair of a line and a row that mean the same item of a project."""
+    """line_item_id, row_id and confidence of every pair of a line and a row that mean the same item of a project.
+
+    Both must mean the item, so the confidence is the product of the two posteriors;
+    pairs whose product exceeds MATCHED are matches.
+    """
     matches, billed = match_items(lines, rows)
-    return matches.join(billed.select(F.col("row_id").alias("line_item_id"), "project", "item"), ["project", "item"]).select("line_item_id", "row_id", "confidence")
+    line = billed.select(F.col("row_id").alias("line_item_id"), "project", "item", F.col("confidence").alias("_billed"))
+    pairs = matches.join(line, ["project", "item"]).select("line_item_id", "row_id", (F.col("confidence") * F.col("_billed")).alias("confidence"))
+    return pairs.filter(F.col("confidence") > MATCHED)
