@@ -2,12 +2,12 @@
 
 Running titles and page numbers are what recurs at page edges of a file. Words are
 counted over all pages, apart for pages that were read and pages that were
-recognised. Skip-gram vectors (the factors of the shifted PMI matrix that skip-gram
-with negative sampling optimises) are learned for the frequent words; every rarer
-word gets its vector from its contexts. A rare word is linked to the frequent
+recognised. Skip-gram vectors with negative sampling are trained on the counts of the
+frequent words; every word then gets its vector from those of its contexts. A rare word is linked to the frequent
 neighbour it turns into by a plausible glyph edit, glyph pairs being plausible if
 they are of a fixed kind (l for 1, rn for m) or bear many links; links are then
-applied where the context agrees. A word is a run of Latin letters, or a pair of
+applied where the context agrees, the more readily the less sure the recognition of
+the page was. A word is a run of Latin letters, or a pair of
 neighbouring ideograms.
 """
 
@@ -29,7 +29,9 @@ from quantora.session import cut_lineage
 
 #: Vectors are learned for at most so many words over so many contexts; other words get theirs from their contexts.
 #: Links are searched to so many frequent words at once.
-WORDS, CONTEXTS, DIMENSIONS, SHIFT = 8_000, 2_000, 48, 1.0
+WORDS, CONTEXTS, DIMENSIONS = 8_000, 2_000, 48
+#: Negative samples of each pair, passes over all counts, and the step of the training.
+NEGATIVE, PASSES, STEP = 1.0, 12, 0.05
 #: A word is frequent if trusted pages have it so often.
 FREQUENT = 2
 #: Least cosine of a link; distinct links that make a pair of glyphs plausible, and the least share they have of the links of the glyph's likeliest meaning.
@@ -301,20 +303,44 @@ class Lexicon:
     by_second: dict[str, list[str]] = field(default_factory=dict)
 
     def vector(self, contexts: list[str], counts: list[int]) -> np.ndarray:
-        """A word's vector from its contexts: its shifted PMI row times the context vectors."""
+        """A word's vector from its contexts: its positive PMI row times the context vectors."""
         at = [(self.contexts[c], n) for c, n in zip(contexts, counts, strict=True) if c in self.contexts]
         if not at:
             return np.zeros(self.context_vectors.shape[1], np.float32)
         index = np.array([i for i, _ in at])
         n = np.array([m for _, m in at], np.float64)
-        pmi = np.log(n * self.total / (n.sum() * self.context_weight[index])) - np.log(SHIFT)
+        pmi = np.log(n * self.total / (n.sum() * self.context_weight[index]))
         v = np.maximum(pmi, 0) @ self.context_vectors[index]
         size = np.linalg.norm(v)
         return (v / size if size else v).astype(np.float32)
 
 
+def train_skip_grams(counts: np.ndarray, words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    """The contexts' vectors after training by skip-gram with negative sampling, from given vectors.
+
+    Every pass takes the expected gradient over all counted pairs and their negative
+    samples (instead of drawing them), by blocks of words, with one Adagrad rate per vector.
+    """
+    of_word, of_context = counts.sum(1, keepdims=True), counts.sum(0, keepdims=True)
+    noise = NEGATIVE * of_context / max(float(of_context.sum()), 1.0)
+    seen_words, seen_contexts = np.full((len(words), 1), 1e-6, np.float32), np.full((len(contexts), 1), 1e-6, np.float32)
+    for _ in range(PASSES):
+        toward = np.zeros_like(contexts)
+        for a in range(0, len(counts), 1000):
+            part = slice(a, a + 1000)
+            p = 1 / (1 + np.exp(-np.clip(words[part] @ contexts.T, -30, 30)))
+            pull = counts[part] * (1 - p) - of_word[part] * noise * p
+            toward += pull.T @ words[part]
+            step = pull @ contexts
+            seen_words[part] += (step**2).mean(1, keepdims=True)
+            words[part] += STEP * step / np.sqrt(seen_words[part])
+        seen_contexts += (toward**2).mean(1, keepdims=True)
+        contexts += STEP * toward / np.sqrt(seen_contexts)
+    return contexts
+
+
 def learn_vectors(frequent: dict[str, int], pairs: pd.DataFrame) -> Lexicon:
-    """Vectors of the frequent words by a truncated factorisation of their shifted positive PMI matrix."""
+    """Vectors of the frequent words: skip-gram training that begins at the factors of the positive PMI matrix."""
     weight = pairs.groupby("context")["n"].sum().sort_values(ascending=False).head(CONTEXTS)
     contexts = {c: i for i, c in enumerate(weight.index)}
     words = {w: i for i, w in enumerate(frequent)}
@@ -325,7 +351,7 @@ def learn_vectors(frequent: dict[str, int], pairs: pd.DataFrame) -> Lexicon:
     total = float(matrix.sum()) or 1.0
     rows, columns = matrix.sum(1, keepdims=True), matrix.sum(0, keepdims=True)
     with np.errstate(divide="ignore", invalid="ignore"):
-        pmi = np.log(matrix * total / (rows * columns)) - np.log(SHIFT)
+        pmi = np.log(matrix * total / (rows * columns))
     sppmi = np.where(np.isfinite(pmi), np.maximum(pmi, 0), 0).astype(np.float32)
     rank = min(DIMENSIONS, *sppmi.shape)
     rng = np.random.default_rng(7)
@@ -334,7 +360,10 @@ def learn_vectors(frequent: dict[str, int], pairs: pd.DataFrame) -> Lexicon:
         sketch, _ = np.linalg.qr(sppmi @ (sppmi.T @ sketch))
     _, s, vt = np.linalg.svd(sketch.T @ sppmi, full_matrices=False)
     s, vt = s[:rank], vt[:rank]
-    context_vectors = (vt.T / np.sqrt(np.maximum(s, 1e-6))).astype(np.float32)
+    root = np.sqrt(np.maximum(s, 1e-6))
+    trained = train_skip_grams(matrix, (sppmi @ vt.T / root).astype(np.float32), (vt.T * root).astype(np.float32))
+    # Each axis by its strength, so that the strongest ones do not decide every cosine.
+    context_vectors = (trained / root**2).astype(np.float32)
     word_vectors = sppmi @ context_vectors
     size = np.linalg.norm(word_vectors, axis=1, keepdims=True)
     word_vectors = np.where(size > 0, word_vectors / np.maximum(size, 1e-9), 0).astype(np.float32)
@@ -441,17 +470,22 @@ class Corrections:
     lexicon: Lexicon | None = None
     vectors: dict[str, np.ndarray] = field(default_factory=dict)
 
-    def agrees(self, word: str, around: list[str]) -> bool:
+    def agrees(self, word: str, around: list[str], doubt: float) -> bool:
         """Whether a place with the tokens ``around`` may hold a frequent Latin word; without known ones it may."""
         meant = self.vectors.get(word)
         if self.lexicon is None or meant is None:
             return True
         n = Counter(around)
         v = self.lexicon.vector(list(n), list(n.values()))
-        return not v.any() or not meant.any() or float(v @ meant) >= NEAR
+        return not v.any() or not meant.any() or float(v @ meant) >= NEAR * least_agreement(doubt)
+
+
+def least_agreement(doubt: float) -> float:
+    """What part of NEAR a context must agree by: half where recognition is in great doubt, more than all where it is sure."""
+    return min(1.5, max(0.5, 1.5 - 3.0 * doubt))
 
 
-def misread_places(body: Body, c: Corrections) -> dict[int, tuple[str, int]]:
+def misread_places(body: Body, c: Corrections, doubt: float = 1 / 6) -> dict[int, tuple[str, int]]:
     """Place in the body -> (what should stand there, how many characters it replaces)."""
     out: dict[int, tuple[str, int]] = {}
     start = -1
@@ -474,7 +508,7 @@ def misread_places(body: Body, c: Corrections) -> dict[int, tuple[str, int]]:
                     out[p] = (digits_of(t), len(t))
                     continue
                 around = ["^", *toks[1:-1], "$"]
-                if low in c.latin and c.agrees(c.latin[low], [around[min(max(i + step, 0), len(around) - 1)].lower() for step in (-2, -1, 1, 2)]):
+                if low in c.latin and c.agrees(c.latin[low], [around[min(max(i + step, 0), len(around) - 1)].lower() for step in (-2, -1, 1, 2)], doubt):
                     out[p] = (c.latin[low], len(t))
                 elif low not in c.known:
                     if _NUMERIC.match(t):
@@ -528,11 +562,11 @@ def cut_words(body: Body, c: Corrections, following: str) -> dict[int, bool]:
     return out
 
 
-def page_findings(text: str, page: int, trusted: bool, known: Furniture, c: Corrections, following: str, before: str) -> tuple[list[tuple[int, str]], Body, dict, dict]:
+def page_findings(text: str, page: int, trusted: bool, known: Furniture, c: Corrections, following: str, before: str, doubt: float = 1 / 6) -> tuple[list[tuple[int, str]], Body, dict, dict]:
     """((line number, kind) of a page, its body, its misread places, its cuts)."""
     furniture = page_furniture(text, page, known)
     body = body_of(text, set(furniture))
-    places = {} if trusted else misread_places(body, c)
+    places = {} if trusted else misread_places(body, c, doubt)
     cuts = cut_words(body, c, following)
     rows = {(i + 1, kind) for i, (kind, _) in furniture.items()} | {(i + 1, "hyphen") for i, yes in cuts.items() if yes}
     if not trusted:
@@ -609,6 +643,8 @@ def _usable(pages: DataFrame) -> DataFrame:
         F.coalesce(F.col("page_number").cast("int"), F.lit(0)).alias("page_number"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         (F.coalesce(F.col("status"), F.lit("")) == "native_text").alias("trusted"),
+        # Without a confidence a page is in the doubt at which contexts must just agree.
+        F.coalesce(1 - (F.col("confidence") if "confidence" in pages.columns else F.lit(None)).cast("double"), F.lit(1 / 6)).alias("doubt"),
     )
     return usable.filter(F.col("page_id").isNotNull() & F.col("text").rlike("\\S"))
 
@@ -718,7 +754,7 @@ def _each_page(pdf: pd.DataFrame, c: Corrections):
         known = Furniture(list(row.titles) if row.titles is not None else [], None if pd.isna(row.offset) else int(row.offset))
         following = row.following if isinstance(row.following, str) else ""
         before = row.before if isinstance(row.before, str) else ""
-        yield row, page_findings(row.text, row.page_number, bool(row.trusted), known, c, following, before)
+        yield row, page_findings(row.text, row.page_number, bool(row.trusted), known, c, following, before, row.doubt)
 
 
 def scan_noise(pages: DataFrame) -> DataFrame:

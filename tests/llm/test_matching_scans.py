@@ -128,3 +128,17 @@ def test_latin_links_need_context():
     read = lambda text: {p: meant for p, (meant, _) in scans.misread_places(scans.body_of(text, set()), c).items()}
     assert read("house modem city") == {6: "modern"} and read("wire modem dial") == {} and read("x modem y") == {2: "modern"}
     assert read("rate 2.O% of") == {7: "0"} and read("378.O labour days") == {4: "0"} and read("such o house") == {5: "a"}
+
+
+def test_training_brings_words_with_like_contexts_together():
+    rows = [(w, c, n) for w, cs in {"beam": "abc", "bcam": "abc", "invoice": "xyz", "lnvoice": "xyz"}.items() for c, n in zip(cs, (9, 6, 4), strict=True)]
+    pairs = pd.DataFrame(rows, columns=["word", "context", "n"])
+    lexicon = scans.learn_vectors({"beam": 19, "invoice": 19}, pairs)
+    rare = lexicon.vector(list("abc"), [3, 2, 1])
+    beam, invoice = (lexicon.word_vectors[lexicon.words[w]] for w in ("beam", "invoice"))
+    assert rare @ beam > 0.9 > 0.3 > rare @ invoice
+
+
+def test_doubt_lowers_the_agreement_asked_for():
+    asked = [scans.least_agreement(d) for d in (0.0, 1 / 6, 0.45)]
+    assert asked == [1.5, 1.0, 0.5]
