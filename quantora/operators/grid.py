@@ -8,7 +8,7 @@ size spread over tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Header words of each field; the first of a field is its exact label.
@@ -91,8 +91,10 @@ def extract_rows(cells: DataFrame) -> DataFrame:
         .otherwise("detail")
     )
     rows = wide.withColumn("class", kind)
-    last = F.max(F.when(F.col("class") != "orphan", F.col("row"))).over(Window.partitionBy("sheet_id"))
-    return rows.withColumn("class", F.when((F.col("class") == "orphan") & (F.col("row") > F.coalesce(last, F.lit(-1))), "trailing").otherwise(F.col("class")))
+    # The last row that is none of them, as an aggregate: a window would sort each sheet in one task.
+    last = rows.filter("class <> 'orphan'").groupBy("sheet_id").agg(F.max("row").alias("_last"))
+    ended = rows.join(last, "sheet_id", "left")
+    return ended.withColumn("class", F.when((F.col("class") == "orphan") & (F.col("row") > F.coalesce("_last", F.lit(-1))), "trailing").otherwise(F.col("class"))).drop("_last")
 
 
 def coverage(cells: DataFrame, extracted: DataFrame) -> DataFrame:

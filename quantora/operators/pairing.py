@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantora.session import cut_lineage
+
 
 def composite_key(*fields: str) -> Column:
     """One text of all fields, trimmed; null if any is missing or blank."""
@@ -38,13 +40,20 @@ def unique_pairs(left: DataFrame, right: DataFrame, key: Column) -> DataFrame:
 
 
 def progressive_pairs(left: DataFrame, right: DataFrame, keys: list[tuple[str, Column]]) -> DataFrame:
-    """left_id, right_id and the pass that paired them: each pass pairs what is unique, the rest goes on."""
+    """left_id, right_id and the pass that paired them: each pass pairs what is unique, the rest goes on.
+
+    Both sides are read once, reduced to their id and keys and kept; every pass reads
+    what is kept and is kept itself, so that no pass computes an earlier one again.
+    """
+    narrow = lambda df: cut_lineage(df.select("id", *[key.alias(f"_k{i}") for i, (_, key) in enumerate(keys)]))
+    left, right = narrow(left), narrow(right)
     found = None
-    for name, key in keys:
-        pairs = unique_pairs(left, right, key).withColumn("pass", F.lit(name))
+    for i, (name, _) in enumerate(keys):
+        pairs = cut_lineage(unique_pairs(left, right, F.col(f"_k{i}")).withColumn("pass", F.lit(name)))
         found = pairs if found is None else found.unionByName(pairs)
-        left = left.join(pairs.select(F.col("left_id").alias("id")), "id", "left_anti")
-        right = right.join(pairs.select(F.col("right_id").alias("id")), "id", "left_anti")
+        if i + 1 < len(keys):
+            left = cut_lineage(left.join(pairs.select(F.col("left_id").alias("id")), "id", "left_anti"))
+            right = cut_lineage(right.join(pairs.select(F.col("right_id").alias("id")), "id", "left_anti"))
     return found
 
 

@@ -10,7 +10,8 @@ from quantora.operators import aggregate as agg
 from quantora.plans.domain import EFFECTIVE, KEY, as_double, boq, boq_and, dbl, effective, item_key, over_boq
 from quantora.sources.tables import table
 
-PERIODS = list(range(1, 29))
+#: Periods that a pivot may have as columns.
+MOST_PERIODS = 1_000
 NORM = "lower(regexp_replace(feature, '\\s', '', 'g'))"
 BASIS = "CASE WHEN unit IN ('t', 'kg') THEN 't' ELSE unit END"
 FACTOR = "CASE WHEN unit = 'kg' THEN 0.001 ELSE 1 END"
@@ -51,10 +52,13 @@ def quantity_unit_normalised(spark: SparkSession, d: str) -> DataFrame:
 
 
 def settlement_pivot(spark: SparkSession, d: str) -> DataFrame:
-    """Effective amounts by direction and period, periods as columns."""
-    rows = boq(spark, d).filter(~F.col("is_deduction")).withColumn("effective", effective())
-    wide = rows.groupBy("direction", "unit").pivot("period_no", PERIODS).agg(F.sum("effective"))
-    return wide.select("direction", "unit", *[as_double(F.col(str(p))).alias(f"p{p:02d}") for p in PERIODS])
+    """Effective amounts of each item and direction, periods as columns; the periods are those of the data."""
+    rows = _keyed(spark, d).filter(~F.col("is_deduction")).withColumn("effective", effective())
+    periods = sorted(r.period_no for r in rows.select("period_no").distinct().limit(MOST_PERIODS + 1).collect())
+    if len(periods) > MOST_PERIODS:
+        raise ValueError(f"more than {MOST_PERIODS} periods; use item_period_totals")
+    wide = rows.groupBy("direction", "item_key").pivot("period_no", periods).agg(F.sum("effective"))
+    return wide.select("direction", "item_key", *[as_double(F.col(str(p))).alias(f"p{p:02d}") for p in periods])
 
 
 def direction_amounts(spark: SparkSession, d: str) -> DataFrame:
@@ -104,9 +108,9 @@ def price_median(spark: SparkSession, d: str) -> DataFrame:
 
 
 def price_hint(spark: SparkSession, d: str) -> DataFrame:
-    """Each item's last price against the comparable earlier ones: sample, range, median, deviation and reasons."""
+    """Each item's last price against the comparable earlier ones: sample, range, median, deviation, its rate, and reasons."""
     rows = boq(spark, d).filter(F.col("code") != "")
-    latest = rows.groupBy("direction", "code", "unit").agg(F.max("period_no").alias("last"), F.max("unit_price").alias("price"))
+    latest = rows.groupBy("direction", "code", "unit").agg(F.max("period_no").alias("last"), F.max_by("unit_price", F.struct("period_no", "rid")).alias("price"))
     history = rows.select("direction", "code", "unit", "period_no", F.col("amount").isNotNull().alias("stated"), F.try_divide(F.col("amount").cast("double"), F.col("quantity").cast("double")).alias("paid"))
     known = history.join(latest, ["direction", "code", "unit"]).filter(F.col("period_no") < F.col("last"))
     usable = F.col("stated") & F.col("paid").isNotNull()
@@ -117,13 +121,13 @@ def price_hint(spark: SparkSession, d: str) -> DataFrame:
     )
     median = agg.exact_median(known.filter(usable), ["direction", "code", "unit"], "paid").drop("n")
     joined = latest.join(stats, ["direction", "code", "unit"]).join(median, ["direction", "code", "unit"], "left")
-    return joined.select("direction", "code", "unit", "n_sample", "n_comparable", "reasons", "median", (F.col("price").cast("double") - F.col("median")).alias("deviation"))
+    deviation = F.col("price").cast("double") - F.col("median")
+    return joined.select("direction", "code", "unit", "n_sample", "n_comparable", (F.col("n_sample") - F.col("n_comparable")).alias("n_incomparable"), "reasons", "lowest", "highest", "median", deviation.alias("deviation"), F.try_divide(deviation, F.col("median")).alias("rate"))
 
 
 def content_digests(spark: SparkSession, d: str) -> DataFrame:
-    """An ordered content digest of each direction and period."""
-    rows = boq(spark, d)
-    return agg.content_digest(rows, ["direction", "period_no"], ["rid", "code", "name", "unit"], "rid")
+    """A content digest of each direction and period."""
+    return agg.content_digest(boq(spark, d), ["direction", "period_no"], ["rid", "code", "name", "unit"])
 
 
 def row_set_hashes(spark: SparkSession, d: str) -> DataFrame:
@@ -208,7 +212,7 @@ ORACLES = {
         CASE WHEN count(DISTINCT base) > 1 OR count(DISTINCT {NORM}) > 1 THEN 'incomparable' WHEN count(*) > count(std) THEN 'incomplete' ELSE 'ok' END AS status FROM k GROUP BY ALL""",
     ),
     "settlement_pivot": over_boq(
-        "SELECT direction, unit, " + ", ".join(f"{dbl(f'sum({EFFECTIVE}) FILTER (WHERE period_no = {p})')} AS p{p:02d}" for p in PERIODS) + " FROM boq WHERE NOT is_deduction GROUP BY ALL"
+        f"SELECT direction, {KEY} AS item_key, " + ", ".join(f"{dbl(f'sum({EFFECTIVE}) FILTER (WHERE period_no = {p})')} AS p{p:02d}" for p in range(1, 29)) + " FROM boq WHERE NOT is_deduction GROUP BY ALL"
     ),
     "direction_amounts": boq_and(
         _AMT,
@@ -226,7 +230,7 @@ ORACLES = {
         f"""SELECT name, feature, unit, count(*) AS n, {dbl('min(unit_price)')} AS lowest, {dbl('max(unit_price)')} AS highest, {dbl('median(unit_price)')} AS median FROM boq GROUP BY ALL"""
     ),
     "price_hint": boq_and(
-        """r AS (SELECT * FROM boq WHERE code <> ''), l AS (SELECT direction, code, unit, max(period_no) AS last, max(unit_price) AS price FROM r GROUP BY ALL),
+        """r AS (SELECT * FROM boq WHERE code <> ''), l AS (SELECT direction, code, unit, max(period_no) AS last, arg_max(unit_price, (period_no, rid)) AS price FROM r GROUP BY ALL),
         k AS (SELECT r.direction, r.code, r.unit, l.price, r.amount IS NOT NULL AS stated, CAST(r.amount AS DOUBLE) / CAST(r.quantity AS DOUBLE) AS paid
               FROM r JOIN l USING (direction, code, unit) WHERE r.period_no < l.last),
         m AS (SELECT direction, code, unit, CAST(sum(paid) AS DOUBLE) / count(*) AS median FROM
@@ -234,9 +238,14 @@ ORACLES = {
           WHERE r IN ((n + 1) // 2, (n + 2) // 2) GROUP BY ALL)""",
         """SELECT direction, code, unit, count(*) AS n_sample, count(*) FILTER (WHERE stated AND paid IS NOT NULL) AS n_comparable,
         coalesce(array_to_string(list_sort(list(DISTINCT CASE WHEN NOT stated THEN 'no amount' WHEN paid IS NULL THEN 'no quantity' END) FILTER (WHERE NOT stated OR paid IS NULL)), ','), '') AS reasons,
-        max(m.median) AS median, CAST(max(price) AS DOUBLE) - max(m.median) AS deviation FROM k LEFT JOIN m USING (direction, code, unit) GROUP BY direction, code, unit""",
+        count(*) FILTER (WHERE NOT stated OR paid IS NULL) AS n_incomparable, min(paid) FILTER (WHERE stated) AS lowest, max(paid) FILTER (WHERE stated) AS highest,
+        max(m.median) AS median, CAST(max(price) AS DOUBLE) - max(m.median) AS deviation, (CAST(max(price) AS DOUBLE) - max(m.median)) / max(m.median) AS rate FROM k LEFT JOIN m USING (direction, code, unit) GROUP BY direction, code, unit""",
+    ),
+    "content_digests": boq_and(
+        """h AS (SELECT direction, period_no, sha256(rid || '|' || code || '|' || name || '|' || unit) AS h FROM boq),
+        b AS (SELECT direction, period_no, substr(h, 1, 3) AS b, count(*) AS n, sha256(string_agg(h, chr(10) ORDER BY h)) AS d FROM h GROUP BY ALL)""",
+        "SELECT direction, period_no, CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(d, chr(10) ORDER BY b)) AS digest FROM b GROUP BY ALL",
     ),
-    "content_digests": over_boq("SELECT direction, period_no, count(*) AS n_rows, sha256(string_agg(sha256(rid || '|' || code || '|' || name || '|' || unit), chr(10) ORDER BY rid)) AS digest FROM boq GROUP BY ALL"),
     "row_set_hashes": """WITH r AS (SELECT DISTINCT sheet_id, CAST(json_extract_string(flags_json, '$.row') AS INTEGER) AS row FROM line_items WHERE sheet_id IS NOT NULL)
         SELECT sheet_id, count(*) AS n_rows, sha256(string_agg(row, ',' ORDER BY row)) AS row_hash FROM r WHERE row IS NOT NULL GROUP BY ALL""",
     "finding_coverage": """WITH e AS (SELECT count(DISTINCT rule_id) AS n_expected FROM anomalies), s AS (SELECT project_id, count(DISTINCT rule_id) AS n FROM anomalies GROUP BY ALL)

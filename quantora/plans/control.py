@@ -21,7 +21,7 @@ def cross_check(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("sheet_id", as_double(F.col("a_total")).alias("a_total"), as_double(F.col("b_total")).alias("b_total"), as_double(F.col("c_total")).alias("c_total"), "ab_status", "control_status", F.array_join("reasons", ",").alias("reasons"), "level")
 
 
-def period_differences(spark: SparkSession, d: str) -> DataFrame:
+def _differences(spark: SparkSession, d: str) -> DataFrame:
     """What changed between successive periods: paired rows by category, the rest added or deleted, with impact.
 
     Categories by precedence: code, name, feature, quantity, unit_price, amount; a
@@ -43,14 +43,19 @@ def period_differences(spark: SparkSession, d: str) -> DataFrame:
     known = boq(spark, d).select(F.concat_ws(":", "direction", "period_no").alias("_p"), F.concat_ws(":", "direction", F.col("period_no") - 1).alias("_q")).distinct()
     gone = left.join(pairs.select(F.col("left_id").alias("id")), "id", "left_anti").join(known.select(F.col("_q").alias("pair")).distinct(), "pair", "left_semi").select("id", F.lit("deleted").alias("category"), F.when(F.col("_e").isNull(), "pending").otherwise("confirmed").alias("status"), (-F.col("_e")).alias("impact"))
     new = right.join(pairs.select(F.col("right_id").alias("id")), "id", "left_anti").join(known.select(F.col("_p").alias("pair")).distinct(), "pair", "left_semi").select("id", F.lit("added").alias("category"), F.when(F.col("_e").isNull(), "pending").otherwise("confirmed").alias("status"), F.col("_e").alias("impact"))
-    return paired.unionByName(gone).unionByName(new).select("id", "category", "status", as_double(F.col("impact")).alias("impact"))
+    return paired.unionByName(gone).unionByName(new)
+
+
+def period_differences(spark: SparkSession, d: str) -> DataFrame:
+    """What changed between successive periods, row by row."""
+    return _differences(spark, d).select("id", "category", "status", as_double(F.col("impact")).alias("impact"))
 
 
 def difference_summary(spark: SparkSession, d: str) -> DataFrame:
     """Differences and confirmed impact by category, also of categories without any."""
-    rows = period_differences(spark, d).groupBy("category").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "confirmed").alias("n_confirmed"), F.round(F.sum("impact"), 2).alias("impact"))
+    rows = _differences(spark, d).groupBy("category").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "confirmed").alias("n_confirmed"), as_double(F.sum("impact"), 2).alias("impact"))
     names = F.broadcast(spark.createDataFrame([(c,) for c in ("code", "name", "feature", "quantity", "unit_price", "amount", "same", "added", "deleted")], "category string"))
-    return names.join(rows, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_confirmed", F.lit(0)).alias("n_confirmed"))
+    return names.join(rows, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_confirmed", F.lit(0)).alias("n_confirmed"), "impact")
 
 
 def version_comparison(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +144,7 @@ ORACLES = {
     "period_differences": boq_and(_DIFF, f"SELECT id, category, status, CASE WHEN category IN ('added', 'deleted') OR status = 'confirmed' THEN {dbl('i')} END AS impact FROM d"),
     "difference_summary": boq_and(
         _DIFF,
-        "SELECT c AS category, count(d.id) AS n, count(d.id) FILTER (WHERE status = 'confirmed') AS n_confirmed FROM (VALUES ('code'), ('name'), ('feature'), ('quantity'), ('unit_price'), ('amount'), ('same'), ('added'), ('deleted')) v(c) LEFT JOIN d ON d.category = c GROUP BY c",
+        f"SELECT c AS category, count(d.id) AS n, count(d.id) FILTER (WHERE status = 'confirmed') AS n_confirmed, {dbl('sum(i) FILTER (WHERE category IN (%s) OR status = %s)' % (chr(39) + 'added' + chr(39) + ', ' + chr(39) + 'deleted' + chr(39), chr(39) + 'confirmed' + chr(39)), 2)} AS impact FROM (VALUES ('code'), ('name'), ('feature'), ('quantity'), ('unit_price'), ('amount'), ('same'), ('added'), ('deleted')) v(c) LEFT JOIN d ON d.category = c GROUP BY c",
     ),
     "version_comparison": f"""
         WITH v AS (SELECT id, lag(id) OVER (PARTITION BY project_id ORDER BY version_no) AS prev FROM project_versions),

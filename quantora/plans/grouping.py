@@ -32,10 +32,10 @@ def code_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def name_code_components(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers' parts merged over shared (brand, type) names: connected components of code and name, with their size."""
-    parts = table(spark, d, "part").select(F.concat(F.lit("c:"), "p_partkey").alias("code"), F.concat(F.lit("n:"), match_name(F.concat("p_name", "p_brand", "p_type"))).alias("name"))
-    comp = connected_components(parts, "code", "name")
-    return comp.filter("node like 'c:%'").groupBy("component").agg(F.count("*").alias("n_codes"))
+    """Codes of the items merged over the names they share, chain by chain: connected components, with their codes and names."""
+    named = boq(spark, d).filter("code <> ''").select(F.concat(F.lit("c:"), "code").alias("code"), F.concat(F.lit("n:"), match_name(F.col("name"))).alias("name"))
+    comp = connected_components(named, "code", "name")
+    return comp.groupBy("component").agg(F.count_if(F.col("node").startswith("c:")).alias("n_codes"), F.count_if(F.col("node").startswith("n:")).alias("n_names"))
 
 
 def uncoded_hosts(spark: SparkSession, d: str) -> DataFrame:
@@ -110,8 +110,11 @@ _LEVELS = f"""g AS (SELECT direction, code, count(*) AS n, count(DISTINCT name)
  l AS (SELECT *, CASE WHEN units > 1 OR features > 1 THEN 'incomparable' WHEN names > 1 THEN 'probable' ELSE 'confirmed' END AS level FROM g)"""
 ORACLES = {
     "code_groups": boq_and(_LEVELS, "SELECT direction, code, n, names, units, features, level FROM l"),
-    "name_code_components": """WITH p AS (SELECT 'c:' || p_partkey AS code, 'n:' || regexp_replace(lower(p_name || p_brand || p_type), '[()\\[\\],.;:\\s_/\\-]', '', 'g') AS name FROM part)
-        SELECT min(code) AS component, count(*) AS n_codes FROM p GROUP BY name""",
+    "name_code_components": boq_and(
+        f"""e AS (SELECT DISTINCT 'c:' || code AS c, 'n:' || {_NAME} AS n FROM boq WHERE code <> ''), l AS (SELECT DISTINCT a.c AS x, b.c AS y FROM e a JOIN e b USING (n)),
+        r AS (SELECT * FROM (WITH RECURSIVE w(root, x) AS (SELECT x, x FROM l UNION SELECT w.root, l.y FROM w JOIN l USING (x)) SELECT min(root) AS component, x FROM w GROUP BY x))""",
+        "SELECT component, count(DISTINCT c) AS n_codes, count(DISTINCT n) AS n_names FROM r JOIN e ON e.c = r.x GROUP BY component",
+    ),
     "uncoded_hosts": boq_and(
         f"h AS (SELECT direction, {_NAME} AS k, count(DISTINCT code) AS n, min(code) AS host FROM boq WHERE code <> '' GROUP BY 1, 2)",
         f"SELECT b.rid, CASE WHEN h.n = 1 THEN h.host END AS host, coalesce(h.n, 0) AS n_hosts FROM boq b LEFT JOIN h ON h.direction = b.direction AND h.k = {_NAME.replace('name', 'b.name')} WHERE b.code = ''",
