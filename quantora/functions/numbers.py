@@ -67,3 +67,14 @@ def round2(c: Column) -> Column:
 def within(a: Column, b: Column, tolerance: str = "0.02") -> Column:
     """``|a - b| <= tolerance``, null if either is missing."""
     return F.abs(a - b) <= F.lit(tolerance).cast("decimal(6,4)")
+
+
+def percent_number(c: Column) -> Column:
+    """A figure that stands for per cent as a fraction: 13 is 0.13."""
+    return (to_decimal(c) / F.lit(100)).cast("decimal(20,8)")
+
+
+def difference_rate(left: Column, right: Column) -> Column:
+    """(right - left) / left: nothing against nothing is 0, anything against nothing has no rate."""
+    difference = right - left
+    return F.when(left != 0, F.try_divide(difference.cast("double"), left.cast("double"))).when(difference == 0, F.lit(0.0))

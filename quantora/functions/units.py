@@ -7,6 +7,9 @@ from collections import defaultdict
 from decimal import Decimal
 from functools import lru_cache
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from quantora.functions.lookalikes import skeleton
 
 # Names of units by base unit and factor (a decimal text).
@@ -142,3 +145,35 @@ def read_unit(text: str) -> tuple[str | None, str | None, str, float]:
         base, own = names[found[0]]
         return base, format(factor * Decimal(own), "f"), "fuzzy", found[1]
     return None, None, "unknown", 0.0
+
+
+# Units that rules take for one (case counts), and those that comparisons and exports take for one.
+RULE_UNITS = {"m3": "m³ 立方米 立米 M3 m^3", "m2": "m² 平方米 平米 M2 m^2", "m": "米 延长米", "t": "吨 T", "kg": "千克 公斤", "个": "只 件", "樘": "堂 樘/处"}
+RADAR_UNITS = {"m3": "m³ 立方米 立米 m^3", "m2": "m² 平方米 平米 m^2"}
+EXPORT_UNITS = {"m3": "m³ 立方米 立米 M3 m^3", "m2": "m² 平方米 平米 M2 m^2"}
+
+
+def _renamed(c: Column, names: dict[str, str]) -> Column:
+    pairs = [(alias, name) for name, many in names.items() for alias in many.split()]
+    return F.coalesce(F.create_map(*[F.lit(x) for p in pairs for x in p])[c], c)
+
+
+def rule_unit(c: Column) -> Column:
+    """A unit for the rules: aliases of one unit are one, without scale and with case; empty for none."""
+    return _renamed(F.trim(F.coalesce(c, F.lit(""))), RULE_UNITS)
+
+
+def radar_unit(c: Column) -> Column:
+    """A unit for period differences: in lower case, areas and volumes under one name."""
+    return _renamed(F.lower(F.trim(F.coalesce(c, F.lit("")))), RADAR_UNITS)
+
+
+def export_unit(c: Column) -> Column:
+    """A unit for exports: areas and volumes under one name, the rest as it is."""
+    return _renamed(F.trim(F.coalesce(c, F.lit(""))), EXPORT_UNITS)
+
+
+def converted_quantity(quantity: Column, factor: Column, target: Column) -> Column:
+    """A quantity by a stated factor into a target unit, and on into the target's base (kg by 0.001)."""
+    base = F.when(F.lower(F.trim(target)) == "kg", F.lit("0.001")).otherwise(F.lit("1")).cast("decimal(6,3)")
+    return (quantity * factor.cast("decimal(18,6)") * base).cast("decimal(38,9)")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quantora.functions import numbers, texts, units
 from quantora.functions.lookalikes import skeleton
-from quantora.operators import aggregate, components, ledger, lineage, pairing, sequences, verify
+from quantora.operators import aggregate, components, ledger, lineage, pairing, rulebook, sequences, verify
 from quantora.plans.grouping import token_set_ratio
 from quantora.streaming import events
 
@@ -151,3 +151,31 @@ def test_streams(spark, small_data, mode):
     users = events.run_to_end(events.running_balance(events.event_stream(spark, f"{small_data}/events.parquet")), "update")
     assert users.groupBy("user_id").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] == spark.read.parquet(f"{small_data}/events.parquet").count()
     assert events.run_to_end(events.sessions(events.event_stream(spark, f"{small_data}/events.parquet")), "append").count() > 0
+
+
+def test_a_failing_rule_takes_no_other_with_it(spark):
+    rows = spark.createDataFrame([(1, -2.0), (2, 3.0)], "id int, q double")
+    good = rulebook.Rule("good", ("items",), lambda t: rulebook.finding(t.filter("q < 0"), "negative", "high", "id"))
+    absent = rulebook.Rule("absent", ("cells",), good.find)
+    broken = rulebook.Rule("broken", ("items",), lambda t: t.filter("no_such_column > 1"))
+    late = rulebook.Rule("late", ("items",), lambda t: rulebook.finding(t.filter(F.raise_error(F.lit("x")).isNull()), "x", "low", "id"))
+    off = rulebook.Rule("off", ("items",), good.find)
+    found, coverage = rulebook.run(spark, [broken, good, absent, late, off], {"items": rows}, frozenset({"off"}))
+    assert [(r.rule_id, r.subject) for r in found.collect()] == [("negative", "1")]
+    assert {r.rule: (r.status, r.n_findings) for r in coverage.collect()} == {"good": ("executed", 1), "broken": ("failed", None), "absent": ("skipped", None), "late": ("failed", None), "off": ("skipped", None)}
+    assert rulebook.coverage_status(coverage).first().status == "failed"
+    empty, coverage = rulebook.run(spark, [good], {"items": rows.limit(0)})
+    assert empty.count() == 0 and rulebook.coverage_status(coverage).first().status == "complete"
+
+
+def test_cell_and_text_predicates(spark):
+    assert column(spark, ["(1,200)", "¥3.5", "12%", "abc", None, "1.2.3"], texts.looks_numeric, ) == [True, True, True, False, False, False]
+    assert column(spark, ["01-02", "A1", "abc", "中1", None], texts.looks_code) == [True, True, False, False, False]
+    assert column(spark, ["税金", "税金（9%）", "税金调整", None], texts.tax_only) == [True, True, False, False]
+    assert column(spark, ["一", "（十二）", "1.1.2", "第二部分", "其中", "010101011001", "1", "墙", None], texts.level_label) == [True] * 5 + [False] * 4
+    assert column(spark, ["3号楼", "1-3号楼", "1号楼及2号楼", "1号楼和2-4号楼", "1-2号楼、4~5号楼", "", None], lambda c: texts.building_verdict(texts.building_groups(F.coalesce(c, F.lit(""))))["status"]) == ["accepted", "combined", "conflict", "mixed sources", "conflict", "unconfirmed", "unconfirmed"]
+    assert column(spark, ["m³", "M3", " 米 ", "T", "t", None], units.rule_unit) == ["m3", "m3", "m", "t", "t", ""]
+    assert column(spark, ["M³", "M3", "米"], units.radar_unit) == ["m3", "m3", "米"]
+    assert column(spark, ["a" * 64, "x", None], lambda c: texts.sheet_row_id(c, F.lit(' S"1 '), F.lit(3))) == ["sha256:" + "a" * 64 + '|sheet:"S\\"1"|row:3', None, None]
+    pairs = spark.createDataFrame([(0.0, 0.0), (0.0, 2.0), (4.0, 5.0), (None, 1.0)], "a double, b double")
+    assert [r[0] for r in pairs.select(numbers.difference_rate(F.col("a"), F.col("b"))).collect()] == [0.0, None, 0.25, None]
