@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quantora.functions.numbers import to_decimal
 from quantora.operators import ledger, lineage, pairing, verify
-from quantora.plans.documents import _grid_cells
+from quantora.plans.documents import _faulty_cells
 from quantora.plans.domain import EFFECTIVE, as_double, boq, boq_and, dbl, effective, over_boq
 from quantora.plans.joins import _SIDES, _pair_sides, _pass
 from quantora.session import cut_lineage
@@ -15,10 +15,18 @@ from quantora.sources.tables import table
 
 
 def cross_check(spark: SparkSession, d: str) -> DataFrame:
-    """Items, raw grid and control total of every worksheet compared."""
+    """Items, raw grid and control total of every worksheet compared; the worksheets have faults by period."""
     items = boq(spark, d).withColumn("sheet_id", F.concat_ws(":", "direction", "period_no"))
-    rows = verify.cross_check(items, cut_lineage(_grid_cells(spark, d)))
-    return rows.select("sheet_id", as_double(F.col("a_total")).alias("a_total"), as_double(F.col("b_total")).alias("b_total"), as_double(F.col("c_total")).alias("c_total"), "ab_status", "control_status", F.array_join("reasons", ",").alias("reasons"), "level")
+    rows = verify.cross_check(items, cut_lineage(_faulty_cells(spark, d)))
+    return rows.select(
+        "sheet_id", as_double(F.col("a_total")).alias("a_total"), as_double(F.col("b_total")).alias("b_total"), as_double(F.col("c_total")).alias("c_total"), "ab_status", "control_status", F.array_join("reasons", ",").alias("reasons"), "level", "combined"
+    )
+
+
+def control_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Total rows by class against total rows found again by their words, for every worksheet with faults."""
+    rows = verify.control_candidates(cut_lineage(_faulty_cells(spark, d)))
+    return rows.select("sheet_id", F.size("by_class").alias("n_by_class"), F.size("by_words").alias("n_by_words"), "agree")
 
 
 def _differences(spark: SparkSession, d: str) -> DataFrame:
@@ -115,7 +123,9 @@ def run_signatures(spark: SparkSession, d: str) -> DataFrame:
     return lineage.drift(before, now).join(now.select("component", "n_rows"), "component", "left")
 
 
-_G = f"""s AS (SELECT direction || ':' || period_no AS sheet_id, sum(amount) AS a, count(*) FILTER (WHERE amount IS NULL) AS m, count(*) AS n FROM boq GROUP BY 1)"""
+_G = """s AS (SELECT direction || ':' || period_no AS sheet_id, period_no % 5 AS f, sum(amount) AS a, count(*) FILTER (WHERE amount IS NULL) AS m, arg_max(coalesce(amount, 0), rid) AS last FROM boq GROUP BY 1, 2),
+ t AS (SELECT *, CASE WHEN f = 2 THEN a - last ELSE a END AS b, CASE WHEN f IN (3, 4) THEN NULL WHEN f = 1 THEN a + 10 ELSE a END AS c, CASE WHEN f = 2 THEN 'diff' ELSE 'match' END AS ab, CASE WHEN f IN (3, 4) THEN 'not_available' WHEN f = 1 THEN 'diff' ELSE 'match' END AS cs,
+   concat_ws(',', CASE WHEN m > 0 THEN 'missing amounts' END, CASE WHEN f = 0 THEN 'rows without a class' END, CASE WHEN f IN (3, 4) THEN 'no control' END, CASE WHEN f = 3 THEN 'several grand totals' END) AS reasons FROM s)"""
 _DIFF = (
     _SIDES
     + f", l1 AS (SELECT *, {EFFECTIVE} AS e FROM l), r1 AS (SELECT *, {EFFECTIVE} AS e FROM r)"
@@ -139,8 +149,10 @@ _VERSION_NUMBER = "TRY_CAST(regexp_replace(translate({c}, '０１２３４５６
 ORACLES = {
     "cross_check": boq_and(
         _G,
-        f"SELECT sheet_id, {dbl('a')} AS a_total, {dbl('a')} AS b_total, {dbl('a')} AS c_total, 'match' AS ab_status, 'match' AS control_status, CASE WHEN m > 0 THEN 'missing amounts' ELSE '' END AS reasons, CASE WHEN m > 0 THEN 'insufficient' ELSE 'sufficient' END AS level FROM s",
+        f"""SELECT sheet_id, {dbl('a')} AS a_total, {dbl('b')} AS b_total, {dbl('c')} AS c_total, ab AS ab_status, cs AS control_status, reasons, CASE WHEN reasons <> '' THEN 'insufficient' WHEN ab = 'diff' OR cs = 'diff' THEN 'findings' ELSE 'sufficient' END AS level,
+        CASE WHEN ab = 'diff' OR cs = 'diff' THEN 'diff' WHEN cs = 'not_available' THEN 'unverified' ELSE 'match' END AS combined FROM t""",
     ),
+    "control_rows": boq_and(_G, "SELECT sheet_id, CAST(CASE f WHEN 3 THEN 2 WHEN 4 THEN 0 ELSE 1 END AS INTEGER) AS n_by_class, CAST(CASE f WHEN 3 THEN 2 WHEN 4 THEN 0 ELSE 1 END AS INTEGER) AS n_by_words, true AS agree FROM s"),
     "period_differences": boq_and(_DIFF, f"SELECT id, category, status, CASE WHEN category IN ('added', 'deleted') OR status = 'confirmed' THEN {dbl('i')} END AS impact FROM d"),
     "difference_summary": boq_and(
         _DIFF,

@@ -9,6 +9,7 @@ from quantora.functions import texts as T
 from quantora.functions.numbers import decimal_text, tax_fraction, to_decimal
 from quantora.operators import formulas, grid
 from quantora.plans.domain import boq, over_boq
+from quantora.session import cut_lineage
 from quantora.sources.tables import table
 
 # Facts looked for in texts: a trigger and the pattern of the value.
@@ -120,6 +121,25 @@ def _grid_cells(spark: SparkSession, d: str) -> DataFrame:
     return head.unionByName(body).unionByName(foot).filter("value is not null and value <> ''")
 
 
+def _faulty_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The worksheets with a fault by period, so that checks have something to find.
+
+    By period number modulo 5: figures without a name below the total, a total that is
+    ten too high, the last item left out, the total stated twice, no total.
+    """
+    cells = cut_lineage(_grid_cells(spark, d))
+    last = cells.groupBy("sheet_id").agg(F.max("row").alias("_last"))
+    fault = F.split_part("sheet_id", F.lit(":"), F.lit(2)).cast("int") % 5
+    placed = cells.join(last, "sheet_id").withColumn("_fault", fault)
+    total = F.col("row") == F.col("_last")
+    kept = placed.filter(~((F.col("_fault") == 2) & (F.col("row") == F.col("_last") - 1)) & ~((F.col("_fault") == 4) & total))
+    wrong = (F.col("_fault") == 1) & total & (F.col("col") == 7)
+    changed = kept.withColumn("value", F.when(wrong, (F.col("value").cast("decimal(38,6)") + 10).cast("string")).otherwise(F.col("value")))
+    again = placed.filter((F.col("_fault") == 3) & total).withColumn("row", F.col("row") + 1)
+    orphan = placed.filter((F.col("_fault") == 0) & total & (F.col("col") == 7)).withColumn("row", F.col("row") + 1)
+    return changed.unionByName(again).unionByName(orphan).select("sheet_id", "row", "col", "value")
+
+
 def grid_items(spark: SparkSession, d: str) -> DataFrame:
     """Items laid out as worksheet cells and read back: header found, rows classified, figures parsed."""
     rows = grid.extract_rows(_grid_cells(spark, d)).filter("class = 'detail'")
@@ -127,9 +147,9 @@ def grid_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grid_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Every worksheet row accounted for by class."""
-    cells = _grid_cells(spark, d)
-    return grid.coverage(cells, grid.extract_rows(cells)).select("sheet_id", "n_rows", "n_detail", "n_grand_total", "proof")
+    """Every worksheet row accounted for by class, also of worksheets with faults."""
+    cells = cut_lineage(_faulty_cells(spark, d))
+    return grid.coverage(cells, grid.extract_rows(cells)).select("sheet_id", "n_rows", "n_detail", "n_grand_total", "n_trailing", "proof")
 
 
 def formula_impact(spark: SparkSession, d: str) -> DataFrame:
@@ -177,7 +197,10 @@ ORACLES = {
     "unparsed_figures": " UNION ALL ".join(f"SELECT '{c}' AS field, {c} AS text, count(*) AS n FROM line_items WHERE trim({c}, ' ') <> '' AND ({_sql_decimal(c)}) IS NULL GROUP BY {c}" for c in ("quantity", "unit_price", "amount")),
     "tax_modes": "SELECT project_id, direction, count(DISTINCT tax_mode) AS n_modes FROM settlement_periods WHERE tax_mode NOT IN ('', 'unknown') GROUP BY ALL HAVING count(DISTINCT tax_mode) > 1",
     "grid_items": over_boq("SELECT direction || ':' || period_no AS sheet_id, code, name, unit, CAST(quantity AS DOUBLE) AS quantity, CAST(amount AS DOUBLE) AS amount FROM boq"),
-    "grid_coverage": over_boq("SELECT direction || ':' || period_no AS sheet_id, count(*) + 1 AS n_rows, count(*) AS n_detail, 1 AS n_grand_total, 'complete' AS proof FROM boq GROUP BY direction, period_no"),
+    "grid_coverage": over_boq(
+        """SELECT direction || ':' || period_no AS sheet_id, count(*) + CASE period_no % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 0 WHEN 3 THEN 2 ELSE 0 END AS n_rows, count(*) - CASE period_no % 5 WHEN 2 THEN 1 ELSE 0 END AS n_detail,
+        CASE period_no % 5 WHEN 3 THEN 2 WHEN 4 THEN 0 ELSE 1 END AS n_grand_total, CASE period_no % 5 WHEN 0 THEN 1 ELSE 0 END AS n_trailing, 'complete' AS proof FROM boq GROUP BY direction, period_no"""
+    ),
     "formula_impact": """WITH RECURSIVE e(s, t) AS (SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer),
         r(node, depth) AS (SELECT 'r1', 0 UNION SELECT t, depth + 1 FROM r JOIN e ON s = node) SELECT node, depth FROM r""",
     "column_names": """WITH n AS (SELECT p_partkey, CAST((p_partkey * 37) % 18278 + 1 AS INTEGER) AS number FROM part)

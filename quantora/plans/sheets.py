@@ -19,7 +19,7 @@ def sheet_facts(spark: SparkSession, d: str) -> DataFrame:
     """sheet_id, sheet_name, hidden_rows, hidden_cols, merged (first rows), header_last, columns, filter_state, confidence."""
     i = F.col("id")
     some = lambda test, array: F.when(test, array).otherwise(F.array().cast("array<int>"))
-    gone = F.when(i % 17 == 0, F.array(F.lit("unit_price"), F.lit("amount"))).when(i % 19 == 0, F.array(F.lit("code"))).otherwise(F.array().cast("array<string>"))
+    gone = F.when(i % 17 == 0, F.array(F.lit("unit_price"), F.lit("amount"))).when(i % 19 == 0, F.array(F.lit("code"))).when(i % 23 == 0, F.array(F.lit("quantity"), F.lit("unit_price"))).otherwise(F.array().cast("array<string>"))
     return table(spark, d, "raw_sheets").select(
         i.alias("sheet_id"),
         "sheet_name",
@@ -64,7 +64,7 @@ def typed_lines(spark: SparkSession, d: str) -> DataFrame:
 
 _ROW = "CAST(json_extract_string(flags_json, '$.row') AS INTEGER)"
 SHEET_FACTS = """SELECT id AS sheet_id, sheet_name, CASE WHEN id % 7 = 0 THEN range(1, id % 3 + 2) ELSE [] END AS hidden_rows, CASE WHEN id % 11 = 0 THEN [2] ELSE [] END AS hidden_cols, CASE WHEN id % 5 = 0 THEN [1, id % 9 + 1] ELSE [] END AS merged,
-  3 AS header_last, list_filter(['code', 'name', 'unit', 'quantity', 'unit_price', 'amount'], lambda c: NOT (id % 17 = 0 AND c IN ('unit_price', 'amount')) AND NOT (id % 17 <> 0 AND id % 19 = 0 AND c = 'code')) AS columns,
+  3 AS header_last, list_filter(['code', 'name', 'unit', 'quantity', 'unit_price', 'amount'], lambda c: NOT (id % 17 = 0 AND c IN ('unit_price', 'amount')) AND NOT (id % 17 <> 0 AND id % 19 = 0 AND c = 'code') AND NOT (id % 17 <> 0 AND id % 19 <> 0 AND id % 23 = 0 AND c IN ('quantity', 'unit_price'))) AS columns,
   CASE WHEN id % 13 = 0 THEN 'unknown' WHEN id % 13 = 1 THEN 'filtered' ELSE 'none' END AS filter_state, (id % 10) / 10.0 AS confidence FROM raw_sheets"""
 AMOUNT_CELLS = f"""SELECT * FROM (SELECT id AS line_id, sheet_id, {_ROW} AS row, coalesce(json_extract_string(flags_json, '$.subtotal') = 'true', false) AS is_control,
   CASE id % 6 WHEN 0 THEN '=E' || {_ROW} || '*F' || {_ROW} WHEN 1 THEN '=E' || {_ROW} || '*F' || ({_ROW} + 1) WHEN 3 THEN '=F' || {_ROW} || '*E' || {_ROW} WHEN 4 THEN '=SUM(G4:G9)' WHEN 5 THEN '=E' || {_ROW} || '+F' || {_ROW} END AS formula,
