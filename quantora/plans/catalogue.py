@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("settlement_data", "aggregates", "sequences", "joins", "rules", "grouping", "documents", "control", "predicates", "streams")
+_MODULES = ("settlement_data", "aggregates", "sequences", "joins", "rules", "grouping", "documents", "control", "predicates", "ledgers", "streams")
 
 
 def gather(modules: tuple[str, ...] = _MODULES) -> tuple[dict, dict]:

@@ -12,39 +12,66 @@ from quantora.plans.domain import boq, over_boq
 from quantora.session import cut_lineage
 from quantora.sources.tables import table
 
-# Facts looked for in texts: a trigger and the pattern of the value.
+# Facts of contract paragraphs: trigger words, where the value stands (a pattern, ``days`` for a time limit
+# anywhere in the paragraph, or nothing), and the confidence of a fact with its value.
+_MONEY = "([¥￥]\\s*[0-9,，]+(?:\\.[0-9]+)?\\s*(?:万元|亿元|元)?|[0-9]{1,3}(?:[,，][0-9]{3})+(?:\\.[0-9]+)?\\s*(?:万元|亿元|元)?|[0-9]{4,}(?:\\.[0-9]+)?\\s*(?:万元|亿元|元)?)"
+_DAYS = "([0-9]+\\s*(?:个)?\\s*(?:日历天|工作日|天|日内))"
 FACTS = {
-    "percentage": ("%|percent", "([0-9]+(?:\\.[0-9]+)?)\\s*(?:%|percent)"),
-    "money": ("万元|thousand", "([0-9]+(?:\\.[0-9]+)?)\\s*(?:万元|thousand)"),
-    "period": ("期|period", "(?:第|period )\\s*([0-9]+)"),
-    "days": ("天|days", "([0-9]+)\\s*(?:天|days)"),
-    "date": ("年|-", "([0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日|[0-9]{4}-[0-9]{2}-[0-9]{2})"),
+    "contractor_party": ("承包人|承包方|乙方|施工单位", "(?:承包人|承包方|乙方|施工单位)[：:为\\s]*([^\\s，。；、]{2,30})", 0.9),
+    "employer_party": ("发包人|发包方|甲方|建设单位", "(?:发包人|发包方|甲方|建设单位)[：:为\\s]*([^\\s，。；、]{2,30})", 0.9),
+    "contract_amount": ("合同价|合同总价|签约合同价|合同金额", "(?:合同价[款格]?|合同总价|签约合同价|合同金额)[^0-9]{0,20}" + _MONEY, 0.9),
+    "duration": ("工期|计划开工|计划竣工|开工日期|竣工日期", "days", 0.8),
+    "pricing_method": ("固定总价|固定单价|可调价格|可调单价|成本加酬金|单价合同|总价合同", "(固定总价|固定单价|可调价格|可调单价|成本加酬金|单价合同|总价合同)", 0.9),
+    "price_adjustment": ("调价|价格调整|价差|价格波动|人工费调整|信息价", None, 0.6),
+    "variation_clause": ("工程变更|设计变更|变更估价|变更指示", None, 0.6),
+    "visa_clause": ("现场签证|工程签证|签证单", None, 0.6),
+    "settlement_clause": ("竣工结算|结算审核|结算办理|结算书", "days", 0.7),
+    "payment_clause": ("预付款|进度款|付款|支付", "days", 0.7),
+    "tax_clause": ("增值税|税率|发票|含税|不含税|税金", "税率[为是：:\\s]*([0-9.]+\\s*%?)", 0.8),
+    "breach_clause": ("违约|罚款|赔偿金|履约保证金", None, 0.6),
+    "claim_clause": ("索赔", "days", 0.7),
+    "approval_requirement": ("审批|审核批准|经.{0,6}批准|报.{0,6}审批", None, 0.5),
+    "responsible_party": ("由.{0,12}(?:承包人|发包人|监理|建设单位|施工单位)负责", "由[^。]{0,12}?(承包人|发包人|监理|建设单位|施工单位)负责", 0.8),
 }
+# Clauses that a contract must have with the severity of their lack, and the confidence of a fact that is only mentioned.
+REQUIRED = {"payment_clause": "high", "settlement_clause": "high", "duration": "medium", "contract_amount": "medium", "tax_clause": "medium", "pricing_method": "medium"}
+MENTIONED = 0.4
+# Words of sentences that set a rate.
+RATE_WORDS = "管理费|协作费|配合费|费率|收取|计取|点数|个百分点|利润率|采保|上缴|缴纳|保证金|奖励|rate|retention"
 
 
 def text_facts(spark: SparkSession, d: str) -> DataFrame:
-    """The first value of each kind of fact in each document: all patterns in one pass, no join."""
-    t = F.col("text")
-    found = F.array(*[F.when(t.rlike(trigger), F.struct(F.lit(k).alias("fact"), F.nullif(F.regexp_extract(t, pattern, 1), F.lit("")).alias("value"))) for k, (trigger, pattern) in FACTS.items()])
-    rows = table(spark, d, "documents").select("doc_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f"))
-    return rows.filter("f.value is not null").select("doc_id", "f.fact", "f.value")
+    """The facts of each paragraph of each document, with value and confidence; facts without a value are mentioned. One pass, no join."""
+    p = F.col("paragraph")
+
+    def fact(name: str, trigger: str, where: str | None, confidence: float):
+        value = F.nullif(F.regexp_extract(p, _DAYS if where == "days" else where, 1), F.lit("")) if where else F.lit(None).cast("string")
+        missed = MENTIONED if where is None or confidence < 0.9 else confidence
+        return F.when(p.rlike(trigger), F.struct(F.lit(name).alias("fact"), F.regexp_replace(value, "[\\s,，]", "").alias("value"), F.when(value.isNotNull(), F.lit(max(confidence, 0.7) if where == "days" else confidence)).otherwise(F.lit(missed)).alias("confidence")))
+
+    paragraphs = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph_no", "paragraph"))
+    found = F.array_compact(F.array(*[fact(k, *v) for k, v in FACTS.items()]))
+    return paragraphs.select("doc_id", "paragraph_no", F.explode(found).alias("f")).select("doc_id", "paragraph_no", "f.*")
 
 
 def missing_facts(spark: SparkSession, d: str) -> DataFrame:
-    """Which kinds of facts each contract lacks in all its documents."""
+    """Which of the required clauses each contract lacks in all its documents, and which it only mentions."""
     keys = table(spark, d, "documents").select("doc_id", "contract_key").filter("contract_key is not null")
-    have = text_facts(spark, d).join(keys, "doc_id").groupBy("contract_key").agg(F.collect_set("fact").alias("_have"))
-    every = keys.select("contract_key").distinct().join(have, "contract_key", "left")
-    lacking = F.array_except(F.array(*[F.lit(k) for k in FACTS]), F.coalesce("_have", F.array().cast("array<string>")))
-    return every.select("contract_key", F.explode(lacking).alias("fact"))
+    have = text_facts(spark, d).filter(F.col("fact").isin(*REQUIRED)).join(keys, "doc_id").groupBy("contract_key", "fact").agg(F.max("confidence").alias("_best"))
+    required = F.broadcast(spark.createDataFrame(list(REQUIRED.items()), "fact string, severity string"))  # the fixed list above
+    every = keys.select("contract_key").distinct().join(required).join(have, ["contract_key", "fact"], "left")
+    state = F.when(F.col("_best").isNull(), "missing").when(F.col("_best") <= MENTIONED, "mentioned")
+    return every.select("contract_key", "fact", "severity", state.alias("state")).filter("state is not null")
 
 
 def rate_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Rates named in sentences about fees, each sentence and rate once, with the number of documents that have it."""
+    """Rates named in sentences about fees, each sentence and rate once; a rate given by a formula is left to a person."""
     said = table(spark, d, "documents").select("doc_id", F.explode(T.sentences(F.col("text"))).alias("sentence"))
-    about = said.filter(F.col("sentence").rlike("费率|rate|保证金|retention"))
-    rated = about.select("doc_id", "sentence", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("sentence", F.lit("([0-9]+(?:\\.[0-9]+)?)\\s*%"), F.lit(1)), lambda x: x.cast("double")))).alias("rate"))
-    return rated.groupBy("sentence", "rate").agg(F.count_distinct("doc_id").alias("n_documents"))
+    about = said.filter(F.col("sentence").rlike(RATE_WORDS))
+    rates = F.array_distinct(T.percentages(F.col("sentence")))
+    formula = F.col("sentence").rlike("[%％]")
+    named = F.when(F.size(rates) > 0, F.transform(rates, lambda r: F.struct(r.alias("rate"), F.lit(False).alias("manual")))).when(formula, F.array(F.struct(F.lit(None).cast("double").alias("rate"), F.lit(True).alias("manual"))))
+    return about.select("doc_id", "sentence", F.explode(named).alias("r")).groupBy("sentence", "r.rate", "r.manual").agg(F.count_distinct("doc_id").alias("n_documents"))
 
 
 def page_states(spark: SparkSession, d: str) -> DataFrame:
@@ -176,15 +203,21 @@ def _sql_decimal(c: str) -> str:
     return f"CASE WHEN regexp_full_match({flat}, '-?[0-9]*\\.?[0-9]*') AND regexp_matches({flat}, '[0-9]') THEN TRY_CAST({flat} AS DECIMAL(24,6)) END"
 
 
+def _fact_sql(fact: str, trigger: str, where: str | None, confidence: float) -> str:
+    value = f"nullif(regexp_replace(nullif(regexp_extract(p, '{_DAYS if where == 'days' else where}', 1), ''), '[\\s,，]', '', 'g'), '')" if where else "CAST(NULL AS VARCHAR)"
+    missed = MENTIONED if where is None or confidence < 0.9 else confidence
+    best = max(confidence, 0.7) if where == "days" else confidence
+    return f"SELECT doc_id, CAST(i AS INTEGER) AS paragraph_no, '{fact}' AS fact, {value} AS value, CAST(CASE WHEN {value} IS NOT NULL THEN {best} ELSE {missed} END AS DOUBLE) AS confidence FROM p WHERE regexp_matches(p, '{trigger}')"
+
+
 _TAX = "regexp_replace(" + _FIG.format(c="tax_rate") + ", '\\s', '', 'g')"
 ORACLES = {
-    "text_facts": " UNION ALL ".join(
-        f"SELECT doc_id, '{k}' AS fact, nullif(regexp_extract(text, '{pattern}', 1), '') AS value FROM documents WHERE regexp_matches(text, '{trigger}') AND nullif(regexp_extract(text, '{pattern}', 1), '') IS NOT NULL"
-        for k, (trigger, pattern) in FACTS.items()
-    ),
+    "text_facts": "WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents) "
+    + " UNION ALL ".join(_fact_sql(k, *v) for k, v in FACTS.items()),
     "rate_candidates": """WITH s AS (SELECT doc_id, trim(unnest(regexp_split_to_array(text, '[。；;！!？?\\n]')), ' ') AS sentence FROM documents),
-        r AS (SELECT doc_id, sentence, unnest(list_distinct(list_transform(regexp_extract_all(sentence, '([0-9]+(?:\\.[0-9]+)?)\\s*%', 1), lambda x: CAST(x AS DOUBLE)))) AS rate FROM s WHERE regexp_matches(sentence, '费率|rate|保证金|retention'))
-        SELECT sentence, rate, count(DISTINCT doc_id) AS n_documents FROM r GROUP BY ALL""",
+        r AS (SELECT doc_id, sentence, list_distinct(list_transform(regexp_extract_all(sentence, '([0-9]+(?:\\.[0-9]+)?)\\s*(?:%|％|个点|percent)', 1), lambda x: CAST(x AS DOUBLE))) AS rates FROM s WHERE regexp_matches(sentence, '__WORDS__')),
+        e AS (SELECT doc_id, sentence, unnest(rates) AS rate, false AS manual FROM r UNION ALL SELECT doc_id, sentence, NULL, true FROM r WHERE len(rates) = 0 AND regexp_matches(sentence, '[%％]'))
+        SELECT sentence, rate, manual, count(DISTINCT doc_id) AS n_documents FROM e GROUP BY ALL""".replace("__WORDS__", RATE_WORDS),
     "page_states": """SELECT file_id, count(DISTINCT page_number) AS n_pages, count(*) FILTER (WHERE status IN ('native_text', 'ocr')) AS n_read, count(*) FILTER (WHERE status NOT IN ('native_text', 'ocr')) AS n_open,
         count(*) FILTER (WHERE status NOT IN ('native_text', 'ocr')) = 0 AND max(page_number) = count(DISTINCT page_number) AS usable FROM pdf_pages GROUP BY file_id""",
     "page_lines": """WITH l AS (SELECT page_id, file_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM pdf_pages)
@@ -212,8 +245,6 @@ ORACLES = {
           TRY_CAST(nullif(regexp_extract(title, '(?i)period\\s+([0-9]+)', 1), '') AS INTEGER), TRY_CAST(nullif(regexp_extract(title, '^([0-9]+)期', 1), '') AS INTEGER)) AS read_no FROM settlement_periods)
         SELECT id, read_no, coalesce(read_no = period_no, false) AS agrees FROM r""",
 }
-ORACLES["missing_facts"] = (
-    f"WITH f AS ({ORACLES['text_facts']}), k AS (SELECT DISTINCT contract_key FROM documents WHERE contract_key IS NOT NULL), h AS (SELECT DISTINCT contract_key, fact FROM f JOIN documents USING (doc_id)) "
-    f"SELECT k.contract_key, x.fact FROM k CROSS JOIN (VALUES {', '.join(f'({chr(39)}{k}{chr(39)})' for k in FACTS)}) x(fact) WHERE (k.contract_key, x.fact) NOT IN (SELECT contract_key, fact FROM h WHERE contract_key IS NOT NULL)"
-)
+ORACLES["missing_facts"] = f"""WITH f AS ({ORACLES['text_facts']}), k AS (SELECT doc_id, contract_key FROM documents WHERE contract_key IS NOT NULL), h AS (SELECT contract_key, fact, max(confidence) AS best FROM f JOIN k USING (doc_id) GROUP BY ALL)
+    SELECT c.contract_key, x.fact, x.severity, CASE WHEN best IS NULL THEN 'missing' ELSE 'mentioned' END AS state FROM (SELECT DISTINCT contract_key FROM k) c CROSS JOIN (VALUES {', '.join(map(str, REQUIRED.items()))}) x(fact, severity) LEFT JOIN h USING (contract_key, fact) WHERE best IS NULL OR best <= {MENTIONED}"""
 QUERIES = {name: globals()[name] for name in ORACLES}
