@@ -152,40 +152,45 @@ def compare_lines(lines: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFr
     those of its name in its project. Comparisons have the LINE_FEATURES, ``here``
     (complete lines of the project bill the item) and ``n`` (the lines of the kind).
     """
-    by = ["project", "code", "name", "feature", "price"]
-    kinds = cut_lineage(lines.groupBy(*by).agg(F.count("*").alias("n")).withColumn("row_id", F.monotonically_increasing_id()))
-    full = kinds.filter((F.col("code") != "") & (F.col("feature") != "")).join(items.select("code", "feature", "item"), ["code", "feature"])
-    full = cut_lineage(full.select("row_id", "project", "code", "name", "feature", "price", "n", "item"))
-    local = cut_lineage(full.groupBy("project", "item", "code", "feature").agg(F.percentile_approx("price", 0.5).alias("_of")))
-    names = cut_lineage(full.select("project", "item", "name").distinct())
-    bare = kinds.filter("code <> ''").select("row_id", "project", "code", "feature")
-    single = items.groupBy("code").agg(F.count("*").alias("_n"), F.min("item").alias("item")).filter("_n = 1").select("code", "item")
-    uncoded = kinds.filter("code = '' and name <> ''").select("row_id", "project", "name", "feature")
+    keyed = _kind_keys(lines)
+    texts = [F.first(c).alias(c) for c in ("project", "code", "name", "feature", "price")]
+    kinds = cut_lineage(keyed.groupBy("_h", "_g").agg(*texts, F.count("*").alias("n")).withColumn("row_id", F.monotonically_increasing_id()))
+    full = kinds.filter("code <> '' and feature <> ''").join(items.select("code", "feature", "item"), ["code", "feature"])
+    local = full.groupBy("project", "item", "code", "feature").agg(F.percentile_approx("price", 0.5).alias("_of"), F.max("name").alias("_name"))
+    local = cut_lineage(local)
+    names = full.groupBy("project", "name", "item").agg(F.first("feature").alias("_feature"))
     told = full.select("name", "feature", "item").distinct()
+    single = items.groupBy("code").agg(F.count("*").alias("_n"), F.min("item").alias("item"), F.min("name").alias("_name")).filter("_n = 1")
+    coded, uncoded = kinds.filter("code <> ''"), kinds.filter("code = '' and name <> ''")
+    yes, no = F.lit(1.0), F.lit(None).cast("double")
+    same = lambda c: F.when(F.col(c) != "", (F.col(c) == F.col(f"_{c}")).cast("double"))
+    told_by = lambda rows, code, feature, name: rows.select("row_id", "item", code.alias("code"), feature.alias("feature"), name.alias("name"))
+    # What is equal is known where a candidate is found, so no text is looked up again.
     candidates = (
-        full.select("row_id", "item")
-        .unionByName(bare.join(local.drop("feature"), ["project", "code"]).select("row_id", "item"))
-        .unionByName(bare.filter("feature = ''").join(single, "code").select("row_id", "item"))
-        .unionByName(uncoded.filter("feature <> ''").join(told, ["name", "feature"]).select("row_id", "item"))
-        .unionByName(uncoded.join(names, ["project", "name"]).select("row_id", "item"))
-        .distinct()
+        told_by(full, yes, yes, yes)
+        .unionByName(told_by(coded.join(local.withColumnRenamed("feature", "_feature"), ["project", "code"]), yes, same("feature"), same("name")))
+        .unionByName(told_by(coded.filter("feature = ''").join(single, "code"), yes, no, same("name")))
+        .unionByName(told_by(uncoded.filter("feature <> ''").join(told, ["name", "feature"]), no, yes, yes))
+        .unionByName(told_by(uncoded.join(names, ["project", "name"]), no, same("feature"), yes))
+        .groupBy("row_id", "item")
+        .agg(*[F.max(c).alias(c) for c in ("code", "feature", "name")])
     )
-    equal = lambda c: F.when(F.col(c) != "", (F.col(c) == F.col(f"_{c}")).cast("double"))
-    known = F.when(F.col("name") != "", F.coalesce(F.col("_named"), F.col("name") == F.col("_name")).cast("double"))
     near = F.exp(-F.abs(F.col("price") - F.col("_of")) / F.lit(PRICE_STEP))
     compared = (
-        candidates.join(kinds, "row_id")
-        .join(items.select("item", F.col("code").alias("_code"), F.col("feature").alias("_feature"), F.col("name").alias("_name")), "item")
+        candidates.join(kinds.select("row_id", "project", "price", "n"), "row_id")
         .join(local.select("project", "item", "_of", F.lit(True).alias("here")), ["project", "item"], "left")
-        .join(names.withColumn("_named", F.lit(True)), ["project", "item", "name"], "left")
-        .select(
-            "row_id", "project", "item", "n", equal("code").alias("code"), equal("feature").alias("feature"), known.alias("name"), near.alias("_near"), F.coalesce("here", F.lit(False)).alias("here")
-        )
+        .select("row_id", "project", "item", "n", "code", "feature", "name", near.alias("_near"), F.coalesce("here", F.lit(False)).alias("here"))
     )
     rivals = Window.partitionBy("row_id", "code", "feature", "name", "here").orderBy(F.desc_nulls_last("_near"), "item")
     best_other = F.when(F.row_number().over(rivals) == 1, F.lead("_near").over(rivals)).otherwise(F.first("_near").over(rivals))
-    margin = compared.withColumn("price", F.col("_near") - best_other).drop("_near")
-    return kinds, cut_lineage(margin.repartition("row_id").sortWithinPartitions("row_id", "item"))
+    margin = compared.repartition("row_id").withColumn("price", F.col("_near") - best_other).drop("_near")
+    return kinds.select("_h", "_g", "row_id"), cut_lineage(margin.sortWithinPartitions("row_id", "item"))
+
+
+def _kind_keys(lines: DataFrame) -> DataFrame:
+    """The lines with 128 bits of hash of what makes them one kind."""
+    by = ("project", "code", "name", "feature", "price")
+    return lines.withColumn("_h", F.xxhash64(*by)).withColumn("_g", F.xxhash64(F.lit(1), *by))
 
 
 def lines_to_items(lines: DataFrame, items: DataFrame) -> DataFrame:
@@ -195,9 +200,8 @@ def lines_to_items(lines: DataFrame, items: DataFrame) -> DataFrame:
         return lines.limit(0).select("row_id", "project", F.lit(0).cast("bigint").alias("item"), "price", F.lit(0.0).alias("confidence"))
     mixture = fit_mixture(compared, LINE_FEATURES)
     judged = compared.mapInPandas(_posteriors(mixture, local=False), _JUDGED).filter(F.col("confidence") > MATCHED)
-    billed = kinds.drop("n").join(judged.select("row_id", "item", "confidence"), "row_id").drop("row_id")
-    same = [lines[c] == billed[c] for c in ("project", "code", "name", "feature")] + [lines["price"].eqNullSafe(billed["price"])]
-    return lines.join(billed, same).select(lines["row_id"], lines["project"], "item", lines["price"], "confidence")
+    billed = kinds.join(judged.select("row_id", "item", "confidence"), "row_id").drop("row_id")
+    return _kind_keys(lines).select("row_id", "project", "price", "_h", "_g").join(billed, ["_h", "_g"]).drop("_h", "_g").select("row_id", "project", "item", "price", "confidence")
 
 
 def associations(items: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
