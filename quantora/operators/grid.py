@@ -1,16 +1,19 @@
 """Worksheet grids (one row per cell) turned into tables: headers found, rows classified and extracted.
 
 A sheet is read as cells (sheet_id, row, col, value). Header cells are scored by a
-dictionary join; the first row with enough fields is the header, and its columns map
+dictionary join; the block of rows with most fields is the header, and its columns map
 cells to fields. Everything is aggregates keyed by sheet and row, so sheets of any
 size spread over tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantora.functions.numbers import decimal_text
+from quantora.functions.texts import level_label
+
 # Header words of each field; the first of a field is its exact label.
 HEADERS = {
     "code": ("清单编码", "项目编码", "编码", "code"),
@@ -27,6 +30,12 @@ SUBTOTALS = ("小计", "合计", "总计", "本页小计", "subtotal", "total")
 GRAND_TOTALS = ("合计", "总计", "grand total")
 #: Rows searched for a header, fields it needs, fields that make it certain.
 HEADER_ROWS, LEAST_FIELDS, SURE_FIELDS = 15, 3, 4
+#: Rows that a header may have, and the confidence that needs no review.
+DEEPEST, SURE = 3, 0.75
+# Words of a heading that opens a section of deductions.
+DEDUCTIONS = "扣款|扣减|应扣|扣除|deduction"
+#: What a row may be.
+CLASSES = ("detail", "deduction", "subtotal", "grand_total", "group", "orphan", "trailing", "repeated_header", "title", "figures_above", "note")
 
 
 def label_key(c: Column) -> Column:
@@ -48,14 +57,33 @@ def header_scores(cells: DataFrame) -> DataFrame:
 
 
 def detect_headers(cells: DataFrame) -> DataFrame:
-    """sheet_id, header_row, col_map (field to column), confidence, needs_review of each sheet with a header."""
-    scored = header_scores(cells).groupBy("sheet_id", "row", "field").agg(F.max(F.struct("score", -F.col("col"))).alias("b"))
-    scored = scored.select("sheet_id", "row", "field", F.col("b.score").alias("score"), (-F.col("b.col2")).alias("col"))
-    rows = scored.groupBy("sheet_id", "row").agg(F.count("*").alias("fields"), F.count_if(F.col("score") == 1.0).alias("strong"), F.map_from_entries(F.collect_list(F.struct("field", "col"))).alias("col_map"))
-    usable = rows.filter(F.col("fields") >= LEAST_FIELDS)
-    first = usable.groupBy("sheet_id").agg(F.max_by(F.struct("row", "fields", "strong", "col_map"), F.struct("fields", -F.col("row"))).alias("h"))
-    confidence = F.least(F.lit(1.0), F.lit(0.25) * F.col("h.fields") + F.lit(0.08) * F.col("h.strong"))
-    return first.select("sheet_id", F.col("h.row").alias("header_row"), F.col("h.col_map").alias("col_map"), F.round(confidence, 4).alias("confidence"), (F.col("h.fields") < SURE_FIELDS).alias("needs_review"))
+    """sheet_id, header_row, header_last, col_map (field to column), confidence, needs_review of each sheet with a header.
+
+    A header is a block of one to DEEPEST rows. One row needs LEAST_FIELDS fields, a
+    block two in its first and two in its last row. Most fields win, then the topmost
+    block, then the fewest rows. A field with several columns is ambiguous and costs
+    confidence; its best label, then its leftmost column counts.
+    """
+    scored = header_scores(cells)
+    depth, start = F.col("_at.depth"), F.col("row") - F.col("_at.back")
+    places = F.array(*[F.struct(F.lit(d).alias("depth"), F.lit(k).alias("back")) for d in range(1, DEEPEST + 1) for k in range(d)])
+    member = scored.withColumn("_at", F.explode(places)).select("sheet_id", start.alias("first"), depth.alias("depth"), "row", "col", "field", "score")
+    # In a column the lowest label counts: the parts of a heading, not the heading over them.
+    member = member.groupBy("sheet_id", "first", "depth", "col").agg(F.max(F.struct("row", "field", "score")).alias("c")).select("sheet_id", "first", "depth", "c.row", "col", "c.field", "c.score")
+    per_field = member.groupBy("sheet_id", "first", "depth", "field").agg(
+        F.max(F.struct("score", -F.col("col"))).alias("b"), (F.count_distinct("col") > 1).alias("several"), F.bool_or(F.col("row") == F.col("first")).alias("_top"), F.bool_or(F.col("row") == F.col("first") + F.col("depth") - 1).alias("_bottom")
+    )
+    blocks = per_field.groupBy("sheet_id", "first", "depth").agg(
+        F.count("*").alias("fields"), F.count_if(F.col("b.score") == 1.0).alias("strong"), F.count_if("several").alias("ambiguous"), F.count_if("_top").alias("_t"), F.count_if("_bottom").alias("_b"),
+        F.map_from_entries(F.collect_list(F.struct("field", (-F.col("b.col2")).alias("c")))).alias("col_map"),
+    )
+    usable = blocks.filter((F.col("first") >= 1) & F.when(F.col("depth") == 1, F.col("fields") >= LEAST_FIELDS).otherwise((F.col("_t") >= 2) & (F.col("_b") >= 2)))
+    best = usable.groupBy("sheet_id").agg(F.max_by(F.struct("first", "depth", "fields", "strong", "ambiguous", "col_map"), F.struct("fields", -F.col("first"), -F.col("depth"))).alias("h"))
+    confidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(0.25) * F.col("h.fields") + F.lit(0.08) * F.col("h.strong") - F.lit(0.1) * F.col("h.ambiguous")))
+    return best.select(
+        "sheet_id", F.col("h.first").alias("header_row"), (F.col("h.first") + F.col("h.depth") - 1).alias("header_last"), F.col("h.col_map").alias("col_map"), F.round(confidence, 4).alias("confidence"),
+        ((confidence < SURE) | (F.col("h.fields") < SURE_FIELDS)).alias("needs_review"),
+    )
 
 
 def is_subtotal(name: Column) -> Column:
@@ -70,41 +98,69 @@ def is_grand_total(name: Column) -> Column:
 
 
 def extract_rows(cells: DataFrame) -> DataFrame:
-    """The rows below each header as fields, with their class: detail, subtotal, grand_total, group, orphan or title.
-
-    Trailing orphan rows (figures without name and code at the end of a sheet) are
-    classed ``trailing``. The cells are joined to their sheet's header, and one
-    aggregate per (sheet, row) turns them into fields.
+    """The rows below each header as fields, with their class (see CLASSES but for the two above headers) and ``unparsed``.
+
+    Rows that repeat header labels are no data. Headings are rows that number or name
+    a level or have no figures; a heading of deductions opens a section that the next
+    heading or total closes. Figures without name and code are ``orphan``, and
+    ``trailing`` at the end of a sheet; a row of one text outside the name columns is a
+    ``note``. ``unparsed`` says that a figure column holds what is no figure.
+    The cells are joined to their sheet's header, and one aggregate per (sheet, row)
+    turns them into fields.
     """
     headers = detect_headers(cells)
-    placed = cells.join(headers.select("sheet_id", "header_row", F.explode("col_map").alias("field", "col")), ["sheet_id", "col"])
-    below = placed.filter(F.col("row") > F.col("header_row"))
+    placed = cells.join(headers.select("sheet_id", "header_last", F.explode("col_map").alias("field", "col")), ["sheet_id", "col"])
+    below = placed.filter(F.col("row") > F.col("header_last"))
     fields = list(HEADERS)
-    wide = below.groupBy("sheet_id", "row").agg(*[F.max(F.when(F.col("field") == f, F.nullif(F.trim("value"), F.lit("")))).alias(f) for f in fields])
+    repeats = F.coalesce(*[F.when(F.col("field") == f, label_key("value").isin(*[w.replace(" ", "") for w in words])) for f, words in HEADERS.items()], F.lit(False))
+    wide = below.groupBy("sheet_id", "row").agg(*[F.max(F.when(F.col("field") == f, F.nullif(F.trim("value"), F.lit("")))).alias(f) for f in fields], F.count_if(repeats).alias("_labels"))
     label = F.coalesce(F.col("name"), F.col("code"), F.lit(""))
     figures = F.coalesce("quantity", "unit_price", "amount")
+    unnamed = F.col("name").isNull() & F.col("code").isNull()
+    level = level_label(F.col("code")) | level_label(F.col("name"))
     kind = (
-        F.when(is_grand_total(label), "grand_total")
+        F.when(F.col("_labels") >= LEAST_FIELDS, "repeated_header")
+        .when(is_grand_total(label), "grand_total")
         .when(is_subtotal(label), "subtotal")
-        .when(F.col("name").isNull() & F.col("code").isNull() & figures.isNotNull(), "orphan")
-        .when(figures.isNull() & F.col("unit").isNull(), "group")
+        .when(unnamed & figures.isNotNull(), "orphan")
+        .when(unnamed, "note")
+        .when(level | (figures.isNull() & F.col("unit").isNull()), "group")
         .otherwise("detail")
     )
-    rows = wide.withColumn("class", kind)
-    # The last row that is none of them, as an aggregate: a window would sort each sheet in one task.
+    unparsed = F.exists(F.array("quantity", "unit_price", "amount"), lambda x: x.isNotNull() & decimal_text(x).isNull())
+    rows = wide.withColumn("class", kind).withColumn("unparsed", F.coalesce(unparsed, F.lit(False)) & F.col("class").isin("detail", "subtotal", "grand_total", "orphan")).drop("_labels")
+    # What the heading above opens; a sheet is no larger than its file format lets it be.
+    opens = F.when(F.col("class") == "group", label.rlike(DEDUCTIONS)).when(F.col("class").isin("subtotal", "grand_total"), F.lit(False))
+    inside = F.coalesce(F.last(opens, ignorenulls=True).over(Window.partitionBy("sheet_id").orderBy("row")), F.lit(False))
+    rows = rows.withColumn("class", F.when((F.col("class") == "detail") & inside, "deduction").otherwise(F.col("class")))
+    # The last row that is none of them, as an aggregate.
     last = rows.filter("class <> 'orphan'").groupBy("sheet_id").agg(F.max("row").alias("_last"))
     ended = rows.join(last, "sheet_id", "left")
     return ended.withColumn("class", F.when((F.col("class") == "orphan") & (F.col("row") > F.coalesce("_last", F.lit(-1))), "trailing").otherwise(F.col("class"))).drop("_last")
 
 
-def coverage(cells: DataFrame, extracted: DataFrame) -> DataFrame:
-    """Per sheet: filled rows below the header, rows by class, and whether every row is accounted for."""
+def rows_above(cells: DataFrame) -> DataFrame:
+    """sheet_id, row and class of the rows above each header: ``figures_above`` (two figures or more: data before the header) or ``title``."""
     headers = detect_headers(cells).select("sheet_id", "header_row")
-    filled = cells.join(headers, "sheet_id").filter(F.col("row") > F.col("header_row")).groupBy("sheet_id").agg(F.count_distinct("row").alias("n_rows"))
-    classes = ("detail", "subtotal", "grand_total", "group", "orphan", "trailing")
-    counted = extracted.groupBy("sheet_id").agg(*[F.count_if(F.col("class") == c).alias(f"n_{c}") for c in classes], F.count("*").alias("_all"))
+    above = cells.join(headers, "sheet_id").filter((F.col("row") < F.col("header_row")) & (F.trim("value") != ""))
+    g = above.groupBy("sheet_id", "row").agg(F.count_if(decimal_text(F.col("value")).isNotNull()).alias("_n"))
+    return g.select("sheet_id", "row", F.when(F.col("_n") >= 2, "figures_above").otherwise("title").alias("class"))
+
+
+def coverage(cells: DataFrame, extracted: DataFrame) -> DataFrame:
+    """Per sheet: filled rows, rows by class, rows whose figures cannot be read, and the proof that every row is accounted for.
+
+    ``proof``: incomplete if a filled row has no class, else doubtful if data stand above
+    the header or figures cannot be read, else complete.
+    """
+    filled = cells.filter(F.trim("value") != "").join(detect_headers(cells).select("sheet_id", "header_row", "header_last"), "sheet_id")
+    filled = filled.filter((F.col("row") < F.col("header_row")) | (F.col("row") > F.col("header_last"))).groupBy("sheet_id").agg(F.count_distinct("row").alias("n_rows"))
+    every = extracted.select("sheet_id", "row", "class", "unparsed").unionByName(rows_above(cells).withColumn("unparsed", F.lit(False)))
+    counted = every.groupBy("sheet_id").agg(*[F.count_if(F.col("class") == c).alias(f"n_{c}") for c in CLASSES], F.count_if("unparsed").alias("n_unparsed"), F.count("*").alias("_all"))
+    none = lambda c: F.coalesce(c, F.lit(0))
     joined = filled.join(counted, "sheet_id", "left")
-    return joined.select("sheet_id", "n_rows", *[F.coalesce(f"n_{c}", F.lit(0)).alias(f"n_{c}") for c in classes], F.when(F.col("n_rows") == F.coalesce("_all", F.lit(0)), "complete").otherwise("incomplete").alias("proof"))
+    proof = F.when(F.col("n_rows") != none("_all"), "incomplete").when((none("n_figures_above") > 0) | (none("n_unparsed") > 0), "doubtful").otherwise("complete")
+    return joined.select("sheet_id", "n_rows", *[none(f"n_{c}").alias(f"n_{c}") for c in (*CLASSES, "unparsed")], proof.alias("proof"))
 
 
 def form_like(cells: DataFrame) -> DataFrame:

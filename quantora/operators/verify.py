@@ -74,8 +74,8 @@ def control_candidates(cells: DataFrame, key: str = "sheet_id") -> DataFrame:
     """The rows of totals by class against those found again in the raw cells by their words alone, per sheet, and whether the sets agree."""
     classed = grid.extract_rows(cells).filter(F.col("class").isin("grand_total", "subtotal")).groupBy(key).agg(F.sort_array(F.collect_set("row")).alias("by_class"))
     said = cells.filter(grid.is_grand_total(F.col("value")) | grid.is_subtotal(F.col("value"))).select(key, "row").distinct()
-    header = grid.detect_headers(cells).select(key, "header_row")
-    again = said.join(header, key).filter("row > header_row").groupBy(key).agg(F.sort_array(F.collect_set("row")).alias("by_words"))
+    header = grid.detect_headers(cells).select(key, "header_last")
+    again = said.join(header, key).filter("row > header_last").groupBy(key).agg(F.sort_array(F.collect_set("row")).alias("by_words"))
     none = F.array().cast("array<int>")
     both = header.join(classed, key, "left").join(again, key, "left")
     return both.select(key, F.coalesce("by_class", none).alias("by_class"), F.coalesce("by_words", none).alias("by_words")).withColumn("agree", F.col("by_class") == F.col("by_words"))

@@ -143,7 +143,12 @@ def _grid_cells(spark: SparkSession, d: str) -> DataFrame:
     fields = ("code", "name", "feature", "unit", "quantity", "unit_price", "amount", "tax_rate")
     body = numbered.select("sheet_id", "row", F.explode(F.array(*[F.struct(F.lit(i + 1).alias("col"), F.col(f).cast("string").alias("value")) for i, f in enumerate(fields)])).alias("c")).select("sheet_id", "row", "c.*")
     sheets = numbered.groupBy("sheet_id").agg(F.max("row").alias("_last"), F.sum("amount").alias("_sum"))
-    head = sheets.select("sheet_id", F.explode(F.array(F.struct(F.lit(1).alias("row"), F.lit(1).alias("col"), F.lit("工程结算书").alias("value")), *[F.struct(F.lit(3).alias("row"), F.lit(i + 1).alias("col"), F.lit(x).alias("value")) for i, x in enumerate(labels)])).alias("c")).select("sheet_id", "c.*")
+    # Even periods have a header of two rows: the amounts' labels stand below one for all of them.
+    low, even = labels[5:], F.split_part("sheet_id", F.lit(":"), F.lit(2)).cast("int") % 2 == 0
+    cell = lambda row, col, text: F.struct(F.lit(row).alias("row"), F.lit(col).alias("col"), F.lit(text).alias("value"))
+    one_row = F.array(cell(1, 1, "工程结算书"), *[cell(3, i + 1, x) for i, x in enumerate(labels)])
+    two_rows = F.array(cell(1, 1, "工程结算书"), *[cell(2, i + 1, x) for i, x in enumerate((*labels[:5], "其中"))], *[cell(3, i + 6, x) for i, x in enumerate(low)])
+    head = sheets.select("sheet_id", F.explode(F.when(even, two_rows).otherwise(one_row)).alias("c")).select("sheet_id", "c.*")
     foot = sheets.select("sheet_id", (F.col("_last") + 1).alias("row"), F.explode(F.array(F.struct(F.lit(2).alias("col"), F.lit("合 计").alias("value")), F.struct(F.lit(7).alias("col"), F.col("_sum").cast("string").alias("value")))).alias("c")).select("sheet_id", "row", "c.*")
     return head.unionByName(body).unionByName(foot).filter("value is not null and value <> ''")
 
@@ -176,7 +181,7 @@ def grid_items(spark: SparkSession, d: str) -> DataFrame:
 def grid_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Every worksheet row accounted for by class, also of worksheets with faults."""
     cells = cut_lineage(_faulty_cells(spark, d))
-    return grid.coverage(cells, grid.extract_rows(cells)).select("sheet_id", "n_rows", "n_detail", "n_grand_total", "n_trailing", "proof")
+    return grid.coverage(cells, grid.extract_rows(cells)).select("sheet_id", "n_rows", "n_detail", "n_grand_total", "n_title", "n_trailing", "proof")
 
 
 def formula_impact(spark: SparkSession, d: str) -> DataFrame:
@@ -231,8 +236,8 @@ ORACLES = {
     "tax_modes": "SELECT project_id, direction, count(DISTINCT tax_mode) AS n_modes FROM settlement_periods WHERE tax_mode NOT IN ('', 'unknown') GROUP BY ALL HAVING count(DISTINCT tax_mode) > 1",
     "grid_items": over_boq("SELECT direction || ':' || period_no AS sheet_id, code, name, unit, CAST(quantity AS DOUBLE) AS quantity, CAST(amount AS DOUBLE) AS amount FROM boq"),
     "grid_coverage": over_boq(
-        """SELECT direction || ':' || period_no AS sheet_id, count(*) + CASE period_no % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 0 WHEN 3 THEN 2 ELSE 0 END AS n_rows, count(*) - CASE period_no % 5 WHEN 2 THEN 1 ELSE 0 END AS n_detail,
-        CASE period_no % 5 WHEN 3 THEN 2 WHEN 4 THEN 0 ELSE 1 END AS n_grand_total, CASE period_no % 5 WHEN 0 THEN 1 ELSE 0 END AS n_trailing, 'complete' AS proof FROM boq GROUP BY direction, period_no"""
+        """SELECT direction || ':' || period_no AS sheet_id, count(*) + 1 + CASE period_no % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 0 WHEN 3 THEN 2 ELSE 0 END AS n_rows, count(*) - CASE period_no % 5 WHEN 2 THEN 1 ELSE 0 END AS n_detail,
+        CASE period_no % 5 WHEN 3 THEN 2 WHEN 4 THEN 0 ELSE 1 END AS n_grand_total, 1 AS n_title, CASE period_no % 5 WHEN 0 THEN 1 ELSE 0 END AS n_trailing, 'complete' AS proof FROM boq GROUP BY direction, period_no"""
     ),
     "formula_impact": """WITH RECURSIVE e(s, t) AS (SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer),
         r(node, depth) AS (SELECT 'r1', 0 UNION SELECT t, depth + 1 FROM r JOIN e ON s = node) SELECT node, depth FROM r""",

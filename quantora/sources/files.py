@@ -24,7 +24,8 @@ from quantora.operators.formulas import column_number
 CELLS = "file string, sheet_index int, sheet_name string, row int, col int, value string, formula string, number_as_text boolean"
 SHEETS = "file string, sheet_index int, sheet_name string, state string, n_rows int, n_cols int, merged array<string>, hidden_rows array<int>, hidden_cols array<int>, filter_ref string"
 PARAGRAPHS = "file string, index int, text string"
-#: A file larger than this is not parsed but reported.
+REPORT = "file string, kind string, status string, reason string, n_records bigint"
+#: A file larger than this is not parsed but reported, by :func:`parse_report`.
 MOST_BYTES = 512 * 1024 * 1024
 
 # Name spaces of the file formats.
@@ -159,21 +160,71 @@ def docx_paragraphs(content: bytes) -> Iterator[str]:
                     yield " | ".join(cells)
 
 
+#: What a broken file raises.
+_BROKEN = (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError, IndexError, EOFError, NotImplementedError)
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+
+
 def _parsed(spark: SparkSession, path: str, parse, schema: str, columns: list[str]) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.col("length") <= MOST_BYTES).select("path", "content")
+    files = _files(spark, path).filter(F.col("length") <= MOST_BYTES).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for file, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
                     rows = [(file, *r) for r in parse(file, bytes(content))]
-                except (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError, IndexError):
+                except _BROKEN:
                     rows = []
                 yield pd.DataFrame(rows, columns=columns)
 
     return files.mapInPandas(run, schema)
 
 
+def parse_report(spark: SparkSession, path: str) -> DataFrame:
+    """One row for every file below a path: kind, status, reason and number of records, whether it could be read or not.
+
+    Status: ``ok``, ``empty`` (read, but without records), ``partial`` (some records
+    before the file broke), ``broken``, ``too large``, ``unsupported`` or ``mismatch``.
+    The readers leave out what is neither ok nor partial; of a partial file they take
+    nothing, so that no file is half in a table. Files of no bytes are not listed by Spark.
+    """
+
+    def records(kind: str, content: bytes):
+        if kind in ("xlsx", "xlsm"):
+            return workbook_cells(content)
+        if kind == "csv":
+            return csv_cells(content)
+        if kind == "docx":
+            return docx_paragraphs(content)
+        return iter(content.decode("utf-8-sig").splitlines())
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for file, content in zip(pdf["path"], pdf["content"], strict=True):
+                content = bytes(content)
+                kind, status = file_kind(file, content[:8])
+                n, reason = 0, None
+                if status == "ok":
+                    try:
+                        for _ in records(kind, content):
+                            n += 1
+                        status = "ok" if n else "empty"
+                    except _BROKEN as e:
+                        status, reason = "partial" if n else "broken", type(e).__name__
+                rows.append((file, kind, status, reason, n))
+            yield pd.DataFrame(rows, columns=_names(REPORT))
+
+    files = _files(spark, path)
+    large = files.filter(F.col("length") > MOST_BYTES).select(
+        F.col("path").alias("file"), F.lower(F.regexp_extract("path", "[.]([^./]+)$", 1)).alias("kind"), F.lit("too large").alias("status"), F.concat("length", F.lit(f" of {MOST_BYTES} bytes")).alias("reason"), F.lit(0).cast("bigint").alias("n_records")
+    )
+    return files.filter(F.col("length") <= MOST_BYTES).select("path", "content").mapInPandas(judge, REPORT).unionByName(large)
+
+
 def _names(schema: str) -> list[str]:
     return [part.split()[0] for part in schema.split(", ")]
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quantora.functions import numbers, texts, units
 from quantora.functions.lookalikes import skeleton
-from quantora.operators import aggregate, components, ledger, lineage, pairing, rulebook, sequences, verify
+from quantora.operators import aggregate, components, grid, ledger, lineage, pairing, rulebook, sequences, verify
 from quantora.plans.grouping import token_set_ratio
 from quantora.streaming import events
 
@@ -179,3 +179,67 @@ def test_cell_and_text_predicates(spark):
     assert column(spark, ["a" * 64, "x", None], lambda c: texts.sheet_row_id(c, F.lit(' S"1 '), F.lit(3))) == ["sha256:" + "a" * 64 + '|sheet:"S\\"1"|row:3', None, None]
     pairs = spark.createDataFrame([(0.0, 0.0), (0.0, 2.0), (4.0, 5.0), (None, 1.0)], "a double, b double")
     assert [r[0] for r in pairs.select(numbers.difference_rate(F.col("a"), F.col("b"))).collect()] == [0.0, None, 0.25, None]
+
+
+def _sheet(spark, rows):
+    return spark.createDataFrame([("s", i + 1, j + 1, v) for i, row in enumerate(rows) for j, v in enumerate(row) if v is not None], "sheet_id string, row int, col int, value string")
+
+
+TWO_ROWS = [
+    ["结算书"],
+    ["0", "1", "2"],
+    ["编码", "名称", "单位", "工程量", "金额（元）"],
+    [None, None, None, None, "综合单价", "合价"],
+    ["一", "土建"],
+    ["01", "墙", "m2", "2", "3", "6"],
+    ["02", "柱", "m3", "二", "3", "9"],
+    ["编码", "名称", "单位", "工程量", "综合单价", "合价"],
+    [None, "扣款项目"],
+    ["03", "罚金", "项", "1", "5", "5"],
+    [None, "小计", None, None, None, "20"],
+    ["04", "梁", "m3", "1", "7", "7"],
+    [None, "合计", None, None, None, "27"],
+    [None, None, None, None, None, "27"],
+]
+
+
+def test_header_of_two_rows_and_all_classes(spark):
+    cells = _sheet(spark, TWO_ROWS)
+    h = grid.detect_headers(cells).first()
+    assert (h.header_row, h.header_last) == (3, 4) and h.col_map == {"code": 1, "name": 2, "unit": 3, "quantity": 4, "unit_price": 5, "amount": 6}
+    got = {r.row: (r["class"], r.unparsed) for r in grid.extract_rows(cells).collect()}
+    kinds = ["group", "detail", "detail", "repeated_header", "group", "deduction", "subtotal", "detail", "grand_total", "trailing"]
+    assert [got[i][0] for i in range(5, 15)] == kinds and [i for i in got if got[i][1]] == [7]
+    assert {r.row: r["class"] for r in grid.rows_above(cells).collect()} == {1: "title", 2: "figures_above"}
+    proof = grid.coverage(cells, grid.extract_rows(cells)).first()
+    assert (proof.n_rows, proof.n_detail, proof.n_deduction, proof.n_unparsed, proof.proof) == (12, 3, 1, 1, "doubtful")
+    agree = verify.control_candidates(cells).first()
+    assert agree.by_class == agree.by_words == [11, 13] and agree.agree
+
+
+def test_ambiguous_header_costs_confidence(spark):
+    one = grid.detect_headers(_sheet(spark, [["编码", "名称", "单位", "合价"]])).first()
+    two = grid.detect_headers(_sheet(spark, [["编码", "名称", "单位", "合价", "金额"]])).first()
+    assert one.confidence == 1.0 and not one.needs_review and two.col_map["amount"] == 4
+    weak = grid.detect_headers(_sheet(spark, [["编码", "名称", "名称", "单位"]])).first()
+    assert weak.needs_review
+    assert grid.detect_headers(_sheet(spark, [["编码", "墙"]])).count() == 0
+
+
+def test_contexts_and_cycles(spark):
+    rows = [(1, "confirmed", None), (2, "confirmed", 1), (3, "draft", 2), (4, "confirmed", 6), (5, "confirmed", 4), (6, "confirmed", 5), (7, "confirmed", 6)]
+    c = spark.createDataFrame([(*r, "k") for r in rows], "id bigint, status string, supersedes_id bigint, k string")
+    assert {r.id for r in ledger.effective_contexts(c).collect()} == {2, 7}
+    assert {r.id for r in ledger.supersede_cycles(c).collect()} == {4, 5, 6}
+    assert ledger.supersede_cycles(c.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id int, k string")
+    assert {r.id: r.conflict for r in ledger.identity_conflicts(twice, ["k"]).collect()} == {1: True, 2: True, 3: False}
+
+
+def test_two_ceilings_by_severity(spark):
+    side = lambda rows: spark.createDataFrame(rows, "code string, quantity decimal(18,2), n int")
+    used = side([("a", Decimal(5), 1), ("b", Decimal(5), 1), ("c", Decimal(5), 1), ("d", None, 1), ("e", Decimal(1), 1)])
+    contract = side([("a", Decimal(9), 1), ("b", Decimal(4), 1), ("c", Decimal(9), 2), ("d", Decimal(9), 1), ("f", Decimal(9), 1)])
+    settled = side([("a", Decimal(9), 1), ("b", Decimal(9), 1), ("c", Decimal(9), 1), ("d", Decimal(9), 1), ("e", Decimal(9), 1), ("f", Decimal(9), 1)])
+    got = {r.code: (r.worst, r.reason) for r in ledger.two_ceilings(used, contract, settled, used.filter("code = 'e'"), ["code"]).collect()}
+    assert got == {"a": ("PASS", "within both ceilings"), "b": ("FAIL", "ceiling exceeded"), "c": ("CONTROL_CONFLICT", "several ceilings"), "d": ("PENDING", "quantity missing"), "e": ("PENDING", "no contract ceiling"), "f": ("PASS", "within both ceilings")}

@@ -95,3 +95,15 @@ def test_formula_impact(spark):
 def test_formula_impact_of_long_chains(spark):
     e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(36)], "source string, target string")
     assert formulas.impact(e, spark.createDataFrame([("n0",)], "node string")).count() == 37
+
+
+def test_every_file_has_a_status(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text("x,1\n")
+    (tmp_path / "e.csv").write_text("\n")
+    (tmp_path / "b.xlsx").write_bytes(b"PK\x03\x04 broken")
+    (tmp_path / "c.pdf").write_bytes(b"%PDF-1.4")
+    (tmp_path / "d.csv").write_text("y" * 200)
+    monkeypatch.setattr(files, "MOST_BYTES", 100)
+    got = {r.file.rsplit("/", 1)[1]: (r.status, r.n_records) for r in files.parse_report(spark, str(tmp_path)).collect()}
+    assert got == {"a.csv": ("ok", 2), "e.csv": ("empty", 0), "b.xlsx": ("broken", 0), "c.pdf": ("unsupported", 0), "d.csv": ("too large", 0)}
+    assert {r.file.rsplit("/", 1)[1] for r in files.read_cells(spark, str(tmp_path)).collect()} == {"a.csv"}
