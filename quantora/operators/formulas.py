@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantora.operators.lineage import table_digest
 from quantora.session import cut_lineage
 
 _REFERENCE = re.compile(r"(?:'([^']+)'|([A-Za-z_一-鿿][\w一-鿿]*))?(!)?\$?([A-Z]{1,3})\$?([1-9]\d*)(?::\$?([A-Z]{1,3})\$?([1-9]\d*))?")
@@ -77,11 +78,41 @@ def formula_edges(formulas: DataFrame) -> DataFrame:
     return formulas.select("sheet", "row", "col", "formula").mapInPandas(run, "source_sheet string, source_row int, source_col int, sheet string, row int, col int")
 
 
+def formula_report(formulas: DataFrame) -> DataFrame:
+    """sheet, row, col, status and n_references of every formula, also of those that give no edges: opaque ones, and ranges above MOST_CELLS."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for sheet, row, col, formula in zip(pdf["sheet"], pdf["row"], pdf["col"], pdf["formula"], strict=True):
+                found, status = references(formula, sheet)
+                rows.append((sheet, row, col, status, len(found)))
+            yield pd.DataFrame(rows, columns=["sheet", "row", "col", "status", "n_references"])
+
+    return formulas.select("sheet", "row", "col", "formula").mapInPandas(run, "sheet string, row int, col int, status string, n_references int")
+
+
+def direct_dependents(edges: DataFrame) -> DataFrame:
+    """Every cell that formulas read, with the number of cells that read it."""
+    return edges.distinct().groupBy("source_sheet", "source_row", "source_col").agg(F.count("*").alias("n_dependents"))
+
+
+def is_valid_for(fingerprint: str, formulas: DataFrame) -> bool:
+    """Whether a graph with this fingerprint still belongs to the formulas."""
+    return graph_fingerprint(formulas).first()["digest"] == fingerprint
+
+
+def graph_fingerprint(formulas: DataFrame) -> DataFrame:
+    """One row with the digest of all formulas and their places, whatever their order; it changes when any of them does."""
+    return table_digest(formulas.select("sheet", "row", "col", "formula"), "formulas").select("n_rows", "digest")
+
+
 def impact(edges: DataFrame, seeds: DataFrame, source: str = "source", target: str = "target", max_depth: int | None = None) -> DataFrame:
-    """node and depth of everything that a seed node reaches, breadth first; ``seeds`` has ``node``.
+    """node, depth and ``complete`` of everything that a seed node reaches, breadth first; ``seeds`` has ``node``.
 
     Each level is one join of the newly reached nodes with the edges; nodes reached
-    before are left out, so cycles end. Without ``max_depth`` nothing is left out.
+    before are left out, so cycles end. Without ``max_depth`` nothing is left out; with
+    it ``complete`` is false where nodes beyond it are not looked for.
     """
     links = cut_lineage(edges.select(F.col(source).alias("node"), F.col(target).alias("_next")).distinct())
     reached = cut_lineage(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
@@ -92,4 +123,5 @@ def impact(edges: DataFrame, seeds: DataFrame, source: str = "source", target: s
         if front.isEmpty():
             break
         reached = cut_lineage(reached.unionByName(front))
-    return reached
+    ended = front.join(links, "node").select(F.col("_next").alias("node")).join(reached, "node", "left_anti").isEmpty()
+    return reached.withColumn("complete", F.lit(ended))

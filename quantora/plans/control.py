@@ -81,6 +81,36 @@ def version_comparison(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("next_id", kind.alias("difference")).agg(F.count("*").alias("n"))
 
 
+def version_integrity(spark: SparkSession, d: str) -> DataFrame:
+    """Every version with the digest of its snapshot made again, and whether equal recorded digests go with equal snapshots.
+
+    Rows delivered twice count once. A version is compared with the one before it.
+    """
+    from quantora.operators.aggregate import content_digest
+    from quantora.operators.snapshots import consecutive_versions
+
+    columns = ["identity_key", "occurrence", "code", "name", "feature", "unit", "quantity", "unit_price", "amount"]
+    items = table(spark, d, "project_version_items").select("version_id", *columns).distinct()
+    digests = cut_lineage(content_digest(items, ["version_id"], columns))
+    side = lambda p: digests.select(F.col("version_id").alias(f"{p}_id"), F.col("digest").alias(f"{p}_digest"), F.col("n_rows").alias(f"{p}_rows"))
+    pairs = consecutive_versions(table(spark, d, "project_versions"))
+    j = pairs.join(side("prev"), "prev_id", "left").join(side("next"), "next_id", "left")
+    same = F.col("prev_digest").eqNullSafe(F.col("next_digest"))
+    return j.select("project_id", "version_no", F.coalesce("next_rows", F.lit(0)).alias("n_rows"), F.col("next_digest").alias("digest"), F.when(same == F.col("same_digest"), "consistent").otherwise("inconsistent").alias("state"))
+
+
+def audit_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Each row as an auditor reads it: the formula of its amount, what the program calculates, what is stated, the difference and the source."""
+    from quantora.operators.aggregate import assess_amount
+
+    rows = assess_amount(boq(spark, d))
+    text = lambda c: F.when(F.col(c).isNotNull(), F.regexp_replace(F.regexp_replace(F.col(c).cast("string"), "(\\.[0-9]*?)0+$", "$1"), "\\.$", ""))
+    return rows.select(
+        "rid", F.concat(F.lit("="), text("quantity"), F.lit("*"), text("unit_price")).alias("formula"), as_double(F.col("calculated"), 2).alias("program_value"), as_double(F.col("amount"), 2).alias("stated"),
+        as_double(F.col("amount") - F.col("calculated"), 2).alias("difference"), "amount_source", F.concat_ws("/", "direction", "period_no").alias("source"),
+    )
+
+
 def _scoped(spark: SparkSession, d: str) -> DataFrame:
     """Items with a counting mode by the unit's kind of measure: areas are cumulative, the rest incremental."""
     return boq(spark, d).withColumn("mode", F.when(F.col("unit") == "m2", "cumulative").otherwise("incremental")).withColumn("scope", F.col("unit"))
@@ -167,6 +197,17 @@ ORACLES = {
           CASE WHEN a.quantity IS DISTINCT FROM b.quantity THEN 'quantity' END, CASE WHEN a.unit_price IS DISTINCT FROM b.unit_price THEN 'unit_price' END, CASE WHEN a.amount IS DISTINCT FROM b.amount THEN 'amount' END), ''), 'unchanged') END AS difference
           FROM a FULL JOIN b ON a.next_id = b.next_id AND a.identity_key = b.identity_key AND a.occurrence = b.occurrence)
         SELECT next_id, difference, count(*) AS n FROM j GROUP BY ALL""",
+    "version_integrity": """WITH i AS (SELECT DISTINCT version_id, identity_key, occurrence, code, name, feature, unit, quantity, unit_price, amount FROM project_version_items),
+        h AS (SELECT version_id, sha256(coalesce(identity_key, '') || '|' || coalesce(CAST(occurrence AS VARCHAR), '') || '|' || coalesce(code, '') || '|' || coalesce(name, '') || '|' || coalesce(feature, '') || '|' || coalesce(unit, '') || '|' || coalesce(quantity, '') || '|' || coalesce(unit_price, '') || '|' || coalesce(amount, '')) AS h FROM i),
+        b AS (SELECT version_id, substr(h, 1, 3) AS b, count(*) AS n, sha256(string_agg(h, chr(10) ORDER BY h)) AS d FROM h GROUP BY ALL),
+        g AS (SELECT version_id, CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(d, chr(10) ORDER BY b)) AS digest FROM b GROUP BY ALL),
+        v AS (SELECT *, lag(id) OVER w AS prev, lag(snapshot_sha256) OVER w AS sha FROM project_versions WINDOW w AS (PARTITION BY project_id ORDER BY version_no))
+        SELECT project_id, version_no, coalesce(x.n_rows, 0) AS n_rows, x.digest, CASE WHEN (y.digest IS NOT DISTINCT FROM x.digest) = coalesce(snapshot_sha256 = sha, false) THEN 'consistent' ELSE 'inconsistent' END AS state
+        FROM v LEFT JOIN g x ON x.version_id = v.id LEFT JOIN g y ON y.version_id = v.prev WHERE prev IS NOT NULL""",
+    "audit_rows": over_boq(
+        f"""SELECT rid, '=' || regexp_replace(regexp_replace(CAST(quantity AS VARCHAR), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') || '*' || regexp_replace(regexp_replace(CAST(unit_price AS VARCHAR), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') AS formula,
+        {dbl('quantity * unit_price', 2)} AS program_value, {dbl('amount', 2)} AS stated, {dbl('amount - quantity * unit_price', 2)} AS difference, CASE WHEN amount IS NOT NULL THEN 'raw' WHEN quantity IS NOT NULL THEN 'calculated' ELSE 'missing' END AS amount_source, direction || '/' || period_no AS source FROM boq"""
+    ),
     "ledger_items": boq_and(_STD, f"SELECT direction, scope, item, n_rows, {dbl('quantity')} AS quantity, status FROM g"),
     "ledger_controls": boq_and(
         _STD,

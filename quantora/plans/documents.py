@@ -9,6 +9,7 @@ from quantora.functions import texts as T
 from quantora.functions.numbers import decimal_text, tax_fraction, to_decimal
 from quantora.operators import formulas, grid
 from quantora.plans.domain import boq, over_boq
+from quantora.plans.sheets import AMOUNT_CELLS
 from quantora.session import cut_lineage
 from quantora.sources.tables import table
 
@@ -185,15 +186,33 @@ def grid_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def formula_impact(spark: SparkSession, d: str) -> DataFrame:
-    """What each region's name reaches through nations, suppliers and customers: a dependency graph followed breadth first."""
+    """What the regions but one reach through nations, suppliers and customers: a dependency graph followed breadth first."""
     n = table(spark, d, "nation")
     edges = n.select(F.concat(F.lit("r"), "n_regionkey").alias("source"), F.concat(F.lit("n"), "n_nationkey").alias("target"))
     edges = edges.unionByName(table(spark, d, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("source"), F.concat(F.lit("s"), "s_suppkey").alias("target")))
     edges = edges.unionByName(table(spark, d, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("source"), F.concat(F.lit("c"), "c_custkey").alias("target")))
-    seeds = spark.createDataFrame([("r1",)], "node string")
+    seeds = n.select(F.concat(F.lit("r"), "n_regionkey").alias("node")).filter("node <> 'r4'")
     return formulas.impact(edges, seeds)
 
 
+def _amount_formulas(spark: SparkSession, d: str) -> DataFrame:
+    """The formulas of the amount column, one per sheet and row (the smallest line's)."""
+    from quantora.plans.sheets import amount_cells
+
+    cells = amount_cells(spark, d).filter("formula is not null and sheet_id is not null")
+    return cells.groupBy(F.col("sheet_id").cast("string").alias("sheet"), "row").agg(F.min_by("formula", "line_id").alias("formula")).withColumn("col", F.lit(7))
+
+
+def formula_dependents(spark: SparkSession, d: str) -> DataFrame:
+    """The cells that amount formulas read, with how many read them."""
+    return formulas.direct_dependents(formulas.formula_edges(_amount_formulas(spark, d))).withColumnRenamed("source_sheet", "sheet")
+
+
+def formula_reads(spark: SparkSession, d: str) -> DataFrame:
+    """Every amount formula with its status and the number of cells that it reads."""
+    return formulas.formula_report(_amount_formulas(spark, d)).drop("col")
+
+
 def column_names(spark: SparkSession, d: str) -> DataFrame:
     """Column letters of the numbers of all parts (1 to 18278)."""
     n = (F.pmod(F.col("p_partkey") * 37, F.lit(18278)) + 1).cast("int")
@@ -240,7 +259,13 @@ ORACLES = {
         CASE period_no % 5 WHEN 3 THEN 2 WHEN 4 THEN 0 ELSE 1 END AS n_grand_total, 1 AS n_title, CASE period_no % 5 WHEN 0 THEN 1 ELSE 0 END AS n_trailing, 'complete' AS proof FROM boq GROUP BY direction, period_no"""
     ),
     "formula_impact": """WITH RECURSIVE e(s, t) AS (SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer),
-        r(node, depth) AS (SELECT 'r1', 0 UNION SELECT t, depth + 1 FROM r JOIN e ON s = node) SELECT node, depth FROM r""",
+        r(node, depth) AS (SELECT DISTINCT 'r' || n_regionkey, 0 FROM nation WHERE n_regionkey <> 4 UNION SELECT t, depth + 1 FROM r JOIN e ON s = node) SELECT node, depth, true AS complete FROM r""",
+    "formula_dependents": f"""WITH g AS (SELECT CAST(sheet_id AS VARCHAR) AS sheet, row, arg_min(line_id % 6, line_id) AS k FROM ({AMOUNT_CELLS}) WHERE formula IS NOT NULL AND sheet_id IS NOT NULL GROUP BY ALL),
+        e AS (SELECT sheet, row AS target, row AS source_row, 5 AS source_col FROM g WHERE k IN (0, 1, 3, 5) UNION ALL SELECT sheet, row, row + CASE WHEN k = 1 THEN 1 ELSE 0 END, 6 FROM g WHERE k IN (0, 1, 3, 5)
+          UNION ALL SELECT sheet, row, unnest(range(4, 10)), 7 FROM g WHERE k = 4)
+        SELECT sheet, CAST(source_row AS INTEGER) AS source_row, CAST(source_col AS INTEGER) AS source_col, count(DISTINCT target) AS n_dependents FROM e GROUP BY ALL""",
+    "formula_reads": f"""WITH g AS (SELECT CAST(sheet_id AS VARCHAR) AS sheet, row, arg_min(line_id % 6, line_id) AS k FROM ({AMOUNT_CELLS}) WHERE formula IS NOT NULL AND sheet_id IS NOT NULL GROUP BY ALL)
+        SELECT sheet, row, 'ok' AS status, CAST(CASE WHEN k = 4 THEN 6 ELSE 2 END AS INTEGER) AS n_references FROM g""",
     "column_names": """WITH n AS (SELECT p_partkey, CAST((p_partkey * 37) % 18278 + 1 AS INTEGER) AS number FROM part)
         SELECT p_partkey, number, CASE WHEN number <= 26 THEN chr(64 + number) WHEN number <= 702 THEN chr(CAST(65 + (number - 27) // 26 AS INTEGER)) || chr(CAST(65 + (number - 1) % 26 AS INTEGER))
         ELSE chr(CAST(65 + (number - 703) // 676 AS INTEGER)) || chr(CAST(65 + ((number - 27) // 26) % 26 AS INTEGER)) || chr(CAST(65 + (number - 1) % 26 AS INTEGER)) END AS letters FROM n""",

@@ -124,15 +124,39 @@ def evidence_members(spark: SparkSession, d: str) -> DataFrame:
     return members.join(lines, "line_item_id", "left").select("evidence_id", "line_item_id", F.coalesce("_here", F.lit(False)).alias("found"))
 
 
+MIRROR_TEXTS, MIRROR_FIGURES = ("name", "feature", "unit", "tax_rate"), ("quantity", "unit_price", "amount")
+
+
 def mirror_compare(spark: SparkSession, d: str) -> DataFrame:
-    """Both directions of an item field by field: equal, differs, several values, or missing; one pass, no join."""
+    """Both directions of a code field by field: status, difference and rate of seven fields; one pass, no join.
+
+    A side's text, or unit price, is its one value; quantities and amounts are summed
+    and the unit price is derived from both where all rows have them. Status by
+    precedence: several values, missing, incomparable (figures of other units or
+    features), differs, equal.
+    """
+    from quantora.functions.numbers import difference_rate
+
     rows = boq(spark, d).filter("code <> ''")
-    side = lambda s, c: F.array_sort(F.collect_set(F.when(F.col("direction") == s, F.col(c).cast("string"))))
-    fields = ["name", "unit", "feature", "tax_rate"]
-    grouped = rows.groupBy("code").agg(*[side(s, c).alias(f"{s}_{c}") for s in ("upward", "downward") for c in fields])
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"upward_{c}").alias("u"), F.col(f"downward_{c}").alias("w")) for c in fields])).alias("f")
-    status = F.when((F.size("f.u") > 1) | (F.size("f.w") > 1), "several values").when((F.size("f.u") == 0) | (F.size("f.w") == 0), "missing").when(F.col("f.u")[0] == F.col("f.w")[0], "equal").otherwise("differs")
-    return grouped.select("code", each).select("code", "f.field", status.alias("status"))
+    aggregates = []
+    for s in ("upward", "downward"):
+        own = lambda c, s=s: F.when(F.col("direction") == s, F.col(c))
+        aggregates += [x.alias(f"{s}_{c}_{k}") for c in (*MIRROR_TEXTS, "unit_price") for k, x in (("low", F.min(own(c))), ("high", F.max(own(c))))]
+        aggregates += [F.when(F.count_if((F.col("direction") == s) & F.col(c).isNull()) == 0, F.sum(own(c).cast("decimal(38,6)"))).alias(f"{s}_{c}_sum") for c in ("quantity", "amount")]
+    g = rows.groupBy("code").agg(*aggregates)
+    value = lambda s, c: F.col(f"{s}_{c}_sum" if c in ("quantity", "amount") else f"{s}_{c}_low")
+    several = lambda s, c: F.lit(False) if c in ("quantity", "amount") else F.coalesce(F.col(f"{s}_{c}_low") != F.col(f"{s}_{c}_high"), F.lit(False))
+    mixed = several("upward", "unit") | several("downward", "unit") | (value("upward", "unit") != value("downward", "unit")) | (value("upward", "feature") != value("downward", "feature"))
+    parts = []
+    for c in (*MIRROR_TEXTS, *MIRROR_FIGURES):
+        u, w, figure = value("upward", c), value("downward", c), c in MIRROR_FIGURES
+        status = F.when(several("upward", c) | several("downward", c), "several values").when(u.isNull() | w.isNull(), "missing")
+        if figure:
+            status = status.when(F.coalesce(mixed, F.lit(False)), "incomparable")
+        status = status.when(u == w, "equal").otherwise("differs")
+        told = status.isin("equal", "differs")
+        parts.append(F.struct(F.lit(c).alias("field"), status.alias("status"), F.when(told, (w - u).cast("double")).cast("double").alias("difference") if figure else F.lit(None).cast("double").alias("difference"), F.when(told, difference_rate(u, w)).alias("rate") if figure else F.lit(None).cast("double").alias("rate")))
+    return g.select("code", F.explode(F.array(*parts)).alias("f")).select("code", "f.field", "f.status", F.round("f.difference", 4).alias("difference"), F.round("f.rate", 9).alias("rate"))
 
 
 def membership_compare(spark: SparkSession, d: str) -> DataFrame:
@@ -222,13 +246,20 @@ ORACLES = {
         SELECT id, CASE WHEN c AND t THEN 'code+text' WHEN c THEN 'code' ELSE 'text' END AS matched_by FROM m WHERE c OR t""",
     "evidence_members": """WITH m AS (SELECT id AS evidence_id, CAST(json_extract_string(s, '$.line_item_id') AS BIGINT) AS line_item_id FROM (SELECT id, unnest(from_json(sources_json, '["JSON"]')) AS s FROM evidence))
         SELECT evidence_id, line_item_id, line_item_id IN (SELECT id FROM line_items) AS found FROM m WHERE line_item_id IS NOT NULL""",
-    "mirror_compare": over_boq(
-        " UNION ALL ".join(
-            f"""SELECT code, '{c}' AS field, CASE WHEN count(DISTINCT {c}) FILTER (WHERE direction = 'upward') > 1 OR count(DISTINCT {c}) FILTER (WHERE direction = 'downward') > 1 THEN 'several values'
-            WHEN count({c}) FILTER (WHERE direction = 'upward') = 0 OR count({c}) FILTER (WHERE direction = 'downward') = 0 THEN 'missing'
-            WHEN max({c}) FILTER (WHERE direction = 'upward') = max({c}) FILTER (WHERE direction = 'downward') THEN 'equal' ELSE 'differs' END AS status FROM boq WHERE code <> '' GROUP BY code"""
-            for c in ("name", "unit", "feature", "tax_rate")
+    "mirror_compare": boq_and(
+        "g AS (SELECT code, "
+        + ", ".join(f"{f}({c}) FILTER (WHERE direction = '{d}') AS {d[0]}_{c}_{f}" for d in ("upward", "downward") for c in (*MIRROR_TEXTS, "unit_price") for f in ("min", "max"))
+        + ", "
+        + ", ".join(f"CASE WHEN count(*) FILTER (WHERE direction = '{d}' AND {c} IS NULL) = 0 THEN sum({c}) FILTER (WHERE direction = '{d}') END AS {d[0]}_{c}_min, CASE WHEN true THEN NULL END AS {d[0]}_{c}_max" for d in ("upward", "downward") for c in ("quantity", "amount"))
+        + " FROM boq WHERE code <> '' GROUP BY code), m AS (SELECT *, coalesce(u_unit_min <> u_unit_max OR d_unit_min <> d_unit_max OR u_unit_min <> d_unit_min OR u_feature_min <> d_feature_min, false) AS mixed FROM g), f AS ("
+        + " UNION ALL ".join(
+            f"""SELECT code, '{c}' AS field, CASE WHEN coalesce(u_{c}_min <> u_{c}_max, false) OR coalesce(d_{c}_min <> d_{c}_max, false) THEN 'several values' WHEN u_{c}_min IS NULL OR d_{c}_min IS NULL THEN 'missing'
+            {"WHEN mixed THEN 'incomparable'" if c in MIRROR_FIGURES else ''} WHEN u_{c}_min = d_{c}_min THEN 'equal' ELSE 'differs' END AS status, {f"CAST(u_{c}_min AS DECIMAL(38,6))" if c in MIRROR_FIGURES else 'CAST(NULL AS DECIMAL(38,6))'} AS u, {f"CAST(d_{c}_min AS DECIMAL(38,6))" if c in MIRROR_FIGURES else 'CAST(NULL AS DECIMAL(38,6))'} AS w FROM m"""
+            for c in (*MIRROR_TEXTS, *MIRROR_FIGURES)
         )
+        + ")",
+        """SELECT code, field, status, CASE WHEN status IN ('equal', 'differs') THEN round(CAST(w - u AS DOUBLE), 4) END AS difference,
+        CASE WHEN status IN ('equal', 'differs') THEN CASE WHEN u <> 0 THEN round(CAST(w - u AS DOUBLE) / CAST(u AS DOUBLE), 9) WHEN w = u THEN 0 END END AS rate FROM f""",
     ),
     "membership_compare": f"""WITH r AS (SELECT DISTINCT sheet_id, {_ROW} AS row FROM line_items WHERE sheet_id IS NOT NULL AND {_ROW} IS NOT NULL), e AS (SELECT sheet_id, unnest(generate_series(2, greatest(2, max(row)))) AS row FROM r GROUP BY sheet_id)
         SELECT coalesce(r.sheet_id, e.sheet_id) AS sheet_id, count(*) FILTER (WHERE r.row IS NULL) AS n_absent, count(*) FILTER (WHERE e.row IS NULL) AS n_extra FROM r FULL JOIN e ON r.sheet_id = e.sheet_id AND r.row = e.row GROUP BY 1""",
