@@ -58,7 +58,7 @@ def section_fill(rows: DataFrame, keys: list[str], order: str, event: Column) ->
     return rows.withColumn("section", F.last(event, ignorenulls=True).over(w))
 
 
-def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row of each key in the given order; by aggregation, so that no group is sorted in one task."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
+def latest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """The row of each key that is last by the given columns; by aggregation, so that no group is sorted in one task."""
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in rows.columns]), F.struct(*order)).alias("_r"))
+    return best.select("_r.*")

@@ -66,7 +66,7 @@ def occurrence_number(spark: SparkSession, d: str) -> DataFrame:
 
 def latest_version(spark: SparkSession, d: str) -> DataFrame:
     """The latest version of each project."""
-    rows = seq.latest(table(spark, d, "project_versions"), ["project_id"], F.desc("version_no"), F.desc("id"))
+    rows = seq.latest(table(spark, d, "project_versions"), ["project_id"], "version_no", "id")
     return rows.select("project_id", "id", "version_no", "version_kind")
 
 

@@ -291,7 +291,7 @@ def census(cells: DataFrame, sheets: DataFrame) -> DataFrame:
 def covered_cells(sheets: DataFrame) -> DataFrame:
     """Every cell that a merged range covers, with the range's first cell."""
     ref = F.explode("merged").alias("ref")
-    number = F.udf(lambda x: column_number(x) if x else None, "int")
+    number = lambda x: F.aggregate(F.split(F.nullif(x, F.lit("")), ""), F.lit(0), lambda n, ch: n * 26 + F.ascii(ch) - 64)
     r = sheets.select("file", "sheet_index", ref).select(
         "file", "sheet_index", number(F.regexp_extract("ref", "^([A-Z]+)", 1)).alias("c1"), F.regexp_extract("ref", "^[A-Z]+([0-9]+)", 1).cast("int").alias("r1"), number(F.regexp_extract("ref", ":([A-Z]+)", 1)).alias("c2"), F.regexp_extract("ref", ":[A-Z]+([0-9]+)", 1).cast("int").alias("r2")
     )
