@@ -169,3 +169,29 @@ def form_like(cells: DataFrame) -> DataFrame:
     sheets = rows.groupBy("sheet_id").agg(F.count("*").alias("_rows"), F.count_if((F.col("n") <= 2) & F.col("label")).alias("_form"))
     share = F.try_divide(F.col("_form"), F.col("_rows"))
     return sheets.select("sheet_id", F.when(share >= 0.6, "strong").when(share >= 0.3, "weak").otherwise("none").alias("form"))
+
+
+#: Weights of equal labels and of common fields in a template's score, the least score, and recommendations per sheet.
+LABEL_WEIGHT, FIELD_WEIGHT, LEAST_SCORE, RECOMMENDED = 0.75, 0.25, 0.35, 10
+
+
+def recommend_templates(sheets: DataFrame, templates: DataFrame, limit: int = RECOMMENDED, least: float = LEAST_SCORE) -> DataFrame:
+    """sheet_id, template_id, score, exact and place of the templates that a sheet's header resembles; proposals, never applied.
+
+    ``sheets`` has sheet_id, labels and fields (arrays), ``templates`` template_id,
+    labels and fields. Labels are compared as multisets (their intersection over their
+    union; one for equal ones), fields by the common ones over the longer list. The
+    templates are a kept list and meet only sheets with which they share a label.
+    """
+    key = lambda c: F.filter(F.transform(c, label_key), lambda x: x != "")
+    named = lambda df, i, n: df.select(i, F.sort_array(key(F.col("labels"))).alias(f"_{n}l"), F.array_distinct("fields").alias(f"_{n}f"))
+    own, kept = named(sheets, "sheet_id", "s"), named(templates, "template_id", "t")
+    counted = lambda df, i, n: df.select(i, F.explode(f"_{n}l").alias("label")).groupBy(i, "label").agg(F.count("*").alias(f"_{n}n"))
+    shared = counted(own, "sheet_id", "s").join(counted(kept, "template_id", "t"), "label").groupBy("sheet_id", "template_id").agg(F.sum(F.least("_sn", "_tn")).alias("_both"))
+    j = shared.join(own, "sheet_id").join(kept, "template_id")
+    exact = F.col("_sl") == F.col("_tl")
+    labels = F.when(exact, F.lit(1.0)).otherwise(F.round(F.col("_both") / (F.size("_sl") + F.size("_tl") - F.col("_both")), 4))
+    fields = F.when(F.size("_sf") > 0, F.size(F.array_intersect("_sf", "_tf")) / F.greatest(F.size("_sf"), F.size("_tf"))).otherwise(F.lit(0.0))
+    scored = j.select("sheet_id", "template_id", exact.alias("exact"), F.round(LABEL_WEIGHT * labels + FIELD_WEIGHT * fields, 4).alias("score")).filter(F.col("score") >= least)
+    place = F.row_number().over(Window.partitionBy("sheet_id").orderBy(F.desc("exact"), F.desc("score"), F.desc("template_id")))  # at most one row a template
+    return scored.withColumn("place", place).filter(F.col("place") <= limit)

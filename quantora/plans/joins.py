@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quantora.functions.numbers import TOTAL
 from quantora.operators import pairing
 from quantora.plans.domain import EFFECTIVE, KEY, as_double, boq, boq_and, dbl, effective, item_key, over_boq
+from quantora.plans.sheets import SHEET_FACTS
 from quantora.sources.tables import table
 
 
@@ -189,6 +190,20 @@ def header_similarity(spark: SparkSession, d: str) -> DataFrame:
     return names.join(per, "p_partkey").join(F.broadcast(size)).select("p_partkey", F.round(F.col("_i") / (F.col("_n") + F.col("_t") - F.col("_i")), 4).alias("similarity"))
 
 
+# The kept mapping templates of the recommendation query.
+TEMPLATES = {1: ("code", "name", "unit", "quantity", "unit_price", "amount"), 2: ("code", "name", "unit", "quantity"), 3: ("name", "unit", "amount"), 4: ("name", "unit", "quantity", "unit_price", "amount"), 5: ("tax", "fee")}
+
+
+def template_recommendations(spark: SparkSession, d: str) -> DataFrame:
+    """The three templates that each sheet's header resembles most (a top-k report)."""
+    from quantora.operators.grid import recommend_templates
+    from quantora.plans.sheets import sheet_facts
+
+    sheets = sheet_facts(spark, d).select("sheet_id", F.col("columns").alias("labels"), F.col("columns").alias("fields"))
+    templates = spark.createDataFrame([(i, list(t), list(t)) for i, t in TEMPLATES.items()], "template_id int, labels array<string>, fields array<string>")
+    return recommend_templates(sheets, templates, limit=3)
+
+
 def table_sets(spark: SparkSession, d: str) -> DataFrame:
     """Codes of lines and of version items: in both, in one only; union, intersection and difference in one pass."""
     side = lambda name, s: table(spark, d, name).select(F.trim("code").alias("code"), F.lit(s).alias("s")).filter("code <> ''").distinct()
@@ -267,6 +282,10 @@ ORACLES = {
         SELECT p.project_id, r.rule_id, coalesce(n.status, 'open') AS status FROM (SELECT DISTINCT project_id FROM anomalies) p CROSS JOIN (SELECT DISTINCT rule_id FROM anomalies) r LEFT JOIN n USING (project_id, rule_id)""",
     "header_similarity": """WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part), c AS (SELECT p_partkey, w, count(*) AS n FROM w GROUP BY ALL), t AS (SELECT w, n AS m FROM c WHERE p_partkey = 1)
         SELECT p_partkey, round(sum(least(n, coalesce(m, 0))) / (sum(n) + (SELECT sum(m) FROM t) - sum(least(n, coalesce(m, 0)))), 4) AS similarity FROM c LEFT JOIN t USING (w) GROUP BY p_partkey""",
+    "template_recommendations": f"""WITH s AS ({SHEET_FACTS}), t(template_id, c) AS (VALUES {', '.join(f'({i}, {list(t)!r})' for i, t in TEMPLATES.items())}),
+        j AS (SELECT sheet_id, template_id, len(list_intersect(columns, c)) AS n, len(columns) AS a, len(c) AS b FROM s, t),
+        k AS (SELECT sheet_id, template_id, n = a AND n = b AS exact, round(0.75 * CASE WHEN n = a AND n = b THEN 1.0 ELSE round(n / (a + b - n), 4) END + 0.25 * n / greatest(a, b), 4) AS score FROM j WHERE n > 0)
+        SELECT *, CAST(row_number() OVER (PARTITION BY sheet_id ORDER BY exact DESC, score DESC, template_id DESC) AS INTEGER) AS place FROM k WHERE score >= 0.35 QUALIFY place <= 3""",
     "table_sets": """WITH b AS (SELECT code, sum(s) AS s FROM (SELECT DISTINCT trim(code) AS code, 1 AS s FROM line_items WHERE trim(code) <> '' UNION ALL SELECT DISTINCT trim(code), 2 FROM project_version_items WHERE trim(code) <> '') GROUP BY 1)
         SELECT CASE s WHEN 3 THEN 'both' WHEN 1 THEN 'lines only' ELSE 'versions only' END AS membership, count(*) AS n FROM b GROUP BY 1""",
 }
