@@ -64,3 +64,24 @@ def positional_pairs(left: DataFrame, right: DataFrame, keys: list[str], order:
     joined = number(left, "left").join(number(right, "right"), [*keys, "position"], "full")
     several = (F.coalesce("_left", F.lit(0)) > 1) | (F.coalesce("_right", F.lit(0)) > 1)
     return joined.select(*keys, "position", "left_id", "right_id", several.alias("ambiguous"))
+
+
+def greedy_pairs(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """The pairs that a pass in the order of (left, right) takes, where a record is in one taken pair at most.
+
+    ``left`` sorts before ``right`` in every pair. A pair that comes before all others
+    of both its records is taken in any case; its records' other pairs go, and the
+    next round looks at the rest. Each round is two aggregates; the first pair of all
+    is always taken, so the rounds end.
+    """
+    rest = cut_lineage(pairs.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).filter("a < b").distinct())
+    taken = None
+    while not rest.isEmpty():
+        ends = rest.select(F.explode(F.array("a", "b")).alias("node"), F.struct("a", "b").alias("pair")).groupBy("node").agg(F.min("pair").alias("first"))
+        ends = cut_lineage(ends)
+        agreed = ends.select("node", "first.a", "first.b").groupBy("a", "b").agg(F.count("*").alias("n")).filter("n = 2").select("a", "b")
+        agreed = cut_lineage(agreed)
+        taken = agreed if taken is None else taken.unionByName(agreed)
+        used = agreed.select(F.explode(F.array("a", "b")).alias("node"))
+        rest = cut_lineage(rest.join(used.withColumnRenamed("node", "a"), "a", "left_anti").join(used.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"))
+    return (rest if taken is None else taken).toDF(left, right)

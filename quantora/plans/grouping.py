@@ -6,8 +6,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantora.operators import pairing
 from quantora.operators.components import connected_components
 from quantora.plans.domain import boq, boq_and, over_boq
+from quantora.session import cut_lineage
 from quantora.sources.tables import table
 
 
@@ -92,6 +94,16 @@ def fuzzy_names(spark: SparkSession, d: str) -> DataFrame:
     return scored.withColumn("level", F.when(F.col("score") >= 97, "probable").otherwise("suspected"))
 
 
+def fuzzy_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Uncoded names with what they are merged into (97 or more, greedily in name order) or suspected to be (85 or more)."""
+    scored = cut_lineage(fuzzy_names(spark, d))
+    merged = pairing.greedy_pairs(scored.filter("level = 'probable'").select("name", "other"), "name", "other")
+    taken = merged.select(F.col("other").alias("name"), F.col("name").alias("into"), F.lit("probable").alias("level"))
+    left = scored.join(merged.select("other"), "other", "left_anti").join(merged.select(F.col("other").alias("name")), "name", "left_anti")
+    suspected = left.filter("level = 'suspected'").groupBy(F.col("other").alias("name")).agg(F.min_by(F.col("name"), F.struct(-F.col("score"), "name")).alias("into"))
+    return taken.unionByName(suspected.withColumn("level", F.lit("suspected")))
+
+
 def review_queue(spark: SparkSession, d: str) -> DataFrame:
     """The hundred groups most in need of review: by uncertainty, then known impact, then key (a top-k report)."""
     g = code_groups(spark, d)
@@ -125,4 +137,4 @@ ORACLES = {
     ),
     "browse_page": over_boq("SELECT rid, code, name, CAST(unit_price AS DOUBLE) AS unit_price FROM boq WHERE amount IS NULL AND contains(name, 'a') ORDER BY unit_price DESC, rid LIMIT 500 OFFSET 500"),
 }
-QUERIES = {name: globals()[name] for name in ORACLES} | {"fuzzy_names": fuzzy_names}
+QUERIES = {name: globals()[name] for name in ORACLES} | {"fuzzy_names": fuzzy_names, "fuzzy_groups": fuzzy_groups}

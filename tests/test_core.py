@@ -243,3 +243,25 @@ def test_two_ceilings_by_severity(spark):
     settled = side([("a", Decimal(9), 1), ("b", Decimal(9), 1), ("c", Decimal(9), 1), ("d", Decimal(9), 1), ("e", Decimal(9), 1), ("f", Decimal(9), 1)])
     got = {r.code: (r.worst, r.reason) for r in ledger.two_ceilings(used, contract, settled, used.filter("code = 'e'"), ["code"]).collect()}
     assert got == {"a": ("PASS", "within both ceilings"), "b": ("FAIL", "ceiling exceeded"), "c": ("CONTROL_CONFLICT", "several ceilings"), "d": ("PENDING", "quantity missing"), "e": ("PENDING", "no contract ceiling"), "f": ("PASS", "within both ceilings")}
+
+
+def test_greedy_pairs_against_one_pass(spark):
+    import random
+
+    rng = random.Random(6)
+    pairs = sorted({tuple(sorted((rng.randrange(40), rng.randrange(40)))) for _ in range(90)})
+    used, want = set(), set()
+    for a, b in pairs:
+        if a != b and a not in used and b not in used:
+            want.add((a, b))
+            used |= {a, b}
+    rows = spark.createDataFrame([(b, a) if i % 3 == 0 else (a, b) for i, (a, b) in enumerate(pairs)] + [pairs[0]], "x int, y int")
+    assert {tuple(r) for r in pairing.greedy_pairs(rows, "x", "y").collect()} == want
+    assert pairing.greedy_pairs(rows.limit(0), "x", "y").count() == 0
+
+
+def test_template_recommendations(spark):
+    sheets = spark.createDataFrame([(1, ["编码", "名称", " 单位"], ["code", "name", "unit"]), (2, ["x"], []), (3, [], [])], "sheet_id int, labels array<string>, fields array<string>")
+    kept = spark.createDataFrame([(7, ["名称", "编码", "单位"], ["code", "name", "unit"]), (8, ["名称"], ["name"]), (9, ["y"], ["name"])], "template_id int, labels array<string>, fields array<string>")
+    got = {(r.sheet_id, r.template_id): (r.score, r.exact, r.place) for r in grid.recommend_templates(sheets, kept, least=0.1).collect()}
+    assert got == {(1, 7): (1.0, True, 1), (1, 8): (0.3333, False, 2)}
