@@ -20,6 +20,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ NEAR, SUPPORT, SUPPORT_SHARE = 0.3, 3, 0.6
 KNOWN_SHARE, COMMONER, COMMONER_LATIN = 0.4, 2, 8
 #: A running title stands on so many pages of a file at least, and on this share of them.
 TITLE_PAGES, TITLE_SHARE = 2, 0.15
-#: Links that are sent to each task; more are taken in further passes.
+#: Links, frequent words and compounds that are sent to each task, each; with more the operator stops and says so.
 MOST_LINKS = 500_000
 
 # Marks that cut a word at a line's end.
@@ -710,7 +711,10 @@ def learn_corrections(pages: DataFrame) -> Corrections:
         raise ValueError(f"{n} links exceed MOST_LINKS; raise it to the memory of the tasks")
     for r in kept.collect():
         links[r["word"]].append((r["place"], r["glyph"], r["meant"], r["_links"]))
-    compounds = {r["word"]: r["n"] for r in counted.filter("kind = 'compound'").select("word", (F.col("trusted") + F.col("recognised")).alias("n")).filter("n >= 2").orderBy(F.desc("n"), "word").limit(MOST_LINKS).collect()}
+    hyphened = counted.filter("kind = 'compound'").select("word", (F.col("trusted") + F.col("recognised")).alias("n")).filter("n >= 2")
+    compounds = {r["word"]: r["n"] for r in hyphened.limit(MOST_LINKS + 1).collect()}
+    if len(compounds) > MOST_LINKS:
+        raise ValueError("hyphenated compounds exceed MOST_LINKS; raise it to the memory of the tasks")
     likeliest: dict[str, tuple[int, str]] = {}
     signs: set[str] = set()
     for found in links.values():
@@ -735,8 +739,8 @@ def learn_corrections(pages: DataFrame) -> Corrections:
 _FINDINGS = "page_id bigint, line_no int, kind string"
 
 
-def _prepared(pages: DataFrame) -> tuple[DataFrame, Corrections]:
-    """The usable pages with what their task needs, and the corrections."""
+def _prepared(pages: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """The usable pages with what their task needs, and the corrections (bounded by MOST_LINKS), broadcast."""
     usable = _usable(pages)
     known = cut_lineage(furniture_of_files(usable))
     placed = usable.join(known, "file_id", "left")
@@ -746,7 +750,8 @@ def _prepared(pages: DataFrame) -> tuple[DataFrame, Corrections]:
     edges = cut_lineage(latin.mapInPandas(_edges_of_body, "file_id bigint, page_number int, head string, tail string").groupBy("file_id", "page_number").agg(F.min("head").alias("head"), F.min("tail").alias("tail")))
     after = edges.select("file_id", (F.col("page_number") - 1).alias("page_number"), F.col("head").alias("following"))
     before = edges.select("file_id", (F.col("page_number") + 1).alias("page_number"), F.col("tail").alias("before"))
-    return placed.join(after, ["file_id", "page_number"], "left").join(before, ["file_id", "page_number"], "left"), corrections
+    held = pages.sparkSession.sparkContext.broadcast(corrections)
+    return placed.join(after, ["file_id", "page_number"], "left").join(before, ["file_id", "page_number"], "left"), held
 
 
 def _each_page(pdf: pd.DataFrame, c: Corrections):
@@ -765,11 +770,11 @@ def scan_noise(pages: DataFrame) -> DataFrame:
     file; lines are counted from 1 with empty ones; texts of any length are read
     whole; other columns are not read; an empty table gives no rows.
     """
-    placed, c = _prepared(pages)
+    placed, held = _prepared(pages)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(row.page_id, line, kind) for row, (found, *_) in _each_page(pdf, c) for line, kind in found]
+            rows = [(row.page_id, line, kind) for row, (found, *_) in _each_page(pdf, held.value) for line, kind in found]
             yield pd.DataFrame(rows, columns=["page_id", "line_no", "kind"])
 
     return placed.mapInPandas(run, _FINDINGS)
@@ -797,14 +802,14 @@ def paragraphs(pages: DataFrame) -> DataFrame:
     numbers come from sums over pages, and a paragraph is put together from its own
     parts only, so no file is gathered in one place.
     """
-    placed, c = _prepared(pages)
+    placed, held = _prepared(pages)
     first = F.row_number().over(Window.partitionBy("file_id", "page_number").orderBy("page_id"))
     single = placed.withColumn("_first", first).filter("_first = 1").drop("_first")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for row, (_, body, places, cuts) in _each_page(pdf, c):
+            for row, (_, body, places, cuts) in _each_page(pdf, held.value):
                 blocks = repaired_blocks(body, places, cuts)
                 for k, block in enumerate(blocks):
                     glue = bool(cuts.get(max(body.cuts, default=-1), False)) and k == len(blocks) - 1 and body.text.rstrip()[-1:] in CUT_MARKS
