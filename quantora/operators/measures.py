@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quantora.functions.numbers import INVISIBLE, plain_figures
 from quantora.functions.units import read_unit
-from quantora.session import cut_lineage
+from quantora.session import cut_lineage, default_parallelism
 
 # A readable figure, anything before it, and what follows it.
 _FIGURE = "^[^0-9见附第#]*?((?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\\.[0-9]+)?)(?![0-9]|[.,][0-9])"
@@ -65,8 +65,13 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def alias_dictionary(spellings: DataFrame) -> DataFrame:
-    """The distinct ``spelling`` values with base_unit, factor (text), method and distance."""
-    return spellings.select("spelling").filter(F.col("spelling").isNotNull()).distinct().mapInPandas(
+    """The distinct ``spelling`` values with base_unit, factor (text), method and distance.
+
+    The values are few bytes and much work each, so they are spread over all slots
+    rather than by their size.
+    """
+    distinct = spellings.select("spelling").filter(F.col("spelling").isNotNull()).distinct()
+    return distinct.repartition(default_parallelism(spellings.sparkSession)).mapInPandas(
         _read, "spelling string, base_unit string, factor string, method string, distance double"
     )
 
