@@ -57,6 +57,84 @@ def progressive_pairs(left: DataFrame, right: DataFrame, keys: list[tuple[str, C
     return found
 
 
+def successive_pairs(rows: DataFrame, within: str, at: str, code: str, texts: list[str], last: str, carried: list[str], near: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Rows of successive steps paired in three passes: by ``code``, by ``texts`` and ``last``, by ``texts``.
+
+    A row stands once in ``rows``, for both its pairs of steps: with step ``at`` + 1 it is
+    the earlier (left) side, with ``at`` - 1 the later (right) one. Each pass pairs the
+    keys that are unique on both sides, as :func:`progressive_pairs` does, which wants
+    every row twice. ``near`` has one value for all rows of a code; rows that are
+    partitioned by it are not moved again: later passes move counts per key, and the
+    rows that they pair.
+
+    Returns the rows with ``_left`` and ``_right``, the pass (1 to 3) that paired the
+    row on that side, and the carried fields of its partner of pass 1 as ``_next_*``;
+    the steps with their neighbours, ``has_next`` and ``has_previous``; and the pairs
+    of passes 2 and 3 (``left`` and ``right``: structs of ``at``, ``id`` and the
+    carried fields), None if there are none.
+    """
+    blank = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+    is_ = lambda c, n: F.coalesce(c == n, F.lit(False))
+    keys = [f"_t{i}" for i in range(len(texts))]
+    rows = rows.filter(F.col(at).isNotNull()).withColumns({"_code": blank(code), "_last": blank(last)} | {k: blank(c) for k, c in zip(keys, texts, strict=True)})
+
+    # Pass 1. In the order of steps, a row is unique if it has no neighbour of its own step.
+    w = Window.partitionBy(near, within, "_code").orderBy(at)
+    rows = rows.withColumns({"_a1": F.lead(at, 1).over(w), "_a2": F.lead(at, 2).over(w), "_b1": F.lag(at, 1).over(w), "_b2": F.lag(at, 2).over(w)} | {f"_next_{c}": F.lead(c, 1).over(w) for c in carried})
+    coded, here = F.col("_code").isNotNull(), F.col(at)
+    left = coded & is_(F.col("_a1"), here + 1) & ~is_(F.col("_a2"), here + 1) & ~is_(F.col("_b1"), here)
+    right = coded & is_(F.col("_b1"), here - 1) & ~is_(F.col("_b2"), here - 1) & ~is_(F.col("_a1"), here)
+    rows = rows.withColumns({"_l1": left, "_r1": right}).drop("_a1", "_a2", "_b1", "_b2")
+
+    # Passes 2 and 3: what is left on either side, counted by key; where it is one row, the maximum is its own value.
+    # Counted where the rows are at first, then moved once, to where the windows want them.
+    key = (within, at, *keys, "_last")
+    open_ = {"_l": ~F.col("_l1"), "_r": ~F.col("_r1")}
+    counts = rows.groupBy(near, *key).agg(*[F.count_if(c).alias(s) for s, c in open_.items()]).repartition(within, *keys)
+    counts = counts.groupBy(*key).agg(*[F.sum(s).alias(s) for s in open_], *[F.max(F.when(F.col(s) > 0, F.col(near))).alias(f"{s}n") for s in open_])
+    named = F.lit(True)
+    for k in keys:
+        named = named & F.col(k).isNotNull()
+    full = named & F.col("_last").isNotNull()
+    w = Window.partitionBy(within, *keys, "_last").orderBy(at)
+    groups = counts.withColumns({"_rr": F.when(F.lead(at).over(w) == here + 1, F.lead("_r").over(w)), "_ll": F.when(F.lag(at).over(w) == here - 1, F.lag("_l").over(w))})
+    groups = groups.withColumns({"_l2": full & is_(F.col("_l"), 1) & is_(F.col("_rr"), 1), "_r2": full & is_(F.col("_r"), 1) & is_(F.col("_ll"), 1)})
+    groups = groups.withColumns({"_l": F.col("_l") - F.col("_l2").cast("int"), "_r": F.col("_r") - F.col("_r2").cast("int")})
+    w = Window.partitionBy(within, *keys).orderBy(at)
+    total = lambda c, n: F.sum(c).over(w.rangeBetween(n, n))
+    groups = groups.withColumns({"_l0": total("_l", 0), "_r0": total("_r", 0), "_rr": total("_r", 1), "_ll": total("_l", -1)})
+    groups = groups.withColumns({"_l3": named & is_(F.col("_l"), 1) & is_(F.col("_l0"), 1) & is_(F.col("_rr"), 1), "_r3": named & is_(F.col("_r"), 1) & is_(F.col("_r0"), 1) & is_(F.col("_ll"), 1)})
+    entry = lambda s: F.when(F.col(f"{s}2") | F.col(f"{s}3"), F.struct(F.lit(s).alias("side"), F.when(F.col(f"{s}2"), 2).otherwise(3).alias("pass"), F.col(f"{s}n").alias("near")))
+    unique = groups.select(*key, F.explode(F.array(entry("_l"), entry("_r"))).alias("e")).filter("e is not null").select(*key, "e.*")
+    # Both branches need every column of the counts, so that they share one exchange.
+    steps = counts.groupBy(within, at).agg(F.max(F.coalesce("_ln", "_rn")).alias("near"), F.sum(F.col("_l") + F.col("_r")).alias("_n"), F.count("_last").alias("_m"))
+    kept = cut_lineage(unique.unionByName(steps, allowMissingColumns=True))
+    w = Window.partitionBy(within).orderBy(at)
+    steps = kept.filter("side is null").select(within, at, is_(F.lead(at).over(w), here + 1).alias("has_next"), is_(F.lag(at).over(w), here - 1).alias("has_previous"))
+    unique = kept.filter("side is not null")
+    if unique.isEmpty():
+        return rows.withColumns({"_left": F.when(F.col("_l1"), 1), "_right": F.when(F.col("_r1"), 1)}), steps, None
+
+    # Joined by ``near`` alone, by which the rows are partitioned and sorted; no key fans out.
+    unique = unique.groupBy(F.col("near").alias("_near")).agg(F.collect_list(F.struct(*key, "side", "pass")).alias("_unique"))
+    rows = rows.join(unique, F.col(near) == F.col("_near"), "left")
+
+    def later(side: str) -> Column:
+        def own(x: Column) -> Column:
+            same = x["side"] == side
+            for c in key:
+                same = same & x[c].eqNullSafe(F.col(c))
+            return same
+
+        return F.get(F.filter("_unique", own), F.lit(0))["pass"]
+
+    rows = rows.withColumns({"_left": F.when(F.col("_l1"), 1).otherwise(later("_l")), "_right": F.when(F.col("_r1"), 1).otherwise(later("_r"))})
+    one = lambda s, shift: F.when(F.col(s) > 1, F.struct(F.lit(s).alias("side"), F.col(s).alias("pass"), (here - shift).alias("pair"), F.when(F.col(s) == 2, F.col("_last")).alias("last")))
+    sides = rows.select(within, *keys, F.struct(at, "id", *carried).alias("row"), F.explode(F.array(one("_left", 0), one("_right", 1))).alias("s")).filter("s is not null").select(within, *keys, "s.*", "row")
+    pairs = sides.groupBy(within, *keys, "pass", "pair", "last").agg(*[F.min(F.when(F.col("side") == s, F.col("row"))).alias(s[1:]) for s in ("_left", "_right")])
+    return rows, steps, pairs.select(within, "left", "right")
+
+
 def positional_pairs(left: DataFrame, right: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Rows of equal key paired by their position; ``ambiguous`` where a key repeats, leftovers have no partner."""
     w, g = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys)

@@ -14,37 +14,49 @@ from quantora.functions.numbers import INPUT, PRODUCT, TOTAL
 from quantora.sources.tables import table
 
 
-def boq(spark: SparkSession, d: str) -> DataFrame:
-    """The items; one broadcast-or-shuffle join by size, no wider columns than needed."""
+def boq(spark: SparkSession, d: str, near: str | None = None) -> DataFrame:
+    """The items; one broadcast-or-shuffle join by size, no wider columns than needed.
+
+    What lines alone decide is computed before the join, so that a shuffle moves narrow
+    columns. ``near`` is a column of the lines that is kept, and by which they are
+    partitioned before they get wide.
+    """
+    n = F.col("l_linenumber")
     line = table(spark, d, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+        (F.col("l_linestatus") == "O").alias("_up"),
+        ((F.year("l_shipdate") - 1995) * 4 + F.quarter("l_shipdate")).cast("int").alias("_period"),
+        F.when(n == 3, F.col("l_extendedprice")).alias("_stated"),
+        ((F.col("l_discount") == 0.10) & (F.col("l_tax") == 0.08)).alias("_unknown"),
+        "l_tax", "l_returnflag",
     )
+    line = line.repartition(near) if near else line
     part = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
-    n, quarter = F.col("l_linenumber"), F.quarter("l_shipdate")
     quantity = F.col("l_quantity").cast(INPUT)
     price = F.col("p_retailprice").cast(INPUT)
     product = (quantity * price).cast(INPUT)
     amount = (
         F.when(n == 5, F.lit(None).cast(INPUT))
         .when(n == 4, (product + F.lit("0.01").cast(INPUT)).cast(INPUT))
-        .when(n == 3, F.col("l_extendedprice").cast(INPUT))
+        .when(n == 3, F.col("_stated").cast(INPUT))
         .otherwise(product)
     )
     size = F.col("p_size") % 4
     return line.join(part, line.l_partkey == part.p_partkey).select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint")).alias("rid"),
-        F.when(F.col("l_linestatus") == "O", "upward").otherwise("downward").alias("direction"),
-        ((F.year("l_shipdate") - 1995) * 4 + quarter).cast("int").alias("period_no"),
+        F.when(F.col("_up"), "upward").otherwise("downward").alias("direction"),
+        F.col("_period").alias("period_no"),
         F.when(n == 7, "").otherwise(F.col("l_partkey").cast("string")).alias("code"),
         F.when(n == 6, F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).otherwise(F.col("p_name")).alias("name"),
         F.col("p_type").alias("feature"),
         F.when(size == 1, "m").when(size == 2, "m2").when(size == 3, "m3").when(F.col("l_suppkey") % 2 == 1, "kg").otherwise("t").alias("unit"),
-        F.when((F.col("l_discount") == 0.10) & (F.col("l_tax") == 0.08), F.lit(None)).otherwise(quantity).cast(INPUT).alias("quantity"),
+        F.when(F.col("_unknown"), F.lit(None)).otherwise(quantity).cast(INPUT).alias("quantity"),
         price.alias("unit_price"),
         amount.alias("amount"),
         F.col("l_tax").cast("decimal(6,4)").alias("tax_rate"),
         (F.col("l_returnflag") == "R").alias("is_deduction"),
         F.col("l_linenumber").alias("line_no"),
+        *([near] if near else []),
     )
 
 

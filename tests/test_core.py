@@ -1,5 +1,6 @@
 """Numbers, units, texts, sequences, pairing, components, lattices, ledger, lineage, streaming."""
 
+import random
 from decimal import Decimal
 
 import pandas as pd
@@ -11,7 +12,10 @@ from pyspark.sql import functions as F
 from quantora.functions import numbers, texts, units
 from quantora.functions.lookalikes import skeleton
 from quantora.operators import aggregate, components, grid, ledger, lineage, pairing, rulebook, sequences, verify
+from quantora.plans import control
+from quantora.plans.domain import boq
 from quantora.plans.grouping import token_set_ratio
+from quantora.session import cut_lineage
 from quantora.streaming import events
 
 
@@ -265,3 +269,40 @@ def test_template_recommendations(spark):
     kept = spark.createDataFrame([(7, ["名称", "编码", "单位"], ["code", "name", "unit"]), (8, ["名称"], ["name"]), (9, ["y"], ["name"])], "template_id int, labels array<string>, fields array<string>")
     got = {(r.sheet_id, r.template_id): (r.score, r.exact, r.place) for r in grid.recommend_templates(sheets, kept, least=0.1).collect()}
     assert got == {(1, 7): (1.0, True, 1), (1, 8): (0.3333, False, 2)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_successive_pairs_against_progressive(spark, seed):
+    rng = random.Random(seed)
+    pick = lambda *x: rng.choice(x)
+    rows = [(f"r{i}", pick("u", "d"), pick(1, 2, 2, 3, 3, 5, 6, None), pick("", " ", None, *map(str, range(25))), pick("a", "b", " b", "c", "d", "", None), pick("x", "y", "z"), pick("m", "kg", "t", "", None)) for i in range(260)]
+    df = spark.createDataFrame([(*r, int(r[3]) if (r[3] or "").strip() else 99) for r in rows], "id string, direction string, period int, code string, name string, feature string, unit string, near int")
+    side = lambda shift: df.filter("period is not null").withColumn("pair", F.concat_ws(":", "direction", F.col("period") - shift))
+    passes = [("1", ("code",)), ("2", ("name", "feature", "unit")), ("3", ("name", "feature"))]
+    want = {tuple(r) for r in pairing.progressive_pairs(side(0), side(1), [(n, pairing.composite_key("pair", *f)) for n, f in passes]).collect()}
+    assert {w[2] for w in want} == {"1", "2", "3"}
+    found, steps, later = pairing.successive_pairs(df.withColumn("tag", F.col("id")), "direction", "period", "code", ["name", "feature"], "unit", ["tag"], near="near")
+    found = found.select("id", "_left", "_right", "_next_tag").collect()
+    pairs = [(r.left.id, r.right.id) for r in later.collect()]
+    assert {(r.id, r._next_tag) for r in found if r._left == 1} == {w[:2] for w in want if w[2] == "1"}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {w[:2] for w in want if w[2] != "1"}
+    assert {(r.id, str(r._left)) for r in found if r._left} == {(w[0], w[2]) for w in want}
+    assert {(r.id, str(r._right)) for r in found if r._right} == {(w[1], w[2]) for w in want}
+    there = {(r[1], r[2]) for r in rows if r[2]}
+    assert {tuple(r) for r in steps.collect()} == {(d, p, (d, p + 1) in there, (d, p - 1) in there) for d, p in there}
+
+
+@pytest.mark.parametrize("name", ["period_differences"])
+def test_differences_keep_no_copy_of_the_rows(spark, small_data, monkeypatch, name):
+    """Kept rows are written uncompressed; a copy of all rows on either side took more disk than the tables."""
+    kept = []
+
+    def counted(df):
+        out = cut_lineage(df)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(pairing, "cut_lineage", counted)
+    monkeypatch.setattr(control, "cut_lineage", counted)
+    assert control.QUERIES[name](spark, small_data).count() > 0
+    assert kept and sum(kept) < boq(spark, small_data).count() / 2
