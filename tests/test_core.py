@@ -292,7 +292,7 @@ def test_successive_pairs_against_progressive(spark, seed):
     assert {tuple(r) for r in steps.collect()} == {(d, p, (d, p + 1) in there, (d, p - 1) in there) for d, p in there}
 
 
-@pytest.mark.parametrize("name", ["period_differences"])
+@pytest.mark.parametrize("name", ["period_differences", "difference_summary"])
 def test_differences_keep_no_copy_of_the_rows(spark, small_data, monkeypatch, name):
     """Kept rows are written uncompressed; a copy of all rows on either side took more disk than the tables."""
     kept = []
