@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantora.session import cut_lineage
+from quantora.session import cut_lineage, shuffles_dropped
 
 
 def composite_key(*fields: str) -> Column:
@@ -108,7 +108,8 @@ def successive_pairs(rows: DataFrame, within: str, at: str, code: str, texts: li
     unique = groups.select(*key, F.explode(F.array(entry("_l"), entry("_r"))).alias("e")).filter("e is not null").select(*key, "e.*")
     # Both branches need every column of the counts, so that they share one exchange.
     steps = counts.groupBy(within, at).agg(F.max(F.coalesce("_ln", "_rn")).alias("near"), F.sum(F.col("_l") + F.col("_r")).alias("_n"), F.count("_last").alias("_m"))
-    kept = cut_lineage(unique.unionByName(steps, allowMissingColumns=True))
+    with shuffles_dropped(rows.sparkSession):
+        kept = cut_lineage(unique.unionByName(steps, allowMissingColumns=True))
     w = Window.partitionBy(within).orderBy(at)
     steps = kept.filter("side is null").select(within, at, is_(F.lead(at).over(w), here + 1).alias("has_next"), is_(F.lag(at).over(w), here - 1).alias("has_previous"))
     unique = kept.filter("side is not null")

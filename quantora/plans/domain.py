@@ -21,14 +21,14 @@ def boq(spark: SparkSession, d: str, near: str | None = None) -> DataFrame:
     columns. ``near`` is a column of the lines that is kept, and by which they are
     partitioned before they get wide.
     """
-    n = F.col("l_linenumber")
+    n, odd = F.col("l_linenumber"), F.col("l_suppkey") % 2 == 1
     line = table(spark, d, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         (F.col("l_linestatus") == "O").alias("_up"),
         ((F.year("l_shipdate") - 1995) * 4 + F.quarter("l_shipdate")).cast("int").alias("_period"),
         F.when(n == 3, F.col("l_extendedprice")).alias("_stated"),
         ((F.col("l_discount") == 0.10) & (F.col("l_tax") == 0.08)).alias("_unknown"),
-        "l_tax", "l_returnflag",
+        "l_tax", "l_returnflag", *([odd.alias("_odd")] if near else []),
     )
     line = line.repartition(near) if near else line
     part = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
@@ -49,7 +49,7 @@ def boq(spark: SparkSession, d: str, near: str | None = None) -> DataFrame:
         F.when(n == 7, "").otherwise(F.col("l_partkey").cast("string")).alias("code"),
         F.when(n == 6, F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).otherwise(F.col("p_name")).alias("name"),
         F.col("p_type").alias("feature"),
-        F.when(size == 1, "m").when(size == 2, "m2").when(size == 3, "m3").when(F.col("l_suppkey") % 2 == 1, "kg").otherwise("t").alias("unit"),
+        F.when(size == 1, "m").when(size == 2, "m2").when(size == 3, "m3").when(F.col("_odd") if near else odd, "kg").otherwise("t").alias("unit"),
         F.when(F.col("_unknown"), F.lit(None)).otherwise(quantity).cast(INPUT).alias("quantity"),
         price.alias("unit_price"),
         amount.alias("amount"),

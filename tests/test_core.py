@@ -1,7 +1,9 @@
 """Numbers, units, texts, sequences, pairing, components, lattices, ledger, lineage, streaming."""
 
 import random
+import time
 from decimal import Decimal
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -306,3 +308,21 @@ def test_differences_keep_no_copy_of_the_rows(spark, small_data, monkeypatch, na
     monkeypatch.setattr(control, "cut_lineage", counted)
     assert control.QUERIES[name](spark, small_data).count() > 0
     assert kept and sum(kept) < boq(spark, small_data).count() / 2
+
+
+def test_difference_summary_leaves_no_shuffle_files(spark, small_data):
+    """The files of the first job, which counts keys, must not lie beside those of the second; nor are ids moved that it has no use for."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = lambda: {p: p.stat().st_size for f in folders for p in Path(f.getPath()).glob("*/shuffle_*.data")}
+    spark._jvm.System.gc()
+    time.sleep(1)
+    before = files()
+    summary = control.difference_summary(spark, small_data)
+    left = lambda: sum(n for p, n in files().items() if p not in before)
+    until = time.time() + 10
+    while left() > 1000 and time.time() < until:
+        time.sleep(0.2)
+    assert left() <= 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    plan = summary._jdf.queryExecution().executedPlan().toString()
+    assert "l_partkey" in plan and "l_orderkey" not in plan
